@@ -61,7 +61,7 @@ def source_health(pages: DataFrame, dimension: DataFrame, checked=("workday",))
     """
     stats = pages.groupBy("run_id", "source_ord").agg(
         F.bool_or(~F.col("failed")).alias("any_ok"),
-        F.max(F.when(~F.col("failed"), F.col("total"))).cast("long").alias("total"),
+        F.max(F.when(~F.col("failed"), F.col("total"))).alias("total"),
     )
     # One list of entries, repeated per run by a generator rather than a join of runs and entries.
     runs = stats.groupBy("run_id").agg(

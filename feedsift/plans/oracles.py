@@ -362,7 +362,7 @@ placed AS (SELECT *, CASE WHEN ats IN ('workday', 'oracle') THEN id
                   {_PLACE} AS place FROM listed),
 merged AS (SELECT *, row_number() OVER (PARTITION BY run_id, source_ord, merge_id ORDER BY place DESC) AS rn,
                   min(place) OVER (PARTITION BY run_id, source_ord, merge_id) AS first_place FROM placed),
-feeds AS (SELECT *, first_place // 1000000000 AS first_term_no,
+feeds AS (SELECT * EXCLUDE (rn), first_place // 1000000000 AS first_term_no,
                  first_place // 100000 % 10000 AS first_page_offset,
                  first_place % 100000 AS first_pos FROM merged WHERE rn = 1)"""
 
@@ -380,7 +380,7 @@ details AS (
     CASE ats WHEN 'workday' THEN {_strip(f"coalesce({views.WORKDAY_BODY}, '')")}
              WHEN 'greenhouse' THEN {_strip(_decode(f"coalesce({views.GREENHOUSE_BODY}, '')"))}
              ELSE {_strip("concat_ws(' ', " + ", ".join(views.ORACLE_BODIES) + ")")} END AS description,
-    list_filter(CASE WHEN ats = 'greenhouse' THEN [place] ELSE [place, place2] END, n -> n <> '') AS names
+    list_filter(CASE WHEN ats = 'greenhouse' THEN [place] ELSE [place, place2] END, lambda n: n <> '') AS names
   FROM detail_raw WHERE NOT broken)"""
 
 
@@ -419,7 +419,7 @@ fold AS (
            THEN [f.buf] ELSE CAST([] AS VARCHAR[]) END
       || CASE WHEN length(s.piece) > {limit}
            THEN list_transform(range(CAST(ceil(length(s.piece) / {limit}.0) AS BIGINT)),
-                               i -> substring(s.piece, CAST(i * {limit} + 1 AS BIGINT), {limit}))
+                               lambda i: substring(s.piece, CAST(i * {limit} + 1 AS BIGINT), {limit}))
            ELSE CAST([] AS VARCHAR[]) END
   FROM fold f JOIN placed_steps s ON {" AND ".join(f"s.{k} = f.{k}" for k in key.split())} AND s.step_no = f.step_no + 1),
 emitted AS (SELECT {keys}, step_no, unnest(outs) AS chunk, generate_subscripts(outs, 1) AS sub_no FROM fold
@@ -454,7 +454,7 @@ def _url_oracle() -> str:
     return f"""
 WITH links AS (SELECT page_id, {link} AS link FROM pages),
 cut AS (SELECT page_id, link, lower(regexp_extract(link, '^[a-z]+://([^/?#:]*)', 1)) AS host,
-               list_filter(string_split(regexp_extract(link, '^[a-z]+://[^/?#]*([^?#]*)', 1), '/'), s -> s <> '') AS seg
+               list_filter(string_split(regexp_extract(link, '^[a-z]+://[^/?#]*([^?#]*)', 1), '/'), lambda s: s <> '') AS seg
         FROM links)
 SELECT page_id, string_split(host, '.')[1] AS tenant, seg[1] AS site,
        '/' || coalesce(array_to_string(seg[2:], '/'), '') AS rest,
@@ -541,12 +541,12 @@ SELECT conv_id, turn, chunk_no, chunk FROM chunked""",
         "match_by_region": f"{_with(_POSTINGS)}SELECT seq, title, location FROM p WHERE {_by_region()}",
         "priority_region": _listing("near", _near()),
         "recency_filter": f"""{_with(_POSTINGS)}
-SELECT * FROM (SELECT seq, posted_on, {_age()} AS age_days FROM p) WHERE age_days IS NULL OR age_days <= 14""",
-        "geo_recheck": f"""{enriched}SELECT seq, location, remote FROM enriched
+SELECT * FROM (SELECT seq, posted_on, CAST({_age()} AS DOUBLE) AS age_days FROM p) WHERE age_days IS NULL OR age_days <= 14""",
+        "geo_recheck": f"""{enriched}SELECT seq, location, CAST(remote AS VARCHAR) AS remote FROM enriched
 WHERE NOT {_blocked()} AND (coalesce(remote, false) OR {_allowed()})""",
         "skip_flagged": f"{enriched}SELECT seq, flag_status FROM enriched WHERE flag_status <> 'no'",
         "detect_remote": _listing("remote", _remote()),
-        "posted_age": _listing("age_days", _age()),
+        "posted_age": _listing("age_days", f"CAST({_age()} AS DOUBLE)"),
         "money_value": _listing("amount", money),
         "money_best": f"{enriched}SELECT seq, salary FROM enriched",
         "classify_rules": f"{enriched}SELECT seq, flag_reason, flag_status FROM enriched",
@@ -564,7 +564,7 @@ SELECT listing_key, seq, first_seq, title, location FROM (
         "skill_counts": f"""{_with(jd, _skill_ctes("hits", "jd", "doc_id", "body"))}
 SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY {_LABEL_ORDER}) - 1 AS INTEGER) AS hit_no, label, n
 FROM hits""",
-        "enrich_text": f"{enriched}SELECT seq, flag_status, flag_reason, salary, remote FROM enriched",
+        "enrich_text": f"{enriched}SELECT seq, flag_status, flag_reason, salary, CAST(remote AS VARCHAR) AS remote FROM enriched",
         "meta_line": f"{enriched}SELECT seq, {_meta()} AS meta FROM enriched",
         "url_parts": _url_oracle(),
         "seen_diff": f"""{_with(_EVENT_KEYS)}
@@ -602,7 +602,7 @@ polled AS (SELECT run_id, source_ord, bool_or(NOT failed) AS any_ok,
                   max(CASE WHEN NOT failed THEN total END) AS total FROM stats GROUP BY ALL),
 states AS (SELECT r.run_id, s.source_ord, s.company,
                   CASE WHEN s.ats <> 'workday' THEN 'not checked' WHEN coalesce(any_ok, false) THEN 'ok' ELSE 'bad' END AS status,
-                  CASE WHEN s.ats = 'workday' THEN total END AS total
+                  CAST(CASE WHEN s.ats = 'workday' THEN total END AS DOUBLE) AS total
            FROM runs r CROSS JOIN src s LEFT JOIN polled p ON p.run_id = r.run_id AND p.source_ord = s.source_ord)
 SELECT *, count(*) FILTER (WHERE status = 'bad') OVER (PARTITION BY run_id) AS n_bad,
        count(*) FILTER (WHERE status = 'bad') OVER (PARTITION BY run_id) = 0 AS all_healthy FROM states""",

@@ -195,15 +195,22 @@ def match_by_region(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def recency_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     aged = matching.with_age(views.postings(spark, sf_dir), views.AS_OF)
-    return matching.recent(aged).select("seq", "posted_on", "age_days")
+    return matching.recent(aged).select(
+        "seq", "posted_on", F.col("age_days").cast("double").alias("age_days")
+    )
 
 
 def _signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return enrich.with_signals(views.postings(spark, sf_dir))
 
 
+def _remote_text() -> Column:
+    """The flag as text, so that its null (no text to read) compares alike everywhere."""
+    return F.col("remote").cast("string").alias("remote")
+
+
 def geo_recheck(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matching.rechecked(_signals(spark, sf_dir)).select("seq", "location", "remote")
+    return matching.rechecked(_signals(spark, sf_dir)).select("seq", "location", _remote_text())
 
 
 def skip_flagged(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -222,7 +229,9 @@ def classify_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def enrich_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _signals(spark, sf_dir).select("seq", "flag_status", "flag_reason", "salary", "remote")
+    return _signals(spark, sf_dir).select(
+        "seq", "flag_status", "flag_reason", "salary", _remote_text()
+    )
 
 
 def meta_line(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -475,7 +484,7 @@ def all_queries() -> dict[str, Query]:
         "geo_recheck": geo_recheck,
         "skip_flagged": skip_flagged,
         "detect_remote": listing("remote", lambda: predicates.mentions_remote("description")),
-        "posted_age": listing("age_days", lambda: extract.posted_age("posted_on", views.AS_OF)),
+        "posted_age": listing("age_days", lambda: extract.posted_age("posted_on", views.AS_OF).cast("double")),
         "money_value": listing("amount", lambda: extract.money_value("description")),
         "money_best": listing("salary", lambda: extract.best_money_text("description")),
         "classify_rules": classify_rules,
