@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from feedsift.functions import regex
-from feedsift.functions.text import _column, join_parts, squeeze, trim_spaces
+from feedsift.functions.predicates import holds_all
+from feedsift.functions.text import _column, folded, join_parts, squeeze, trim_spaces
 from feedsift.rules import regions, signals
 from feedsift.rules.signals import PART_SEPARATOR
 from feedsift.rules.skills import SKILLS
@@ -66,18 +70,13 @@ def best_money_text(text: Column | str) -> Column:
     return F.array_max(F.transform(hits, scored))["shown"]
 
 
-def flag_reason(text: Column | str, lowered: Column | None = None) -> Column:
-    """Reason of the first flag rule that hits, else null. ``lowered``: the text in lower case, if at hand."""
-    text = _column(text)
-    lowered = F.lower(text) if lowered is None else lowered
+def flag_reason(text: Column | str, low: Column | None = None) -> Column:
+    """Reason of the first flag rule that hits, else null. ``low``: the folded text, if at hand."""
+    low = folded(text) if low is None else low
     return F.coalesce(
         *(
-            F.when(
-                F.contains(lowered, F.lit(need))
-                & text.rlike(regex.jvm(pattern, ignore_case=True)),
-                F.lit(reason),
-            )
-            for need, (pattern, reason) in zip(signals.FLAG_RULE_NEEDS, signals.FLAG_RULES)
+            F.when(holds_all(low, needs) & low.rlike(regex.jvm(pattern)), F.lit(reason))
+            for needs, (pattern, reason) in zip(signals.FLAG_RULE_NEEDS, signals.FLAG_RULES)
         )
     )
 
@@ -110,37 +109,36 @@ def listing_key(company: Column | str, listing_id: Column | str) -> Column:
     )
 
 
-def skill_hits(text: Column | str, lowered: Column | None = None, skills=SKILLS) -> Column:
+def skill_hits(text: Column | str, low: Column | None = None, skills=SKILLS) -> Column:
     """Skills found, as ARRAY<STRUCT<label, n>>, most frequent first, then by label in locale order.
 
-    Each pattern scans a text only when the text holds a literal the pattern
+    A pattern scans a text only when the text holds a literal the pattern
     starts with, so texts without skills cost plain substring searches.
+    ``low``: the folded text, if at hand.
     """
-    text = _column(text)
-    lowered = F.lower(text) if lowered is None else lowered
+    low = folded(text) if low is None else low
 
     def count(pattern: str) -> Column:
-        scan = F.regexp_count(text, F.lit(regex.jvm(pattern, ignore_case=True))).cast("long")
+        scan = F.regexp_count(low, F.lit(regex.jvm(pattern))).cast("long")
         literals = regex.required_literals(pattern)
         if literals is None:
             return scan
-        present = F.contains(lowered, F.lit(literals[0]))
-        for literal in literals[1:]:
-            present = present | F.contains(lowered, F.lit(literal))
-        return F.when(present, scan)
+        return F.when(reduce(or_, (F.contains(low, F.lit(w)) for w in literals)), scan)
 
     counted = F.array(
         *(
-            F.struct(
-                (-count(pattern)).alias("order_n"),
-                F.collate(F.lit(label), "UNICODE").alias("order_label"),
-            )
+            F.struct(F.lit(label).alias("label"), count(pattern).alias("n"))
             for label, pattern in skills
         )
     )
-    hits = F.array_sort(F.filter(counted, lambda h: h["order_n"] < 0))
+    sortable = F.transform(
+        F.filter(counted, lambda h: h["n"] > 0),
+        lambda h: F.struct(
+            (-h["n"]).alias("order_n"), F.collate(h["label"], "UNICODE").alias("order_label")
+        ),
+    )
     return F.transform(
-        hits,
+        F.array_sort(sortable),
         lambda h: F.struct(
             F.collate(h["order_label"], "UTF8_BINARY").alias("label"),
             (-h["order_n"]).alias("n"),

@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from feedsift.functions import regex
-from feedsift.functions.text import _column, trim_spaces
+from feedsift.functions.text import _column, folded, trim_spaces
 from feedsift.rules import profiles, regions, signals
 from feedsift.rules.profiles import RuleProfile
 
@@ -156,12 +156,15 @@ def not_flagged(status: Column | str) -> Column:
     return ~_column(status).eqNullSafe(F.lit(signals.FLAGGED))
 
 
-def mentions_remote(text: Column | str, lowered: Column | None = None) -> Column:
-    """True when the wording marks the role as remote. ``lowered``: the text in lower case, if at hand."""
-    text = _or_empty(text)
-    lowered = F.lower(text) if lowered is None else F.coalesce(lowered, F.lit(""))
+def holds_all(text: Column, words) -> Column:
+    return reduce(lambda a, b: a & b, [F.contains(text, F.lit(w)) for w in words])
+
+
+def mentions_remote(text: Column | str, low: Column | None = None) -> Column:
+    """True when the wording marks the role as remote. ``low``: the folded text, if at hand."""
+    low = F.coalesce(folded(text) if low is None else low, F.lit(""))
     tests = [
-        F.contains(lowered, F.lit(need)) & text.rlike(regex.jvm(pattern, ignore_case=True))
-        for need, pattern in zip(signals.REMOTE_NEEDS, signals.REMOTE_PATTERNS)
+        holds_all(low, needs) & low.rlike(regex.jvm(pattern))
+        for needs, pattern in zip(signals.REMOTE_NEEDS, signals.REMOTE_PATTERNS)
     ]
     return reduce(lambda a, b: a | b, tests)

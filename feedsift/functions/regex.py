@@ -14,24 +14,43 @@ SPACE_BODY = (
 )
 SPACE = f"[{SPACE_BODY}]"
 _WORD = "[A-Za-z0-9_]"
-_NOT_BEFORE, _NOT_AFTER = f"(?<!{_WORD})", f"(?!{_WORD})"
-_BOUNDARY = f"(?:(?<={_WORD}){_NOT_AFTER}|{_NOT_BEFORE}(?={_WORD}))"
+_NOT_AFTER = f"(?!{_WORD})"
+_BOUNDARY = f"(?:(?<={_WORD}){_NOT_AFTER}|(?<!{_WORD})(?={_WORD}))"
 
 
 def _is_word(ch: str) -> bool:
     return ch.isascii() and (ch.isalnum() or ch == "_")
 
 
-def _boundary_at(pattern: str, pos: int) -> str:
-    """Boundary for the ``\\b`` at ``pos``; one-sided when the neighbour is a plain word character."""
-    after = pattern[pos + 2 : pos + 3]
-    quantified = pattern[pos + 3 : pos + 4] in ("?", "*", "{")
-    if after and _is_word(after) and not quantified:
-        return _NOT_BEFORE
-    before, escape = pattern[pos - 1 : pos], pattern[pos - 2 : pos - 1]
-    if before and _is_word(before) and escape != "\\":
-        return _NOT_AFTER
-    return _BOUNDARY
+def _literal_run(pattern: str) -> str:
+    """Plain characters the pattern starts with, if the first is a word character."""
+    run = ""
+    while pattern[len(run) : len(run) + 1] and (
+        _is_word(pattern[len(run)]) or (run and pattern[len(run)] == " ")
+    ):
+        run += pattern[len(run)]
+    return run[:-1] if pattern[len(run) : len(run) + 1] in ("?", "*", "{", "+") else run
+
+
+def _boundary_before(rest: str) -> tuple[str, int]:
+    """Spelling of a ``\\b`` that stands before ``rest``, and how much of ``rest`` it takes in.
+
+    Before a literal the literal comes first and the look-behind after it: a
+    search then skips from literal to literal instead of looking back at every
+    character. Before a group whose branches start with literals each branch
+    gets its own boundary.
+    """
+    run = _literal_run(rest)
+    if run:
+        return f"{run}(?<!{_WORD}{run})", len(run)
+    end = _closing(rest) if rest.startswith("(") else 0
+    if end and rest[end + 1 : end + 2] not in ("?", "*", "{", "+"):
+        opening = "(?:" if rest.startswith("(?:") else "("
+        branches = _split_alternatives(rest[len(opening) : end])
+        if all(_literal_run(branch) for branch in branches):
+            spelled = "|".join(jvm(r"\b" + branch) for branch in branches)
+            return f"{opening}{spelled})", end + 1
+    return _BOUNDARY, 0
 
 
 def jvm(pattern: str, ignore_case: bool = False) -> str:
@@ -39,8 +58,13 @@ def jvm(pattern: str, ignore_case: bool = False) -> str:
     out, pos, in_class = [], 0, False
     while pos < len(pattern):
         two = pattern[pos : pos + 2]
-        if two == r"\b":
-            out.append(_boundary_at(pattern, pos))
+        before = pattern[pos - 1 : pos]
+        if two == r"\b" and before and _is_word(before) and pattern[pos - 2 : pos - 1] != "\\":
+            out.append(_NOT_AFTER)
+        elif two == r"\b":
+            spelled, taken = _boundary_before(pattern[pos + 2 :])
+            out.append(spelled)
+            pos += taken
         elif two == r"\s":
             out.append(SPACE_BODY if in_class else SPACE)
         elif two[0] == "\\":
@@ -48,8 +72,7 @@ def jvm(pattern: str, ignore_case: bool = False) -> str:
         else:
             in_class = two[0] == "[" or (in_class and two[0] != "]")
             out.append(two[0])
-            pos += 1
-            continue
+            pos -= 1
         pos += 2
     return ("(?i)" if ignore_case else "") + "".join(out)
 

@@ -13,6 +13,18 @@ def _column(value: Column | str) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
+def folded(text: Column | str) -> Column:
+    """Lower-case text on which plain patterns find what case-blind ASCII patterns find on the original.
+
+    Two letters turn into ASCII ones when lowered (the Kelvin sign and the
+    dotted capital I); they are masked first.
+    """
+    masked = _column(text)
+    for letter in ("\u212a", "\u0130"):
+        masked = F.replace(masked, F.lit(letter), F.lit("\u00a4"))
+    return F.lower(masked)
+
+
 def squeeze(text: Column | str) -> Column:
     """Each run of whitespace becomes one space."""
     return F.regexp_replace(_column(text), f"{SPACE}+", " ")

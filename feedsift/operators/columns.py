@@ -18,3 +18,14 @@ def computed_once(rows: DataFrame, columns: dict[str, Column]) -> DataFrame:
     kept = [c for c in rows.columns if c not in columns]
     packed = F.array(F.struct(*(column.alias(name) for name, column in columns.items())))
     return rows.select(*kept, F.inline(packed))
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """Share a small input among all cores.
+
+    An input that comes in fewer splits than there are cores is small; text
+    work on it would leave cores idle, so its rows are dealt out. An input of
+    many splits is returned as it is, without a shuffle.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows

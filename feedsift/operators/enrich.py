@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feedsift.functions import extract, predicates
+from feedsift.functions.text import folded
 from feedsift.operators.columns import computed_once
 
 # Rows that need no detail get one of this many made-up keys, so that a feed
@@ -63,17 +64,16 @@ def attach_details(listings: DataFrame, details: DataFrame) -> DataFrame:
 def with_signals(listings: DataFrame, text: str = "description") -> DataFrame:
     """Flag, salary and remote columns from the text. No text: status unknown, the rest null.
 
-    The lower-case text is made once and shared by the cheap word tests that
-    guard the patterns.
+    The folded text is made once and shared by all patterns.
     """
-    lowered = F.col("_lowered")
-    remote = predicates.mentions_remote(text, lowered)
+    low = F.col("_low")
+    remote = predicates.mentions_remote(text, low)
     scanned = computed_once(
-        listings.withColumn("_lowered", F.lower(F.col(text))),
+        listings.withColumn("_low", folded(text)),
         {
-            "flag_reason": extract.flag_reason(text, lowered),
+            "flag_reason": extract.flag_reason(text, low),
             "salary": extract.best_money_text(text),
             "remote": F.when(F.col(text).isNotNull(), remote),
         },
     )
-    return scanned.drop("_lowered").withColumn("flag_status", extract.flag_status("flag_reason"))
+    return scanned.drop("_low").withColumn("flag_status", extract.flag_status("flag_reason"))

@@ -52,8 +52,13 @@ def alertable(
 
 
 def ranked(listings: DataFrame, tie: str = "first_seq") -> DataFrame:
-    """Whole list in alert order: a range-partitioned sort, ties by first position."""
-    return listings.orderBy(*rank_order(tie))
+    """Whole list in alert order: a range-partitioned sort, ties by first position.
+
+    A global sort reads its input twice, first for a sample of the keys. The
+    rows are rebalanced before it, so that the second reading starts from
+    shuffled rows and not from the texts the keys were read from.
+    """
+    return listings.hint("rebalance").orderBy(*rank_order(tie))
 
 
 def top_listings(

@@ -20,7 +20,7 @@ from feedsift.session import shared_folder
 from feedsift.sources import landed
 from feedsift.sources.details import flatten_details
 from feedsift.sources.dimension import source_dimension
-from feedsift.sources.payloads import LISTING_FIELDS, explode_listings, parse_pages
+from feedsift.sources.payloads import LISTING_FIELDS, explode_pages
 from feedsift.streaming.incremental import Tables, start_incremental, stream_new_keys
 from feedsift.streaming.tables import SEEN_SCHEMA, fresh_listings, read_table, seen_rows, write_run
 
@@ -38,20 +38,16 @@ _POSTING_FIELDS = ("company", "ats", "cap_exempt", *LISTING_FIELDS)
 # --- sources -----------------------------------------------------------------
 
 
-def _parsed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    dimension = source_dimension(spark)
-    pages = landed.with_source(
-        views.landed_pages(spark, sf_dir), dimension, "company", "ats", "address", "cap_exempt"
+def _feed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return landed.with_source(
+        views.landed_pages(spark, sf_dir), source_dimension(spark), "company", "ats", "address"
     )
-    return parse_pages(pages)
 
 
 def _normalised(ats: str) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        pages = _parsed_pages(spark, sf_dir).where(F.col("ats") == ats)
-        return explode_listings(
-            pages, "run_id", "source_ord", "term_no", "page_offset", "company"
-        )
+        pages = _feed_pages(spark, sf_dir).where(F.col("ats") == ats)
+        return explode_pages(pages, "run_id", "source_ord", "term_no", "page_offset", "company")
 
     return query
 
@@ -88,15 +84,15 @@ def stamp_source_attr(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bounded_pull(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = views.page_stats(spark, sf_dir)
-    return landed.bounded_pull(pages).select(
+    return landed.bounded_pull(pages, landed.term_status(pages)).select(
         "run_id", "source_ord", "term_no", "page_offset", "n_rows", "failed", "term_failed"
     )
 
 
 def term_union_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = landed.bounded_pull(_parsed_pages(spark, sf_dir)).where(~F.col("term_failed"))
-    listings = explode_listings(
-        kept.where(landed.is_paged()), "run_id", "source_ord", "term_no", "page_offset"
+    pages = _feed_pages(spark, sf_dir).where(landed.is_paged())
+    listings = explode_pages(
+        landed.pulled_pages(pages), "run_id", "source_ord", "term_no", "page_offset"
     )
     return landed.union_terms(listings).select(
         *landed.SEQ_FIELDS,
@@ -248,8 +244,8 @@ def skill_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.sql(
         f"SELECT doc_id, {views.skill_text_sql('text', 'doc_id')} AS text FROM {{documents}}",
         documents=views.read(spark, sf_dir, "documents"),
-    ).withColumn("lowered", F.lower("text"))
-    hits = extract.skill_hits("text", F.col("lowered"))
+    ).withColumn("low", text.folded("text"))
+    hits = extract.skill_hits("text", F.col("low"))
     return docs.select("doc_id", F.posexplode(hits).alias("hit_no", "hit")).select(
         "doc_id", "hit_no", "hit.label", "hit.n"
     )
@@ -264,8 +260,8 @@ def skills_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
         texts = spark.sql(
             f"SELECT {key}, {views.skill_text_sql(body, by)} AS text FROM {{t}}",
             t=views.read(spark, sf_dir, table),
-        ).withColumn("lowered", F.lower("text"))
-        found = extract.skill_labels(extract.skill_hits("text", F.col("lowered")))
+        ).withColumn("low", text.folded("text"))
+        found = extract.skill_labels(extract.skill_hits("text", F.col("low")))
         return texts.select(F.col(key).alias("pair_no"), found.alias(f"{table}_labels"))
 
     wanted = labels("documents", "doc_id", "text", "doc_id")

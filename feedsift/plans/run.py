@@ -53,4 +53,5 @@ def preview(
     seq: Column | str = "seq",
 ) -> DataFrame:
     """What a run would alert on if nothing had been seen before, in alert order. Writes nothing."""
-    return ranked(alertable(select_listings(listings, options, details, seq), options.skip_flagged))
+    chosen = select_listings(listings, options, details, seq).drop("description")
+    return ranked(alertable(chosen, options.skip_flagged))

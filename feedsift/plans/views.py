@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from feedsift.operators.columns import spread
+
 AS_OF = "2001-08-02"
 PAGES_PER_TERM, TERMS, N_SOURCES = 16, 4, 56
 PAGES_PER_SOURCE = PAGES_PER_TERM * TERMS
@@ -175,7 +177,7 @@ def skill_text_sql(text: str, by: str) -> str:
 
 def read(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFrame:
     frame = spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
-    return frame.select(*columns) if columns else frame
+    return spread(frame.select(*columns) if columns else frame)
 
 
 def _stored(view: DataFrame) -> DataFrame:

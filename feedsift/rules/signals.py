@@ -40,9 +40,21 @@ FLAG_RULES = (
 FLAGGED = "no"
 UNFLAGGED = "unknown"
 
-# A word every text hit by the rule of the same position must hold (ours: a
-# cheap test that saves the pattern scan on texts without the word).
-FLAG_RULE_NEEDS = ("sponsor",) * 7 + ("citizen",) * 2 + ("clearance", "person")
+# Words every text hit by the rule of the same position must hold (ours: cheap
+# tests that save the pattern scan on texts without them).
+FLAG_RULE_NEEDS = (
+    ("sponsorship", "no"),
+    ("sponsorship", "not"),
+    ("sponsorship", "not"),
+    ("sponsorship", "without"),
+    ("sponsor", "not", "requir"),
+    ("sponsor",),
+    ("sponsor", "not"),
+    ("citizen",),
+    ("citizen", "must be"),
+    ("security clearance",),
+    ("must be", "person"),
+)
 
 # Wording that marks the role itself as remote.
 REMOTE_PATTERNS = (
@@ -53,7 +65,7 @@ REMOTE_PATTERNS = (
     r"\bopen to (?:fully )?remote\b",
     r"\bremote\b[^.]{0,25}\b(?:within|across|anywhere in)\b[^.]{0,12}\b(?:the )?(?:us|u\.s\.|united states)\b",
 )
-REMOTE_NEEDS = ("remote", "remote", "from home", "remote", "remote", "remote")
+REMOTE_NEEDS = (("remote",), ("remote",), ("from home",), ("remote", "this "), ("open to ",), ("remote",))
 
 # One dollar amount, its parts, and what makes a hit a range.
 AMOUNT_PATTERN = r"\$\s?\d[\d,]*(?:\.\d+)?\s?[kK]?"

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from feedsift.operators.dedup import keep_last
 from feedsift.rules.feeds import PAGING, SEARCH_TERMS
-from feedsift.sources.payloads import explode_listings, parse_pages
+from feedsift.sources.payloads import explode_pages, page_counts
 
 LANDED_SCHEMA = (
     "run_id BIGINT, source_ord INT, term_no INT, page_offset INT, payload STRING, failed BOOLEAN"
@@ -30,8 +30,12 @@ def read_landed(spark: SparkSession, path: str) -> DataFrame:
 
 
 def with_source(pages: DataFrame, dimension: DataFrame, *columns: str) -> DataFrame:
-    """Attach source columns by entry. Pages of an unknown source are dropped."""
-    return pages.join(dimension.select("source_ord", *columns), "source_ord")
+    """Attach source columns by entry. Pages of an unknown source are dropped.
+
+    Columns the pages hold already (a stored table's ``ats`` partition) stay.
+    """
+    missing = [c for c in columns if c not in pages.columns]
+    return pages.join(dimension.select("source_ord", *missing), "source_ord")
 
 
 def is_paged() -> Column:
@@ -56,6 +60,7 @@ def within_cap() -> Column:
 def term_status(pages: DataFrame) -> DataFrame:
     """Per unit polled: the offset its paging stops at, and whether it failed.
 
+    Takes pages with ``n_rows``, ``total`` and ``failed`` (see ``page_counts``).
     Paging stops at the first page that failed, is empty, or reaches the total
     (a missing total counts as 0). A unit fails when the page it stops at
     failed, a board when any of its files did. Partial aggregation keeps this
@@ -65,8 +70,7 @@ def term_status(pages: DataFrame) -> DataFrame:
     stops = is_paged() & (F.col("failed") | (F.col("n_rows") == 0) | reaches_total)
     failed_at = F.min(F.when(F.col("failed"), F.col("page_offset")))
     return (
-        with_term_key(pages)
-        .where(within_cap())
+        with_term_key(pages.where(within_cap()))
         .groupBy(*TERM_KEYS)
         .agg(
             F.min(F.when(stops, F.col("page_offset"))).alias("stop_offset"),
@@ -82,22 +86,25 @@ def term_status(pages: DataFrame) -> DataFrame:
     )
 
 
-def bounded_pull(pages: DataFrame, status: DataFrame | None = None) -> DataFrame:
+def bounded_pull(pages: DataFrame, status: DataFrame) -> DataFrame:
     """Keep the pages a poll would have fetched; adds ``term_failed``.
 
     The status side has one narrow row per unit polled. Whether it is
     broadcast is left to its measured size.
     """
-    status = term_status(pages) if status is None else status
     return (
-        with_term_key(pages)
-        .where(within_cap())
+        with_term_key(pages.where(within_cap()))
         .join(status, list(TERM_KEYS))
         .where(F.col("stop_offset").isNull() | (F.col("page_offset") <= F.col("stop_offset")))
         .drop("stop_offset", "term_key")
     )
 
 
+def pulled_pages(pages: DataFrame) -> DataFrame:
+    """Pages of the units that did not fail, up to where their paging stops."""
+    return bounded_pull(pages, term_status(page_counts(pages))).where(~F.col("term_failed"))
+
+
 def source_status(status: DataFrame) -> DataFrame:
     """A source failed when every unit polled for it failed."""
     return status.groupBy("run_id", "source_ord").agg(
@@ -121,13 +128,14 @@ def collect_listings(pages: DataFrame, dimension: DataFrame) -> DataFrame:
     Only formats polled per term are merged by id. Boards pass through, so they
     cost no shuffle here.
     """
-    attached = parse_pages(with_source(pages, dimension, "company", "ats", "address", "cap_exempt"))
-    kept = bounded_pull(attached).where(~F.col("term_failed"))
+    kept = pulled_pages(
+        with_source(pages, dimension, "company", "ats", "address", "cap_exempt")
+    )
     carried = (
         "run_id", "source_ord", "term_no", "page_offset", "company", "ats", "cap_exempt",
     )
-    per_term = union_terms(explode_listings(kept.where(is_paged()), *carried))
-    boards = explode_listings(kept.where(~is_paged()), *carried).withColumn(
+    per_term = union_terms(explode_pages(kept.where(is_paged()), *carried))
+    boards = explode_pages(kept.where(~is_paged()), *carried).withColumn(
         "first_seq", order_of(*SEQ_FIELDS)
     )
     return per_term.unionByName(boards).withColumns(
@@ -140,9 +148,10 @@ def collect_listings(pages: DataFrame, dimension: DataFrame) -> DataFrame:
 
 def land_pages(pages: DataFrame, dimension: DataFrame, path: str) -> None:
     """Write pages by format and run, with the counts paging needs beside the payload."""
-    attached = parse_pages(with_source(pages, dimension, "ats", "address"))
+    attached = with_source(pages, dimension, "ats")
+    counted = page_counts(attached.withColumn("body", F.col("payload")))
     (
-        attached.drop("listings", "address")
+        counted.withColumnRenamed("body", "payload")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("ats", "run_id")

@@ -6,6 +6,9 @@ sends a number where another sends a string is still read.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,7 +41,6 @@ LISTING_SCHEMAS = {
 LISTING_FIELDS = (
     "id", "title", "location", "url", "posted_on", "detail_api", "oracle_detail", "description",
 )
-_LISTINGS = "array<struct<" + ", ".join(f"{f}: string" for f in LISTING_FIELDS) + ">>"
 _MILLIS_PER_DAY = 86_400_000
 
 
@@ -151,50 +153,83 @@ _NORMALISERS = {
 }
 
 
-def parse_pages(pages: DataFrame) -> DataFrame:
-    """Add ``listings`` (array, empty when there are none), ``n_rows``, ``total`` and ``failed``.
+# The same payloads with just enough to count listings and read the total.
+COUNT_SCHEMAS = {
+    "workday": "total STRING, jobPostings ARRAY<STRUCT<title STRING>>",
+    "greenhouse": "jobs ARRAY<STRUCT<id STRING>>",
+    "lever": "ARRAY<STRUCT<id STRING>>",
+    "oracle": "items ARRAY<STRUCT<TotalJobsCount STRING, requisitionList ARRAY<STRUCT<Id STRING>>>>",
+}
+_LISTS = {
+    "workday": lambda parsed: parsed["jobPostings"],
+    "greenhouse": lambda parsed: parsed["jobs"],
+    "lever": lambda parsed: parsed,
+    "oracle": lambda parsed: F.get(parsed["items"], F.lit(0))["requisitionList"],
+}
 
-    Needs ``ats``, ``address``, ``payload`` and, if known, ``failed``. All formats
-    are read in one pass: a row parses its own format only. A payload that is
-    missing or not JSON marks the page failed. A format without a reader gives
-    no rows and does not fail.
-    """
-    parsed = {}
-    for ats, schema in LISTING_SCHEMAS.items():
-        whole = schema if ats == "lever" else f"{schema}, {_CORRUPT} STRING"
-        parsed[f"_{ats}"] = F.when(
-            F.col("ats") == ats, F.from_json("payload", whole, _PERMISSIVE)
+
+def _parsed(schemas: dict[str, str]) -> dict[str, Column]:
+    """One column per format, null on rows of another format, so a row is parsed once."""
+    return {
+        f"_{ats}": F.when(
+            F.col("ats") == ats,
+            F.from_json(
+                "payload", schema if ats == "lever" else f"{schema}, {_CORRUPT} STRING", _PERMISSIVE
+            ),
         )
-    frame = pages.withColumns(parsed)
-
-    listings, unreadable = [], F.lit(False)
-    for ats, normalise in _NORMALISERS.items():
-        column = F.col(f"_{ats}")
-        listings.append(normalise(column))
-        if ats == "lever":
-            broken = column.isNull() & ~trim_spaces("payload").eqNullSafe(F.lit("null"))
-        else:
-            broken = column.isNull() | column[_CORRUPT].isNotNull()
-        unreadable = unreadable | ((F.col("ats") == ats) & broken)
+        for ats, schema in schemas.items()
+    }
+
+
+def _unreadable(ats: str) -> Column:
+    column = F.col(f"_{ats}")
+    if ats == "lever":
+        return column.isNull() & ~trim_spaces("payload").eqNullSafe(F.lit("null"))
+    return column.isNull() | column[_CORRUPT].isNotNull()
+
 
+def page_counts(pages: DataFrame) -> DataFrame:
+    """Add ``n_rows``, ``total`` and ``failed`` in place of ``payload``.
+
+    Pages that already hold the counts are passed on and their payload column
+    is never read. A payload that is missing or not JSON marks the page failed.
+    A format without a reader has no rows and does not fail.
+    """
+    if {"n_rows", "total", "failed"} <= set(pages.columns):
+        return pages.drop("payload")
     known_failed = F.col("failed") if "failed" in pages.columns else F.lit(False)
+    failed = F.coalesce(known_failed, F.lit(False))
+    sizes = []
+    for ats, rows_of in _LISTS.items():
+        own = F.col("ats") == ats
+        failed = failed | (own & _unreadable(ats))
+        sizes.append(F.when(own, F.size(F.coalesce(rows_of(F.col(f"_{ats}")), F.array()))))
     total = F.coalesce(
         F.col("_workday.total"), F.get(F.col("_oracle.items"), F.lit(0))["TotalJobsCount"]
     )
-    frame = frame.withColumns(
-        {
-            "failed": F.coalesce(known_failed, F.lit(False)) | unreadable,
-            "total": total.try_cast("double"),
-            "listings": F.coalesce(*listings, F.array().cast(_LISTINGS)),
-        }
-    ).drop(*parsed)
-    return frame.withColumn(
-        "listings", F.when(F.col("failed"), F.array().cast(_LISTINGS)).otherwise(F.col("listings"))
-    ).withColumn("n_rows", F.size("listings").cast("long"))
-
-
-def explode_listings(parsed_pages: DataFrame, *keep: str) -> DataFrame:
-    """One row per listing, with ``pos`` (place within its page) and the ``keep`` columns."""
-    return parsed_pages.select(*keep, F.posexplode("listings").alias("pos", "listing")).select(
-        *keep, "pos", *(F.col(f"listing.{f}").alias(f) for f in LISTING_FIELDS)
+    parsed = _parsed(COUNT_SCHEMAS)
+    kept = [c for c in pages.columns if c not in ("payload", "failed")]
+    return pages.withColumns(parsed).select(
+        *kept,
+        failed.alias("failed"),
+        F.coalesce(*sizes, F.lit(0)).cast("long").alias("n_rows"),
+        total.try_cast("double").alias("total"),
+    )
+
+
+def explode_pages(pages: DataFrame, *keep: str) -> DataFrame:
+    """One row per listing of any format, with ``pos`` (place on its page) and the ``keep`` columns.
+
+    Needs ``ats``, ``address`` and ``payload``. Pages that cannot be read have no listings.
+    """
+    listings = F.coalesce(
+        *(normalise(F.col(f"_{ats}")) for ats, normalise in _NORMALISERS.items())
+    )
+    unreadable = reduce(
+        or_, ((F.col("ats") == ats) & _unreadable(ats) for ats in ("workday", "greenhouse", "oracle"))
+    )
+    return (
+        pages.withColumns(_parsed(LISTING_SCHEMAS))
+        .select(*keep, F.posexplode(F.when(~unreadable, listings)).alias("pos", "listing"))
+        .select(*keep, "pos", *(F.col(f"listing.{f}").alias(f) for f in LISTING_FIELDS))
     )
