@@ -20,6 +20,7 @@ from feedsift.sources.payloads import explode_pages, page_counts
 LANDED_SCHEMA = (
     "run_id BIGINT, source_ord INT, term_no INT, page_offset INT, payload STRING, failed BOOLEAN"
 )
+STORED_SCHEMA = LANDED_SCHEMA + ", n_rows BIGINT, total DOUBLE, ats STRING"
 TERM_KEYS = ("run_id", "source_ord", "term_key")
 SEQ_FIELDS = ("run_id", "source_ord", "term_no", "page_offset", "pos")
 
@@ -147,17 +148,25 @@ def collect_listings(pages: DataFrame, dimension: DataFrame) -> DataFrame:
 
 
 def land_pages(pages: DataFrame, dimension: DataFrame, path: str) -> None:
-    """Write pages by format and run, with the counts paging needs beside the payload."""
-    attached = with_source(pages, dimension, "ats")
-    counted = page_counts(attached.withColumn("body", F.col("payload")))
+    """Write pages by format and run, with the counts paging needs beside the payload.
+
+    Paging is then decided from two narrow columns, and each format's listings
+    are read from that format's partitions only.
+    """
+    attached = with_source(pages, dimension, "ats").withColumn("body", F.col("payload"))
     (
-        counted.withColumnRenamed("body", "payload")
+        page_counts(attached)
+        .withColumnRenamed("body", "payload")
         .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
         .partitionBy("ats", "run_id")
         .parquet(path)
     )
 
 
+def read_stored(spark: SparkSession, path: str) -> DataFrame:
+    """Pages written by ``land_pages``."""
+    return spark.read.schema(STORED_SCHEMA).parquet(path)
+
+
 def search_terms(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(enumerate(SEARCH_TERMS)), "term_no INT, term STRING")

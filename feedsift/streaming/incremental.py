@@ -16,7 +16,7 @@ from feedsift.operators.tracker import tracker_rows
 from feedsift.plans.run import RunOptions, select_listings
 from feedsift.rules.feeds import SOURCES
 from feedsift.sources.dimension import source_dimension
-from feedsift.sources.landed import LANDED_SCHEMA, collect_listings
+from feedsift.sources.landed import LANDED_SCHEMA, collect_listings, land_pages, read_stored
 from feedsift.streaming.tables import (
     SEEN_SCHEMA,
     fresh_listings,
@@ -32,6 +32,10 @@ class Tables:
 
     root: str
 
+    @property
+    def pages(self) -> str:
+        return f"{self.root}/pages"
+
     @property
     def seen(self) -> str:
         return f"{self.root}/seen"
@@ -89,9 +93,17 @@ def run_pages(
     details: DataFrame | None = None,
     sources=SOURCES,
 ) -> None:
-    """One run over a batch of landed pages."""
-    dimension = source_dimension(pages.sparkSession, sources)
-    chosen = select_listings(collect_listings(pages, dimension), options, details)
+    """One run over a batch of landed pages.
+
+    The batch is stored once, by format and with its counts, and the run works
+    on the stored pages: the raw files are read a single time.
+    """
+    spark = pages.sparkSession
+    dimension = source_dimension(spark, sources)
+    stored = f"{tables.pages}/batch-{run_id}"
+    land_pages(pages, dimension, stored)
+    listings = collect_listings(read_stored(spark, stored), dimension)
+    chosen = select_listings(listings, options, details)
     record_and_emit(chosen.drop("run_id"), tables, run_id, options, dimension, len(sources))
 
 
