@@ -109,7 +109,8 @@ SELECT o_orderkey AS seq,
 FROM {{orders}}
 """
 
-_SOURCE = f"CAST(floor(o_orderkey / {PAGES_PER_SOURCE}) AS BIGINT) % {N_SOURCES}"
+# The step of 17 visits every source once per run and reaches each format early.
+_SOURCE = f"(CAST(floor(o_orderkey / {PAGES_PER_SOURCE}) AS BIGINT) * 17 + 50) % {N_SOURCES}"
 _TERM = f"CAST(floor(o_orderkey / {PAGES_PER_TERM}) AS BIGINT)"
 
 # One page per order. ``flag_failed``: the poll recorded a failure; ``broken``: the payload is not JSON.
