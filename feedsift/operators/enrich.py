@@ -9,11 +9,6 @@ from feedsift.functions import extract, predicates
 from feedsift.functions.text import folded
 from feedsift.operators.columns import computed_once
 
-# Rows that need no detail get one of this many made-up keys, so that a feed
-# with inline texts does not meet in one task of the detail join.
-_SPREAD = 4096
-
-
 def detail_key() -> Column:
     """Where a listing's detail is found; null when the text is inline or there is none."""
     inline = F.coalesce(F.col("description"), F.lit("")) != ""
@@ -39,10 +34,11 @@ def attach_details(listings: DataFrame, details: DataFrame) -> DataFrame:
     """Left join of flattened details (unique ``detail_key``).
 
     Adds ``has_detail``; ``description`` and ``location`` become the detail's
-    where it has them.
+    where it has them. A row that needs no detail gets a made-up key of its
+    own, so that a feed with inline texts does not meet in one task of the join.
     """
     key = detail_key()
-    spread = F.concat(F.lit("\u0000"), F.pmod(F.xxhash64("listing_key"), F.lit(_SPREAD)).cast("string"))
+    spread = F.concat(F.lit("\u0000"), F.xxhash64("listing_key").cast("string"))
     found = details.select(
         "detail_key",
         F.col("description").alias("_description"),

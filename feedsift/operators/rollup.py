@@ -63,6 +63,8 @@ def source_health(pages: DataFrame, dimension: DataFrame, checked=("workday",))
         F.bool_or(~F.col("failed")).alias("any_ok"),
         F.max(F.when(~F.col("failed"), F.col("total"))).alias("total"),
     )
+    # A run keeps at most one row per entry of the dimension; pages of unknown sources are left out.
+    stats = stats.join(dimension.select("source_ord"), "source_ord")
     # One list of entries, repeated per run by a generator rather than a join of runs and entries.
     runs = stats.groupBy("run_id").agg(
         F.collect_list(F.struct("source_ord", "any_ok", "total")).alias("polled")

@@ -61,7 +61,10 @@ def detail_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return landed.collect_listings(views.landed_pages(spark, sf_dir), source_dimension(spark))
+    """Pages are stored by format first, then collected from the stored table."""
+    path, dimension = shared_folder(spark, "pages"), source_dimension(spark)
+    landed.land_pages(views.landed_pages(spark, sf_dir), dimension, path)
+    return landed.collect_listings(landed.read_stored(spark, path), dimension)
 
 
 def union_feeds(spark: SparkSession, sf_dir: str) -> DataFrame:

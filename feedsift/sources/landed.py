@@ -148,7 +148,7 @@ def collect_listings(pages: DataFrame, dimension: DataFrame) -> DataFrame:
 
 
 def land_pages(pages: DataFrame, dimension: DataFrame, path: str) -> None:
-    """Write pages by format and run, with the counts paging needs beside the payload.
+    """Write pages by format, with the counts paging needs beside the payload.
 
     Paging is then decided from two narrow columns, and each format's listings
     are read from that format's partitions only.
@@ -158,7 +158,7 @@ def land_pages(pages: DataFrame, dimension: DataFrame, path: str) -> None:
         page_counts(attached)
         .withColumnRenamed("body", "payload")
         .write.mode("overwrite")
-        .partitionBy("ats", "run_id")
+        .partitionBy("ats")
         .parquet(path)
     )
 

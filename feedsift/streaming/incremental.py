@@ -104,7 +104,8 @@ def run_pages(
     land_pages(pages, dimension, stored)
     listings = collect_listings(read_stored(spark, stored), dimension)
     chosen = select_listings(listings, options, details)
-    record_and_emit(chosen.drop("run_id"), tables, run_id, options, dimension, len(sources))
+    chosen = chosen.drop("run_id", "description", "detail_api", "oracle_detail")
+    record_and_emit(chosen, tables, run_id, options, dimension, len(sources))
 
 
 def start_incremental(

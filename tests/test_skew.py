@@ -77,7 +77,7 @@ def test_inline_rows_do_not_meet_in_the_detail_join(spark, hot):
     assert got.count() == N
     assert got.where("description = 'inline'").count() == N // 3
     text = got._jdf.queryExecution().executedPlan().toString()
-    assert re.search(r"coalesce\(.*pmod\(xxhash64", text)
+    assert re.search(r"coalesce\(.*xxhash64", text)
 
 
 def test_hot_seen_key(spark, hot):
