@@ -20,12 +20,19 @@ def computed_once(rows: DataFrame, columns: dict[str, Column]) -> DataFrame:
     return rows.select(*kept, F.inline(packed))
 
 
+# Inputs of more splits than this are never dealt out again.
+SPREAD_SPLITS = 64
+
+
 def spread(rows: DataFrame) -> DataFrame:
-    """Share a small input among all cores.
+    """Share a small input among idle cores.
 
-    An input that comes in fewer splits than there are cores is small; text
-    work on it would leave cores idle, so its rows are dealt out. An input of
-    many splits is returned as it is, without a shuffle.
+    An input of a few splits leaves cores without work, and text work per split
+    is long, so its rows are dealt out. Any other input is returned as it is,
+    without a shuffle.
     """
     cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+    splits = rows.rdd.getNumPartitions()
+    if splits > SPREAD_SPLITS or splits >= cores:
+        return rows
+    return rows.repartition(min(cores, splits * 32))

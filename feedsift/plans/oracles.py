@@ -610,7 +610,7 @@ SELECT *, count(*) FILTER (WHERE status = 'bad') OVER (PARTITION BY run_id) AS n
         "digest_html": f"{message}SELECT n_shown, extra, html_message FROM message",
         "seen_upsert": f"""{_with(_EVENT_KEYS)}
 SELECT listing_key, any_value(event_type) AS company, CAST(any_value(user_id) AS VARCHAR) AS title,
-       min(ts) AS seen_at, CASE WHEN bool_or(early) THEN 0 ELSE 1 END AS run_id FROM ev GROUP BY listing_key""",
+       min(ts) AS seen_at, CAST(CASE WHEN bool_or(early) THEN 0 ELSE 1 END AS BIGINT) AS run_id FROM ev GROUP BY listing_key""",
         "tracker_rows": _tracker_oracle(),
         "digest_parts": "WITH RECURSIVE " + ",\n".join(
             (_POSTINGS, _selected(), _RANKED, _DIGEST, _chunks("message", "n_shown", "text_message", q.PART_LIMIT))
@@ -618,5 +618,5 @@ SELECT listing_key, any_value(event_type) AS company, CAST(any_value(user_id) AS
         "preview_run": _run(f"SELECT company, title, location, {_meta()} AS meta, url FROM ranked", _RANKED),
         "incremental_run": _incremental_oracle(),
         "stream_dedup": f"""{_with(_EVENT_KEYS)}
-SELECT listing_key, CASE WHEN bool_or(early) THEN 0 ELSE 1 END AS run_id FROM ev GROUP BY listing_key""",
+SELECT listing_key, CAST(CASE WHEN bool_or(early) THEN 0 ELSE 1 END AS BIGINT) AS run_id FROM ev GROUP BY listing_key""",
     }

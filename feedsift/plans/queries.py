@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -448,26 +449,39 @@ def incremental_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, tables.seen, SEEN_SCHEMA).drop("seen_at")
 
 
+def _wide(query: Query) -> Query:
+    """Positions and ordinals as BIGINT, the type the reference SQL counts in."""
+
+    @wraps(query)
+    def widened(spark: SparkSession, sf_dir: str) -> DataFrame:
+        frame = query(spark, sf_dir)
+        return frame.select(
+            *(F.col(n).cast("long").alias(n) if kind == "int" else n for n, kind in frame.dtypes)
+        )
+
+    return widened
+
+
 def all_queries() -> dict[str, Query]:
     def listing(name: str, column: Callable[[], Column]) -> Query:
         return _listing_query(name, column)
 
     return {
-        "norm_workday": _normalised("workday"),
-        "norm_greenhouse": _normalised("greenhouse"),
-        "norm_lever": _normalised("lever"),
-        "norm_oracle": _normalised("oracle"),
+        "norm_workday": _wide(_normalised("workday")),
+        "norm_greenhouse": _wide(_normalised("greenhouse")),
+        "norm_lever": _wide(_normalised("lever")),
+        "norm_oracle": _wide(_normalised("oracle")),
         "detail_flatten": detail_flatten,
-        "union_feeds": union_feeds,
-        "stamp_source_attr": stamp_source_attr,
+        "union_feeds": _wide(union_feeds),
+        "stamp_source_attr": _wide(stamp_source_attr),
         "bounded_pull": bounded_pull,
-        "term_union_dedup": term_union_dedup,
+        "term_union_dedup": _wide(term_union_dedup),
         "attach_detail": attach_detail,
         "html_strip": _page_text(text.strip_tags),
         "html_decode": _page_text(text.decode_entities),
         "html_escape": _page_text(text.escape_html),
-        "doc_chunks": doc_chunks,
-        "conv_chunks": conv_chunks,
+        "doc_chunks": _wide(doc_chunks),
+        "conv_chunks": _wide(conv_chunks),
         "title_include": listing("included", lambda: predicates.title_included("title")),
         "title_exclude": listing(
             "excluded", lambda: predicates.title_excluded("title", profiles.LOCAL)
@@ -500,7 +514,7 @@ def all_queries() -> dict[str, Query]:
         "rank_rows": rank_rows,
         "topn_overflow": topn_overflow,
         "flag_breakdown": flag_breakdown,
-        "source_counts": source_counts,
+        "source_counts": _wide(source_counts),
         "run_counters": run_counters,
         "source_failures": source_failures,
         "source_health": source_health,
