@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from feedsift.llm import stages
-from feedsift.llm.scratch import stored
+from feedsift.llm.scratch import importable, stored
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -21,6 +21,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each result is stored before the next stage."""
+    importable(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for n, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)

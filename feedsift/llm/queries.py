@@ -4,18 +4,34 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedsift.llm import quality
+from feedsift.llm import bpe, quality, records
+from feedsift.llm.scratch import importable
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    importable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def vocabulary(name: str) -> str:
+    """Place of a public tokenizer's file; operators take any path."""
+    return public_tokenizers.path(name)
+
+
+def op7_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records.record_digests(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=1)
+
+
+def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.code_digests(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     verdicts = quality.quality_verdicts(table(spark, sf_dir, "documents"))
     return verdicts.select(
@@ -25,5 +41,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def llm_queries() -> dict[str, Query]:
     return {
+        "op7_token_records": op7_token_records,
+        "op9_bpe_codec": op9_bpe_codec,
         "op10_quality_rules": op10_quality_rules,
     }

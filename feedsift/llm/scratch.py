@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,3 +35,11 @@ def text_key(text: str = "text") -> Column:
     Rows equal in both are repeated rows and share every result.
     """
     return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+
+
+def importable(spark: SparkSession) -> None:
+    """Let Python workers find this package where it is not installed for them."""
+    root = str(Path(__file__).resolve().parents[2])
+    place = spark.sparkContext.environment
+    if root not in place.get("PYTHONPATH", "").split(":"):
+        place["PYTHONPATH"] = ":".join(filter(None, (place.get("PYTHONPATH"), root)))
