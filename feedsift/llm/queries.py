@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedsift.llm import bpe, packing, quality, records
+from feedsift.llm import bpe, packing, quality, records, secrets
 from feedsift.llm.scratch import importable
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,10 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan_secrets(table(spark, sf_dir, "documents"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
@@ -45,6 +49,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def llm_queries() -> dict[str, Query]:
     return {
+        "op1_secret_scans": op1_secret_scans,
         "op5_packing": op5_packing,
         "op7_token_records": op7_token_records,
         "op9_bpe_codec": op9_bpe_codec,
