@@ -160,3 +160,34 @@ def arrow_map(frame, work: Callable, schema: str, text: str = "text"):
 def list_array(values: np.ndarray, offsets: np.ndarray, kind: pa.DataType) -> pa.Array:
     """An array of lists over one flat array."""
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, kind))
+
+
+def kept_text(words: Words, keep: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """Kept words joined by one blank: the bytes of all texts, and where each begins."""
+    numbers = np.flatnonzero(keep)
+    owner = np.searchsorted(words.first, numbers, side="right") - 1
+    inner = np.append(owner[1:] == owner[:-1], False) if len(numbers) else np.zeros(0, bool)
+    marks = np.zeros(len(words.data) + 1, np.int8)
+    marks[words.start[numbers]] = 1
+    marks[words.end[numbers]] -= 1
+    taken = np.cumsum(marks[:-1], dtype=np.int8).astype(bool)
+    data = words.data.copy()
+    blanks = words.end[numbers[inner]]  # a further word follows, so a separator stands there
+    data[blanks] = 0x20
+    taken[blanks] = True
+    sizes = np.zeros(len(data) + 1, np.int64)
+    np.cumsum(taken, out=sizes[1:])
+    return data[taken].tobytes(), sizes[words.rows]
+
+
+def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
+    """Least of each ``width`` values that follow one another."""
+    n = len(values) - width + 1
+    if n <= 0:
+        return values[:0]
+    padded = np.full(-(-len(values) // width) * width, np.iinfo(values.dtype).max, values.dtype)
+    padded[:len(values)] = values
+    blocks = padded.reshape(-1, width)
+    ahead = np.minimum.accumulate(blocks, axis=1).ravel()
+    behind = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
+    return np.minimum(behind[:n], ahead[width - 1:width - 1 + n])

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedsift.llm import bpe, packing, quality, records, secrets
+from feedsift.llm import bpe, packing, quality, records, secrets, substring
 from feedsift.llm.scratch import importable
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,6 +36,10 @@ def op7_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.record_digests(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=1)
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.substring_report(table(spark, sf_dir, "documents"))
+
+
 def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.code_digests(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
@@ -52,6 +56,7 @@ def llm_queries() -> dict[str, Query]:
         "op1_secret_scans": op1_secret_scans,
         "op5_packing": op5_packing,
         "op7_token_records": op7_token_records,
+        "op8_substring_dedup": op8_substring_dedup,
         "op9_bpe_codec": op9_bpe_codec,
         "op10_quality_rules": op10_quality_rules,
     }
