@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedsift.llm import bpe, embed, minhash, packing, quality, records, secrets, substring
+from feedsift.llm import bpe, embed, html, minhash, packing, quality, records, secrets, substring
 from feedsift.llm.scratch import importable
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +32,10 @@ def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents")).drop("text_key")
 
 
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract_text(table(spark, sf_dir, "pages"))
+
+
 def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed.near_vectors(table(spark, sf_dir, "embeddings"))
 
@@ -63,6 +67,7 @@ def llm_queries() -> dict[str, Query]:
     return {
         "op1_secret_scans": op1_secret_scans,
         "op2_minhash_dedup": op2_minhash_dedup,
+        "op3_html_text": op3_html_text,
         "op4_embedding_dedup": op4_embedding_dedup,
         "op5_packing": op5_packing,
         "op7_token_records": op7_token_records,
