@@ -13,6 +13,10 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 STAGES: list[tuple[str, Stage]] = [
     ("quality_rules", stages.quality_rules),
+    ("minhash_dedup", stages.minhash_dedup),
+    ("substring_dedup", stages.substring_dedup),
+    ("secret_scans", stages.secret_scans),
+    ("packing", stages.pack),
 ]
 
 # SQL cannot express the stages; tests/llm holds the run against brute force.

@@ -3,5 +3,10 @@
 from __future__ import annotations
 
 
+from feedsift.llm import licenses
+
+
 def llm_oracles() -> dict[str, str]:
-    return {}
+    return {
+        "op6_license_scans": licenses.oracle(),
+    }

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedsift.llm import bpe, embed, html, minhash, packing, quality, records, secrets, substring
+from feedsift.llm import bpe, embed, html, licenses, minhash, packing, quality, records, secrets, substring
 from feedsift.llm.scratch import importable
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,6 +44,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op6_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op7_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.record_digests(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=1)
 
@@ -70,6 +74,7 @@ def llm_queries() -> dict[str, Query]:
         "op3_html_text": op3_html_text,
         "op4_embedding_dedup": op4_embedding_dedup,
         "op5_packing": op5_packing,
+        "op6_license_scans": op6_license_scans,
         "op7_token_records": op7_token_records,
         "op8_substring_dedup": op8_substring_dedup,
         "op9_bpe_codec": op9_bpe_codec,

@@ -7,28 +7,67 @@ judged by text alone where a rule looks at one text, and linked with nothing.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedsift.llm import quality
+from feedsift.llm import minhash, packing, quality, secrets, substring
 from feedsift.llm.scratch import stored, text_key
 
 
-def _named(docs: DataFrame, *extra: str) -> DataFrame:
-    """doc_id and text key beside the named columns, as the operators want them."""
-    return docs.select("doc_id", text_key().alias("text_key"), *extra)
+def _beside(docs: DataFrame, found: DataFrame) -> tuple[DataFrame, Column]:
+    """``found`` with its columns renamed, and the condition that joins it to rows of ``docs``."""
+    other = found.select([F.col(c).alias(f"__stage_{c}") for c in found.columns])
+    same = docs["doc_id"].eqNullSafe(F.col("__stage_doc_id")) & (
+        F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("__stage_text_key")
+    )
+    return other, same
 
 
 def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     """Rows of ``docs`` whose doc_id and text key are not in ``dropped``."""
-    gone = dropped.select(F.col("doc_id").alias("_gone_id"), F.col("text_key").alias("_gone_key"))
-    return docs.join(
-        gone, docs["doc_id"].eqNullSafe(F.col("_gone_id")) & (text_key() == F.col("_gone_key")), "left_anti"
-    )
+    return docs.join(*_beside(docs, dropped), "left_anti")
+
+
+def _with_text(docs: DataFrame, found: DataFrame, text: Column) -> DataFrame:
+    """``docs`` with ``text`` where ``found`` has the row; n_chars follows."""
+    joined = docs.join(*_beside(docs, found), "left")
+    changed = F.col("__stage_text_key").isNotNull()
+    new = {"text": F.when(changed, text).otherwise(docs["text"])}
+    if "n_chars" in docs.columns:
+        kind = dict(docs.dtypes)["n_chars"]
+        new["n_chars"] = F.when(changed, F.char_length(text).cast(kind)).otherwise(docs["n_chars"])
+    return joined.select([new.get(c, docs[c]).alias(c) for c in docs.columns])
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    keep = ("doc_id", "text_key", "lang", "source")
-    verdicts = quality.quality_verdicts(_named(docs, "lang", "source", "text"), keep)
+    """Documents that the quality rules keep."""
+    named = docs.select("doc_id", text_key().alias("text_key"), "lang", "source", "text")
+    verdicts = quality.quality_verdicts(named, ("doc_id", "text_key", "lang", "source"))
     dropped = verdicts.filter(~F.col("kept")).select("doc_id", "text_key").distinct()
     return _without(docs, stored(dropped, "rejected"))
+
+
+def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates, the one with the least doc_id."""
+    dropped = minhash.near_duplicates(docs.select("doc_id", "text")).filter(~F.col("kept"))
+    return _without(docs, stored(dropped.select("doc_id", "text_key").distinct(), "copies"))
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the words in passages that earlier documents hold."""
+    _, shorter = substring.remove_substrings(docs.select("doc_id", "text"), with_text=True)
+    changed = stored(shorter.select("doc_id", "text_key", "kept_text").dropDuplicates(["doc_id", "text_key"]), "shorter")
+    return _with_text(docs, changed, F.col("__stage_kept_text"))
+
+
+def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with secrets masked."""
+    found = secrets.secret_spans(docs.select("doc_id", "text")).filter(F.size("spans") > 0)
+    spans = stored(found.dropDuplicates(["doc_id", "text_key"]), "spans")
+    return _with_text(docs, spans, secrets.masked(docs["text"], F.col("__stage_spans")))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents and their places in sequences."""
+    return packing.pack_documents(docs.select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
