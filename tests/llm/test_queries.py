@@ -1,0 +1,188 @@
+"""Registered queries against plain versions, on rows with nulls, ties, repeats and clashing columns."""
+
+import zlib
+from collections import Counter, defaultdict
+
+import brute
+import numpy as np
+import public_tokenizers
+import pytest
+from tokenizers import Tokenizer
+
+from feedsift.llm import embed, html, packing, quality
+
+OPERATORS = (
+    "op1_secret_scans", "op2_minhash_dedup", "op3_html_text", "op4_embedding_dedup", "op5_packing", "op6_license_scans",
+    "op7_token_records", "op8_substring_dedup", "op9_bpe_codec", "op10_quality_rules", "pipeline",
+)
+
+
+def same(found, wanted):
+    """Equal as bags of rows."""
+    assert Counter(map(repr, found)) == Counter(map(repr, wanted))
+
+
+def library(name, texts):
+    tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
+    return tokenizer, [e.ids for e in tokenizer.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
+
+
+@pytest.mark.parametrize("name", OPERATORS)
+def test_empty_tables(ask, empty_dir, name):
+    assert ask(name, empty_dir) == []
+
+
+def test_secrets(ask, sample_dir, documents):
+    rows = ask("op1_secret_scans", sample_dir)
+    wanted = [(r["doc_id"], *brute.secrets(r["text"] or "")) for r in documents]
+    same(
+        [(r["doc_id"], [r["n_assign"], r["n_access"], r["n_hex"]], r["base_sha256"]) for r in rows],
+        [(i, n, brute.hexed(told)) for i, n, told in wanted],
+    )
+    kinds = Counter(s.split(":")[0] for r in rows for s in r["spans"].split(",") if s)
+    assert kinds["private_key"] == kinds["hosting_token"] == kinds["chat_token"] == kinds["cloud_key"] == 1
+    assert sum(kinds[k] for k in ("assign", "access", "hex")) == sum(sum(n) for _, n, _ in wanted)
+
+
+def test_near_documents(ask, sample_dir, documents):
+    wanted = brute.near_documents(documents)
+    same(
+        [(r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in ask("op2_minhash_dedup", sample_dir)],
+        [(r["doc_id"], n, c, r["doc_id"] == c) for r, (n, c) in zip(documents, wanted, strict=True)],
+    )
+
+
+def test_pages(ask, sample_dir):
+    rows = sorted(ask("op3_html_text", sample_dir), key=lambda r: (r["page_id"] is None, r["page_id"] or 0))
+    assert [r["text"] for r in rows[:3]] == ["Head\n\none two three\n\nfour\nfive", "", ""]
+    assert [r["text"] for r in rows if r["page_id"] in (5, 8, 9)] == [
+        "plain & simple", "- a\n- b", "a          b\nlong cell  c"
+    ]
+    assert rows[-1]["page_id"] is None and rows[-1]["text"] == "<"
+    assert all(r["n_chars"] == len(r["text"]) for r in rows)
+
+
+def test_vectors(ask, sample_dir, vectors):
+    usable = [embed._unit(r["embedding"]) if r["vec_id"] is not None else None for r in vectors]
+    groups, links = brute.Groups(len(vectors)), [0] * len(vectors)
+    for i, a in enumerate(usable):
+        for j in range(i):
+            b = usable[j]
+            if a is not None and b is not None and len(a) == len(b) and a @ b >= 0.95:
+                groups.join(i, j)
+                links[i] += 1
+                links[j] += 1
+    least = defaultdict(lambda: 10**9)
+    for i, r in enumerate(vectors):
+        if r["vec_id"] is not None:
+            least[groups.top(i)] = min(least[groups.top(i)], r["vec_id"])
+    wanted = [
+        (r["vec_id"], links[i], None if r["vec_id"] is None else least[groups.top(i)])
+        for i, r in enumerate(vectors)
+    ]
+    assert sum(links) > 500
+    same(
+        [(r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in ask("op4_embedding_dedup", sample_dir)],
+        [(i, n, c, i == c) for i, n, c in wanted],
+    )
+
+
+def test_vectors_in_many_chunks(spark, monkeypatch, sample_dir):
+    frame = spark.read.parquet(f"{sample_dir}/embeddings.parquet")
+    whole = sorted(map(repr, embed.near_vectors(frame).collect()))
+    monkeypatch.setattr(embed, "CHUNK", 7)
+    assert sorted(map(repr, embed.near_vectors(frame).collect())) == whole
+
+
+def check_packed(rows, texts):
+    """Pieces cover each text once, and sequences have no gap and no overlap."""
+    _, ids = library("byte_bpe_50k.json", texts)
+    pieces = Counter()
+    for whole in ids:
+        whole = [*whole, 0]
+        for a in range(0, len(whole), 1024):
+            part = whole[a:a + 1024]
+            pieces[a, len(part), zlib.crc32(np.array(part, "<u4").tobytes()), len(whole)] += 1
+    assert Counter((r["start"], r["length"], r["ids_crc32"], r["doc_tokens"]) for r in rows) == pieces
+    sequences = defaultdict(list)
+    for r in rows:
+        sequences[r["sequence_id"]].append((r["offset"], r["length"]))
+    for parts in sequences.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= 1024
+    return len(sequences)
+
+
+def test_packing(ask, sample_dir, documents):
+    rows = ask("op5_packing", sample_dir)
+    n = check_packed(rows, [r["text"] for r in documents])
+    assert n <= 1 + 1.1 * sum(r["length"] for r in rows) / 1024
+
+
+def test_patterns_place_every_length():
+    histogram = {length: 1 + length * 37 % 11 for length in range(1, 1024, 3)} | {5: 100_000, 700: 40_000}
+    patterns = packing.packed_patterns(histogram, 1024)
+    used = Counter()
+    for lengths, count in patterns:
+        assert sum(lengths) <= 1024 and list(lengths) == sorted(lengths, reverse=True)
+        for length in lengths:
+            used[length] += count
+    assert used == Counter(histogram)
+
+
+def test_records(ask, sample_dir, documents):
+    rows = ask("op7_token_records", sample_dir)
+    _, ids = library("word_bpe_49k.json", [r["text"] for r in documents])
+    wanted = [
+        (r["doc_id"], len(x) + 1, zlib.crc32(np.array([*x, 1], "<u4").tobytes())) for r, x in zip(documents, ids, strict=True)
+    ]
+    same([(r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in rows], wanted)
+    at = 0
+    for r in sorted(rows, key=lambda r: r["start"]):
+        assert r["start"] == at
+        at += r["n_tokens"]
+    order = [-1 if r["doc_id"] is None else r["doc_id"] for r in sorted(rows, key=lambda r: r["start"])]
+    assert order == sorted(order)
+
+
+def test_substrings(ask, sample_dir, documents):
+    wanted = [
+        (r["doc_id"], n, gone, brute.hexed(kept)) for r, (n, gone, kept) in zip(documents, brute.shortened(documents), strict=True)
+    ]
+    assert sum(w[2] for w in wanted) > 1000
+    same([(r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in ask("op8_substring_dedup", sample_dir)], wanted)
+
+
+def test_codec(ask, sample_dir, documents):
+    tokenizer, ids = library("word_bpe_49k.json", [r["text"] for r in documents])
+    wanted = [
+        (r["doc_id"], len(x), brute.hexed(np.array(x, "<u4").tobytes()), brute.hexed(tokenizer.decode(x, skip_special_tokens=False)))
+        for r, x in zip(documents, ids, strict=True)
+    ]
+    rows = ask("op9_bpe_codec", sample_dir)
+    same([(r["doc_id"], r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in rows], wanted)
+
+
+@pytest.mark.parametrize("least_rows", [1, 20, 200])
+def test_quality(ask, sample_dir, documents, monkeypatch, least_rows):
+    monkeypatch.setattr(quality, "MIN_GROUP_ROWS", least_rows)
+    wanted = brute.verdicts(documents, least_rows, quality.REACH, quality.LEAST)
+    assert {kept for _, failed, kept in wanted if not failed} == {True, False}
+    columns = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    same(
+        [(r["doc_id"], *[r[c] for c in columns], r["base_failed"], r["kept"]) for r in ask("op10_quality_rules", sample_dir)],
+        [(r["doc_id"], *[c[k] for k in columns], f, v) for r, (c, f, v) in zip(documents, wanted, strict=True)],
+    )
+
+
+def test_licenses(ask, sample_dir):
+    found = Counter(r["licenses"] for r in ask("op6_license_scans", sample_dir))
+    assert found["MIT,Apache-2.0"] == 1 and found[""] == sum(found.values()) - 1
+
+
+def test_markup_that_never_ends():
+    for page in ("<a " * 5000, "<" * 5000, "<!--" * 500, "<p><b>" * 5000, "<table><tr><td>" * 500, '<a b="' * 2001 + ">"):
+        assert isinstance(html.page_text(page), str)
