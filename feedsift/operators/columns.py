@@ -18,21 +18,3 @@ def computed_once(rows: DataFrame, columns: dict[str, Column]) -> DataFrame:
     kept = [c for c in rows.columns if c not in columns]
     packed = F.array(F.struct(*(column.alias(name) for name, column in columns.items())))
     return rows.select(*kept, F.inline(packed))
-
-
-# Inputs of more splits than this are never dealt out again.
-SPREAD_SPLITS = 64
-
-
-def spread(rows: DataFrame) -> DataFrame:
-    """Share a small input among idle cores.
-
-    An input of a few splits leaves cores without work, and text work per split
-    is long, so its rows are dealt out. Any other input is returned as it is,
-    without a shuffle.
-    """
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    splits = rows.rdd.getNumPartitions()
-    if splits > SPREAD_SPLITS or splits >= cores:
-        return rows
-    return rows.repartition(min(cores, splits * 32))

@@ -9,9 +9,16 @@ from feedsift.session import BROADCAST_ROWS
 
 
 def keep_last(
-    rows: DataFrame, keys: list[str], order: Column, first_name: str = "first_seq"
+    rows: DataFrame,
+    keys: list[str],
+    order: Column,
+    first_name: str = "first_seq",
+    place: Column | None = None,
 ) -> DataFrame:
-    """The last row per key by ``order``, plus the order value of the key's first row.
+    """The last row per key by ``order``, at the place of the key's first row.
+
+    ``place`` says where a row stands; it is ``order`` unless an earlier merge
+    has given rows a place that is not their own.
 
     One shuffle. Each task reduces its rows to one per key before it, so a key
     that holds a large share of all rows sends one row per task. ``order`` must
@@ -20,7 +27,7 @@ def keep_last(
     others = [c for c in rows.columns if c not in keys and c != first_name]
     last = F.max_by(F.struct(*others), order)
     return rows.groupBy(*keys).agg(
-        last.alias("_last"), F.min(order).alias(first_name)
+        last.alias("_last"), F.min(order if place is None else place).alias(first_name)
     ).select(*keys, *(F.col(f"_last.{c}").alias(c) for c in others), first_name)
 
 

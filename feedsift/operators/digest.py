@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from feedsift.functions.extract import meta_line
 from feedsift.functions.text import chunk_text, escape_html
 from feedsift.rules import signals
+from feedsift.rules.feeds import UNKNOWN_SOURCE
 
 
 def _flag_tag() -> Column:
@@ -85,6 +86,12 @@ def digest(top: DataFrame) -> DataFrame:
     )
 
 
+def email(digests: DataFrame) -> DataFrame:
+    """Subject and body of the digest as an e-mail."""
+    n_all = (F.col("n_shown") + F.col("extra")).cast("string")
+    return digests.select(F.concat(n_all, F.lit(" new job match(es)")).alias("subject"), F.col("html_message").alias("html"))
+
+
 def message_parts(digests: DataFrame, limit: int = signals.MESSAGE_LIMIT) -> DataFrame:
     """The text message cut to the size limit, one row per part."""
     return digests.select(
@@ -97,11 +104,12 @@ def failure_notice(
 ) -> DataFrame:
     """Per run: count and names of failed sources, when there are enough of them.
 
-    A run has at most one row per entry of the source dimension here.
+    A run has at most one row per entry of the source dimension here; pages of
+    no entry are named as such.
     """
     failed = failures.where("source_failed").join(
-        dimension.select("source_ord", "company"), "source_ord"
-    )
+        dimension.select("source_ord", "company"), "source_ord", "left"
+    ).withColumn("company", F.coalesce("company", F.lit(UNKNOWN_SOURCE)))
     return (
         failed.groupBy("run_id")
         .agg(

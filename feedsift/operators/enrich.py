@@ -21,10 +21,8 @@ def detail_key() -> Column:
     )
 
 
-def latest_details(details: DataFrame, order: Column | str | None = None) -> DataFrame:
-    """One detail per key; ``order`` picks the latest when a key landed more than once."""
-    if order is None:
-        return details
+def latest_details(details: DataFrame, order: Column | str = "landed_at") -> DataFrame:
+    """One detail per key, the latest by ``order`` when a key landed more than once."""
     order = F.col(order) if isinstance(order, str) else order
     picked = F.max_by(F.struct("description", "locations"), order).alias("_detail")
     return details.groupBy("detail_key").agg(picked).select("detail_key", "_detail.*")

@@ -19,10 +19,14 @@ def matched(
 
 
 def deduplicated(listings: DataFrame, seq: Column | str = "seq") -> DataFrame:
-    """Last row per listing key. Runs after the filter: the survivor is the last *matching* row."""
+    """Last row per listing key. Runs after the filter: the survivor is the last *matching* row.
+
+    Rows merged before keep the first place they have in ``first_seq``.
+    """
     order = F.col(seq) if isinstance(seq, str) else seq
     keyed = listings.withColumn("listing_key", extract.listing_key("company", "id"))
-    return keep_last(keyed, ["listing_key"], order)
+    place = F.col("first_seq") if "first_seq" in listings.columns else None
+    return keep_last(keyed, ["listing_key"], order, place=place)
 
 
 def with_age(listings: DataFrame, as_of: Column | str) -> DataFrame:

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from feedsift.rules import signals
+from feedsift.rules.feeds import UNKNOWN_SOURCE
 
 
 def _is_flagged() -> Column:
@@ -54,46 +55,36 @@ def run_counters(
     return totals.withColumn("shown", F.least(F.col("alertable"), F.lit(max_shown).cast("long")))
 
 
-def source_health(pages: DataFrame, dimension: DataFrame, checked=("workday",)) -> DataFrame:
+def source_health(
+    pages: DataFrame, dimension: DataFrame, n_sources: int, checked=("workday",)
+) -> DataFrame:
     """Per run and source entry: ok / bad / not checked, largest total, and the run's bad count.
 
-    Every entry of the dimension shows up in every run, with pages or without.
+    Every entry of the dimension (numbered from 0 to ``n_sources`` - 1) shows up
+    in every run, with pages or without; a source with pages that is no entry is
+    bad. The window over a run sees one row per source.
     """
-    stats = pages.groupBy("run_id", "source_ord").agg(
+    keys = ["run_id", "source_ord"]
+    stats = pages.groupBy(*keys).agg(
         F.bool_or(~F.col("failed")).alias("any_ok"),
-        F.max(F.when(~F.col("failed"), F.col("total"))).alias("total"),
-    )
-    # A run keeps at most one row per entry of the dimension; pages of unknown sources are left out.
-    stats = stats.join(dimension.select("source_ord"), "source_ord")
-    # One list of entries, repeated per run by a generator rather than a join of runs and entries.
-    runs = stats.groupBy("run_id").agg(
-        F.collect_list(F.struct("source_ord", "any_ok", "total")).alias("polled")
+        F.max(F.when(~F.col("failed"), F.col("total"))).alias("largest"),
     )
-    entries = dimension.agg(
-        F.collect_list(F.struct("source_ord", "company", "ats")).alias("entries")
-    )
-    spread = runs.withColumn("entry", F.explode(entries.scalar())).select(
-        "run_id",
-        "entry.*",
-        F.get(
-            F.filter("polled", lambda p: p["source_ord"] == F.col("entry.source_ord")), F.lit(0)
-        ).alias("own"),
+    entries = F.sequence(F.lit(0).cast("long"), F.lit(n_sources - 1).cast("long"))
+    expected = stats.select("run_id").distinct().select("run_id", F.explode(entries).alias("source_ord"))
+    expected = expected.union(stats.select(*keys)).distinct()
+    rows = expected.join(dimension.select("source_ord", "company", "ats"), "source_ord", "left").join(
+        stats.withColumnsRenamed({k: f"_{k}" for k in keys}),
+        (F.col("run_id") == F.col("_run_id")) & F.col("source_ord").eqNullSafe(F.col("_source_ord")),
+        "left",
     )
+    is_known = F.col("company").isNotNull()
     is_checked = F.col("ats").isin(*checked)
-    is_ok = F.coalesce(F.col("own.any_ok"), F.lit(False))
-    rows = spread.select(
+    is_ok = F.coalesce(F.col("any_ok"), F.lit(False))
+    is_bad = F.count_if(F.col("status") == "bad").over(Window.partitionBy("run_id"))
+    return rows.select(
         "run_id",
         "source_ord",
-        "company",
-        F.when(~is_checked, "not checked").when(is_ok, "ok").otherwise("bad").alias("status"),
-        F.when(is_checked, F.col("own.total")).alias("total"),
-    )
-    return rows
-
-
-def overall_health(health: DataFrame) -> DataFrame:
-    """Per run: number of bad sources and whether all are healthy."""
-    bad = F.count_if(F.col("status") == "bad")
-    return health.groupBy("run_id").agg(
-        bad.alias("n_bad"), (bad == 0).alias("all_healthy")
-    )
+        F.coalesce("company", F.lit(UNKNOWN_SOURCE)).alias("company"),
+        F.when(is_known & ~is_checked, "not checked").when(is_known & is_ok, "ok").otherwise("bad").alias("status"),
+        F.when(is_checked, F.col("largest")).alias("total"),
+    ).withColumn("n_bad", is_bad).withColumn("all_healthy", F.col("n_bad") == 0)

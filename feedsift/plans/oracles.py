@@ -227,16 +227,35 @@ enriched AS (SELECT s.*, best.salary, {_reason()} AS flag_reason,
              FROM {source} s LEFT JOIN best USING (seq))"""
 
 
-def _selected(source: str = "p", key: str = "company || ':' || id") -> str:
+def _detailed(source: str) -> str:
+    """CTEs ending in ``detailed``: ``source`` with the description and place of its latest detail."""
+    body = f"coalesce({views.feed_body_sql(1)}, '')"
+    return f"""
+keyed AS (SELECT *, CASE WHEN coalesce(description, '') <> '' THEN NULL
+                         WHEN contains(coalesce(url, ''), 'myworkdayjobs.com') THEN url
+                         ELSE coalesce(nullif(oracle_detail, ''), nullif(detail_api, '')) END AS detail_key FROM {source}),
+counted AS (SELECT *, TRY_CAST(regexp_extract(regexp_replace(detail_key, '%22,.*', ''), '([0-9]+)$', 1) AS BIGINT) AS no FROM keyed),
+known AS (SELECT *, coalesce(NOT ({views.FEED_DETAIL_MISSING}) AND NOT ({views.FEED_DETAIL_BROKEN}), false) AS found FROM counted),
+detailed AS (SELECT * EXCLUDE (detail_key, no, found, description, location),
+  CASE WHEN coalesce(description, '') <> '' THEN description WHEN found THEN {_strip(_decode(body))} END AS description,
+  CASE WHEN found AND no % 3 = 0 THEN 'Dover, DE' WHEN found AND no % 3 = 2 THEN 'Oslo' ELSE location END AS location
+  FROM known)"""
+
+
+def _selected(
+    source: str = "p", key: str = "company || ':' || id", place: str = "seq", details: bool = False
+) -> str:
     """CTEs ending in ``selected``: every stage of a run over ``source``."""
+    attached = f"{_detailed('young')}," if details else ""
     return f"""
 kept AS (SELECT * FROM {source} WHERE {_by_region()}),
 numbered AS (SELECT *, {key} AS listing_key,
                     row_number() OVER (PARTITION BY {key} ORDER BY seq DESC) AS rn,
-                    min(seq) OVER (PARTITION BY {key}) AS first_seq FROM kept),
+                    min({place}) OVER (PARTITION BY {key}) AS first_seq FROM kept),
 aged AS (SELECT *, {_age()} AS age_days FROM numbered WHERE rn = 1),
 young AS (SELECT * FROM aged WHERE age_days IS NULL OR age_days <= {signals.MAX_AGE_DAYS}),
-{_enriched("young")},
+{attached}
+{_enriched("detailed" if details else "young")},
 selected AS (SELECT * FROM enriched
              WHERE NOT {_blocked()} AND (coalesce(remote, false) OR {_allowed()}))"""
 
@@ -304,7 +323,7 @@ stats AS (SELECT *, flag_failed OR broken AS failed,
                  CASE WHEN ats IN ('workday', 'oracle') THEN term_no ELSE -1 END AS term_key,
                  CASE ats WHEN 'workday' THEN 20 WHEN 'oracle' THEN 25 END AS page_size,
                  CASE ats WHEN 'workday' THEN 200 WHEN 'oracle' THEN 100 END AS cap FROM pages_raw),
-walked AS (SELECT *, cap IS NULL OR coalesce(bool_and(
+walked AS (SELECT *, page_size IS NULL OR coalesce(bool_and(
                        NOT failed AND n_read > 0 AND page_offset + page_size < coalesce(total, 0))
                      OVER (PARTITION BY {_TERM} ORDER BY page_offset
                            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS reached
@@ -468,30 +487,67 @@ unit_status AS (SELECT run_id, source_ord, term_key, bool_or(failed) AS term_fai
 source_state AS (SELECT run_id, source_ord, bool_and(term_failed) AS source_failed FROM unit_status GROUP BY ALL)"""
 
 
-def _tracker_oracle() -> str:
-    return f"""{_with(_POSTINGS, _selected(), _sources())},
-named AS (SELECT s.* EXCLUDE (company), coalesce(src.company, s.company) AS company
-          FROM selected s LEFT JOIN src ON src.source_ord = s.source_ord + s.seq % 3),
-firsts AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY company ORDER BY source_ord) AS rn FROM src) WHERE rn = 1)
-SELECT 'owner' AS user_id, n.company, title AS role,
+_TRACKER = f"""'owner' AS user_id, n.company, title AS role,
        CASE WHEN contains(lower(coalesce(location, '')), 'remote') THEN 'Remote'
             WHEN {_holds("location", ("delaware", "wilmington", "newark"))} THEN 'Delaware' ELSE 'Other' END AS location,
        'Wishlist' AS status, url AS link, coalesce(f.everify_guess, 'Unknown') AS everify,
        CASE WHEN {_FLAGGED} THEN 'No' ELSE coalesce(f.sponsors_guess, 'Unknown') END AS sponsors,
        concat_ws(' · ', 'Auto-added by monitor {views.AS_OF}', nullif(location, ''), nullif(posted_on, ''),
-                 'Salary ' || nullif(salary, ''), CASE WHEN {_FLAGGED} THEN '⚠ ' || flag_reason END) AS notes
-FROM named n LEFT JOIN firsts f ON f.company = n.company"""
+                 'Salary ' || nullif(salary, ''), CASE WHEN {_FLAGGED} THEN '⚠ ' || flag_reason END) AS notes"""
+
+
+def _tracker_oracle() -> str:
+    return f"""{_with(_POSTINGS, _selected(), _sources())},
+named AS (SELECT s.* EXCLUDE (company), coalesce(src.company, s.company) AS company
+          FROM selected s LEFT JOIN src ON src.source_ord = s.source_ord + s.seq % 3),
+firsts AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY company ORDER BY source_ord) AS rn FROM src) WHERE rn = 1)
+SELECT {_TRACKER} FROM named n LEFT JOIN firsts f ON f.company = n.company"""
 
 
-def _incremental_oracle() -> str:
-    """Each poll selects for itself; a key belongs to the first poll that selects it."""
+_FEED_SEQ = "CAST(run_id * 1000000000000000 + source_ord * 1000000000000 AS BIGINT)"
+_POLLS = f"polls AS (SELECT *, {_FEED_SEQ} + place AS seq, {_FEED_SEQ} + first_place AS place_seq FROM feeds)"
+
+
+def _runs(*more: str) -> str:
+    """CTEs ending in ``firsts``: each poll selects for itself; a key belongs to the first poll that selects it."""
     key = "run_id % 4 || '|' || company || ':' || id"
-    source = f"""{_union()},
-polls AS (SELECT *, CAST(run_id * 1000000000000000 + source_ord * 1000000000000 + place AS BIGINT) AS seq FROM feeds)"""
-    return f"""{_with(source, _selected("polls", key))},
-firsts AS (SELECT *, run_id % 4 AS poll, company || ':' || id AS k,
-                  row_number() OVER (PARTITION BY company || ':' || id ORDER BY run_id % 4) AS first_no FROM selected)
-SELECT k AS listing_key, company, title, poll AS run_id FROM firsts WHERE first_no = 1"""
+    return _with(
+        f"{_union()},\n{_POLLS}",
+        _selected("polls", key, "place_seq", details=True),
+        """
+marked AS (SELECT * REPLACE (company || ':' || id AS listing_key), run_id % 4 AS poll,
+                  row_number() OVER (PARTITION BY company || ':' || id ORDER BY run_id % 4) AS first_no FROM selected),
+firsts AS (SELECT * FROM marked WHERE first_no = 1)""",
+        *more,
+    )
+
+
+def _incremental_tracker() -> str:
+    """Run numbers begin anew with the second job, after half of the polls."""
+    return f"""{_runs()},
+names AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY company ORDER BY source_ord) AS rn FROM src) WHERE rn = 1)
+SELECT poll % 2 AS run_id, {_TRACKER} FROM firsts n LEFT JOIN names f ON f.company = n.company"""
+
+
+def _incremental_emails() -> str:
+    one = "SELECT * FROM (" + _runs(
+        "chosen AS (SELECT * FROM firsts WHERE poll = {poll})", _RANKED.replace("FROM selected)", "FROM chosen)"), _DIGEST
+    ) + "SELECT (n_shown + extra) || ' new job match(es)' AS subject, html_message AS html FROM message)"
+    return " UNION ALL ".join(one.replace("{poll}", str(poll)) for poll in range(q.N_POLLS))
+
+
+def _incremental_counters() -> str:
+    return f"""{_runs(_STATUS)},
+numbers AS (SELECT unnest(range({q.N_POLLS})) AS poll)
+SELECT (SELECT count(*) FROM polls WHERE run_id % 4 = n.poll) AS fetched,
+       (SELECT count(*) FROM marked WHERE poll = n.poll) AS matched,
+       (SELECT count(*) FROM marked WHERE poll = n.poll AND {_FLAGGED}) AS flagged,
+       (SELECT count(*) FROM firsts WHERE poll = n.poll) AS fresh,
+       (SELECT count(*) FROM firsts WHERE poll = n.poll) AS alertable,
+       (SELECT count(*) FROM source_state WHERE source_failed AND run_id % 4 = n.poll) AS failed,
+       (SELECT least(count(*), {signals.MAX_SHOWN}) FROM firsts WHERE poll = n.poll) AS shown,
+       (SELECT count(*) FROM stats WHERE page_offset >= cap AND run_id % 4 = n.poll) AS pages_left_out
+FROM numbers n"""
 
 
 def all_oracles() -> dict[str, str]:
@@ -505,6 +561,7 @@ def all_oracles() -> dict[str, str]:
     own = f"pg AS (SELECT page_id, {views.skill_text_sql('html', 'page_id * 3 + 1')} AS body FROM pages)"
     top, message = _run("", _RANKED), _run("", _RANKED, _DIGEST)
     money = _money("description")
+    seen = f"{_runs()}SELECT listing_key, company, title, poll % 2 AS run_id FROM firsts"
     return {
         **{f"norm_{ats}": _normalised(ats) for ats in ("workday", "greenhouse", "lever", "oracle")},
         "detail_flatten": f"""{_with(_DETAILS)}
@@ -514,6 +571,8 @@ SELECT detail_no, ats, description, coalesce(array_to_string(names, '|'), '') AS
         "stamp_source_attr": f"""{_with(_POSTINGS, _sources())}
 SELECT source_ord, seq, src.company, ats, coalesce(src.cap_exempt, false) AS cap_exempt
 FROM p LEFT JOIN src USING (source_ord)""",
+        "unbounded_pull": f"""{_with(_PULLED.replace("WHERE cap IS NULL OR page_offset < cap", ""))}
+SELECT run_id, source_ord, term_no, page_offset, n_read AS n_rows, failed, term_failed FROM pulled""",
         "bounded_pull": f"""{_with(_PULLED)}
 SELECT run_id, source_ord, term_no, page_offset, n_read AS n_rows, failed, term_failed FROM pulled""",
         "term_union_dedup": f"""{_with(_union())}
@@ -616,7 +675,17 @@ SELECT listing_key, any_value(event_type) AS company, CAST(any_value(user_id) AS
             (_POSTINGS, _selected(), _RANKED, _DIGEST, _chunks("message", "n_shown", "text_message", q.PART_LIMIT))
         ) + "\nSELECT CAST(chunk_no AS INTEGER) AS part_no, chunk AS part FROM chunked",
         "preview_run": _run(f"SELECT company, title, location, {_meta()} AS meta, url FROM ranked", _RANKED),
-        "incremental_run": _incremental_oracle(),
+        "feed_ranking": f"""{_with(f"{_union()},{_POLLS}", _selected("polls", place="place_seq"), _RANKED)}
+SELECT rank_no, listing_key, title, greatest(n_all - 200, 0) AS extra FROM ordered WHERE rank_no <= 200""",
+        "incremental_run": seen,
+        "seed_run": seen,
+        "incremental_tracker": _incremental_tracker(),
+        "incremental_emails": _incremental_emails(),
+        "incremental_counters": _incremental_counters(),
+        "incremental_notices": f"""{_with(_PULLED, _STATUS, _sources())}
+SELECT count(*) AS n_failed, '⚠️ ' || count(*) || ' sources failed to fetch this run: '
+       || string_agg(company, ', ' ORDER BY source_ord) AS notice
+FROM source_state JOIN src USING (source_ord) WHERE source_failed GROUP BY run_id HAVING count(*) >= 3""",
         "stream_dedup": f"""{_with(_EVENT_KEYS)}
 SELECT listing_key, CAST(CASE WHEN bool_or(early) THEN 0 ELSE 1 END AS BIGINT) AS run_id FROM ev GROUP BY listing_key""",
     }

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,18 +17,18 @@ from feedsift.operators.tracker import tracker_rows
 from feedsift.plans import views
 from feedsift.plans.run import RunOptions, preview, select_listings
 from feedsift.rules import profiles
-from feedsift.rules.feeds import SOURCES
+from feedsift.rules.feeds import OFFSET_CAPS, SOURCES
 from feedsift.session import shared_folder
 from feedsift.sources import landed
 from feedsift.sources.details import flatten_details
 from feedsift.sources.dimension import source_dimension
 from feedsift.sources.payloads import LISTING_FIELDS, explode_pages
 from feedsift.streaming.incremental import Tables, start_incremental, stream_new_keys
-from feedsift.streaming.tables import SEEN_SCHEMA, fresh_listings, read_table, seen_rows, write_run
+from feedsift.streaming.tables import SEEN_SCHEMA, Run, fresh_listings, read_table, seen_rows, write_run
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-OPTIONS = RunOptions(as_of=views.AS_OF)
+OPTIONS = RunOptions(as_of=views.AS_OF, caps=OFFSET_CAPS)
 EVENT_CUTOFF = "2024-01-04"
 DOC_CHUNK_LIMIT = 4000
 TURN_CHUNK_LIMIT = 120
@@ -62,10 +63,7 @@ def detail_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages are stored by format first, then collected from the stored table."""
-    path, dimension = shared_folder(spark, "pages"), source_dimension(spark)
-    landed.land_pages(views.landed_pages(spark, sf_dir), dimension, path)
-    return landed.collect_listings(landed.read_stored(spark, path), dimension)
+    return landed.collect_listings(views.landed_pages(spark, sf_dir), source_dimension(spark), OFFSET_CAPS)
 
 
 def union_feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,7 +86,16 @@ def stamp_source_attr(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bounded_pull(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = views.page_stats(spark, sf_dir)
-    return landed.bounded_pull(pages, landed.term_status(pages)).select(
+    return _pulled(pages, OFFSET_CAPS)
+
+
+def unbounded_pull(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paging by totals alone: no landed page is left out for its offset."""
+    return _pulled(views.page_stats(spark, sf_dir), None)
+
+
+def _pulled(pages: DataFrame, caps: landed.Caps) -> DataFrame:
+    return landed.bounded_pull(pages, landed.term_status(pages, caps), caps).select(
         "run_id", "source_ord", "term_no", "page_offset", "n_rows", "failed", "term_failed"
     )
 
@@ -96,7 +103,7 @@ def bounded_pull(spark: SparkSession, sf_dir: str) -> DataFrame:
 def term_union_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _feed_pages(spark, sf_dir).where(landed.is_paged())
     listings = explode_pages(
-        landed.pulled_pages(pages), "run_id", "source_ord", "term_no", "page_offset"
+        landed.pulled_pages(pages, OFFSET_CAPS), "run_id", "source_ord", "term_no", "page_offset"
     )
     return landed.union_terms(listings).select(
         *landed.SEQ_FIELDS,
@@ -315,9 +322,10 @@ def seen_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = _event_keys(spark, sf_dir)
     for run_id, part in ((0, _before_cutoff()), (1, ~_before_cutoff()), (1, ~_before_cutoff())):
         seen = read_table(spark, folder, SEEN_SCHEMA)
-        fresh = fresh_listings(_first_events(events.where(part)), seen, run_id)
-        write_run(seen_rows(fresh, F.col("first_ts")), folder, run_id)
-    return read_table(spark, folder, SEEN_SCHEMA)
+        run = Run("events", run_id)
+        fresh = fresh_listings(_first_events(events.where(part)), seen, run)
+        write_run(seen_rows(fresh, F.col("first_ts")), folder, run)
+    return read_table(spark, folder, SEEN_SCHEMA).drop("job")
 
 
 def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -330,7 +338,7 @@ def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
             spark, f"{folder}/landed", "listing_key STRING", "listing_key",
             f"{folder}/keys", f"{folder}/state",
         ).awaitTermination()
-    return read_table(spark, f"{folder}/keys", "listing_key STRING, run_id BIGINT")
+    return read_table(spark, f"{folder}/keys", "listing_key STRING, job STRING, run_id BIGINT").drop("job")
 
 
 def lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -381,7 +389,7 @@ def source_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _page_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return landed.source_status(landed.term_status(views.page_stats(spark, sf_dir)))
+    return landed.source_status(landed.term_status(views.page_stats(spark, sf_dir), OFFSET_CAPS))
 
 
 def run_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -400,8 +408,7 @@ def source_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def source_health(spark: SparkSession, sf_dir: str) -> DataFrame:
-    health = rollup.source_health(views.page_stats(spark, sf_dir), source_dimension(spark))
-    return health.join(rollup.overall_health(health), "run_id")
+    return rollup.source_health(views.page_stats(spark, sf_dir), source_dimension(spark), len(SOURCES))
 
 
 def _digest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -435,18 +442,63 @@ def tracker(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def incremental_run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Polls land one after another and the job runs after each; the seen table at the end."""
+def _incremental(spark: SparkSession, sf_dir: str, options: RunOptions = OPTIONS) -> Tables:
+    """Polls land one after another and the job runs after each, half-way with a new checkpoint.
+
+    The polls so far lie in folders of their own, so the second job sees the
+    later ones only. The run number of a poll within its job is its place there.
+    """
     folder = shared_folder(spark, "incremental")
     tables = Tables(f"{folder}/tables")
     pages = views.landed_pages(spark, sf_dir)
+    details = flatten_details(views.feed_details(spark, sf_dir))
     for poll in range(N_POLLS):
+        job = f"{folder}/job-{poll * 2 // N_POLLS}"
         arrived = pages.where(F.col("run_id") % N_POLLS == poll)
-        arrived.write.mode("append").json(f"{folder}/landed")
+        arrived.write.mode("append").json(f"{job}/landed")
         start_incremental(
-            spark, f"{folder}/landed", tables, f"{folder}/state", OPTIONS
+            spark, f"{job}/landed", tables, f"{job}/state", options, details
         ).awaitTermination()
-    return read_table(spark, tables.seen, SEEN_SCHEMA).drop("seen_at")
+    return tables
+
+
+def incremental_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The seen table after all polls."""
+    tables = _incremental(spark, sf_dir)
+    return read_table(spark, tables.seen, SEEN_SCHEMA).drop("seen_at", "job")
+
+
+def seed_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs that record and stay silent: the seen table is that of other runs."""
+    tables = _incremental(spark, sf_dir, replace(OPTIONS, seed=True))
+    return read_table(spark, tables.seen, SEEN_SCHEMA).drop("seen_at", "job")
+
+
+def incremental_tracker(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tracker rows all polls wrote."""
+    return spark.read.parquet(_incremental(spark, sf_dir).tracker).drop("job")
+
+
+def incremental_emails(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Subject and body of each poll's e-mail."""
+    return spark.read.parquet(_incremental(spark, sf_dir).emails).drop("job", "run_id")
+
+
+def incremental_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counters of each poll's run."""
+    return spark.read.parquet(_incremental(spark, sf_dir).counters).drop("job", "run_id")
+
+
+def incremental_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The warnings of each poll's run."""
+    return spark.read.parquet(_incremental(spark, sf_dir).notices).drop("job", "run_id")
+
+
+def feed_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alert order over the listings of all feeds; ties by first place of a key in any term."""
+    listings = _feeds(spark, sf_dir)
+    top = rank.top_listings(rank.alertable(select_listings(listings, OPTIONS)), 200)
+    return top.select(F.col("rank_no").cast("long").alias("rank_no"), "listing_key", "title", "extra")
 
 
 def _wide(query: Query) -> Query:
@@ -475,6 +527,7 @@ def all_queries() -> dict[str, Query]:
         "union_feeds": _wide(union_feeds),
         "stamp_source_attr": _wide(stamp_source_attr),
         "bounded_pull": bounded_pull,
+        "unbounded_pull": unbounded_pull,
         "term_union_dedup": _wide(term_union_dedup),
         "attach_detail": attach_detail,
         "html_strip": _page_text(text.strip_tags),
@@ -524,6 +577,12 @@ def all_queries() -> dict[str, Query]:
         "tracker_rows": tracker,
         "digest_parts": digest_parts,
         "preview_run": preview_run,
+        "feed_ranking": feed_ranking,
         "incremental_run": incremental_run,
+        "seed_run": seed_run,
+        "incremental_tracker": incremental_tracker,
+        "incremental_emails": incremental_emails,
+        "incremental_counters": incremental_counters,
+        "incremental_notices": incremental_notices,
         "stream_dedup": stream_dedup,
     }

@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 
-from feedsift.operators.enrich import attach_details, with_signals
+from feedsift.operators.enrich import attach_details, latest_details, with_signals
 from feedsift.operators.matching import deduplicated, matched, recent, rechecked, with_age
 from feedsift.operators.rank import alertable, ranked
 from feedsift.rules import profiles, signals
@@ -22,6 +22,7 @@ class RunOptions:
     skip_flagged: bool = False
     seed: bool = False
     user_id: str = "owner"
+    caps: dict[str, int] | None = None  # format -> offset from which pages are left out
     strict: profiles.RuleProfile = profiles.STRICT
     local: profiles.RuleProfile = profiles.LOCAL
 
@@ -37,12 +38,13 @@ def select_listings(
     The order of stages is part of the result (dedup keeps the last matching
     row) and also the cheap one: names and dates are tested before any
     description is joined or scanned. Without ``details`` the inline
-    descriptions are used.
+    descriptions are used; with them (``detail_key``, ``description``,
+    ``locations``, ``landed_at``) the latest of a key counts.
     """
     kept = matched(listings, options.strict, options.local)
     kept = recent(with_age(deduplicated(kept, seq), options.as_of), options.max_age_days)
     if details is not None:
-        kept = attach_details(kept, details)
+        kept = attach_details(kept, latest_details(details))
     return rechecked(with_signals(kept), options.strict, options.local)
 
 

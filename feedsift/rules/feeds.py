@@ -16,8 +16,14 @@ YES, UNKNOWN = "Yes", "Unknown"
 # Search terms of the formats that are polled per term, in order.
 SEARCH_TERMS = ("software engineer", "data engineer", "data scientist", "analyst")
 
-# Page size and cap on the offset, per format that is paged.
-PAGING = {"workday": (20, 200), "oracle": (25, 100)}
+# Page size per format that is paged.
+PAGE_SIZES = {"workday": 20, "oracle": 25}
+
+# Offsets at which a poll stops asking, per format, where a run is told to have such caps.
+OFFSET_CAPS = {"workday": 200, "oracle": 100}
+
+# What pages whose source is not listed are reported under.
+UNKNOWN_SOURCE = "unknown source"
 
 # Default sources in polling order
 # (name, format, address parts, e-verify guess, sponsors guess, cap exempt).

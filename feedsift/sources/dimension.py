@@ -13,7 +13,6 @@ SOURCE_SCHEMA = (
     "source_ord INT, company STRING, ats STRING, address ARRAY<STRING>, "
     "everify_guess STRING, sponsors_guess STRING, cap_exempt BOOLEAN"
 )
-MAX_PROFILE_TERMS = 5_000
 
 
 def source_dimension(spark: SparkSession, sources=SOURCES) -> DataFrame:
@@ -33,16 +32,9 @@ def source_dimension(spark: SparkSession, sources=SOURCES) -> DataFrame:
 def load_profile(rules: DataFrame, name: str) -> RuleProfile:
     """Build a profile from a rule table (profile, kind, ord, term).
 
-    The terms become part of the plan, so a table too long for that is refused.
+    A profile is configuration: its terms, however many, become part of the plan.
     """
-    rows = (
-        rules.where(F.col("profile") == name)
-        .select("kind", "ord", "term")
-        .limit(MAX_PROFILE_TERMS + 1)
-        .collect()
-    )
-    if len(rows) > MAX_PROFILE_TERMS:
-        raise ValueError(f"profile {name!r} holds more than {MAX_PROFILE_TERMS} terms")
+    rows = rules.where(F.col("profile") == name).select("kind", "ord", "term").collect()
     ordered = sorted(rows, key=lambda r: r["ord"])
 
     def terms(kind: str) -> tuple[str, ...]:

@@ -4,6 +4,10 @@ A page row holds ``run_id`` (poll), ``source_ord``, ``term_no``,
 ``page_offset``, ``payload`` and ``failed``. Pages written by ``land_pages``
 also hold ``n_rows`` and ``total``, so paging can be decided without a second
 look at the payload.
+
+``caps`` (format -> offset) leaves out pages from that offset on. By default
+there are none: a page that has landed counts. ``pages_left_out`` says how many
+a cap costs.
 """
 
 from __future__ import annotations
@@ -14,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feedsift.operators.dedup import keep_last
-from feedsift.rules.feeds import PAGING, SEARCH_TERMS
+from feedsift.rules.feeds import PAGE_SIZES, SEARCH_TERMS
 from feedsift.sources.payloads import explode_pages, page_counts
 
 LANDED_SCHEMA = (
@@ -22,29 +26,47 @@ LANDED_SCHEMA = (
 )
 STORED_SCHEMA = LANDED_SCHEMA + ", n_rows BIGINT, total DOUBLE, ats STRING"
 TERM_KEYS = ("run_id", "source_ord", "term_key")
+MALFORMED = "malformed"
+READ_SCHEMA = f"{LANDED_SCHEMA}, {MALFORMED} STRING"
+READ_OPTIONS = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": MALFORMED}
+Caps = dict[str, int] | None
 SEQ_FIELDS = ("run_id", "source_ord", "term_no", "page_offset", "pos")
 
 
 def read_landed(spark: SparkSession, path: str) -> DataFrame:
     """Landed JSON-lines files; the schema is given, so no pass is spent on inferring it."""
-    return spark.read.schema(LANDED_SCHEMA).json(path)
+    return marked_failed(spark.read.schema(READ_SCHEMA).options(**READ_OPTIONS).json(path))
+
+
+def marked_failed(raw: DataFrame) -> DataFrame:
+    """Lines that are no page count as failed pages of an unknown source; ``raw`` has READ_SCHEMA."""
+    broken = F.col(MALFORMED).isNotNull()
+    return raw.withColumns(
+        {
+            "payload": F.when(broken, F.col(MALFORMED)).otherwise(F.col("payload")),
+            "page_offset": F.when(broken, F.lit(0)).otherwise(F.col("page_offset")),
+            "failed": broken | F.coalesce("failed", F.lit(False)),
+        }
+    ).drop(MALFORMED)
 
 
 def with_source(pages: DataFrame, dimension: DataFrame, *columns: str) -> DataFrame:
-    """Attach source columns by entry. Pages of an unknown source are dropped.
+    """Attach source columns by entry. Pages of an unknown source have none, and count as failed.
 
     Columns the pages hold already (a stored table's ``ats`` partition) stay.
     """
     missing = [c for c in columns if c not in pages.columns]
-    return pages.join(dimension.select("source_ord", *missing), "source_ord")
+    known = dimension.select("source_ord", *missing).withColumn("_known", F.lit(True))
+    failed = F.coalesce("failed", F.lit(False)) | F.col("_known").isNull()
+    return pages.join(known, "source_ord", "left").withColumn("failed", failed).drop("_known")
 
 
 def is_paged() -> Column:
-    return F.col("ats").isin(*PAGING)
+    return F.coalesce(F.col("ats").isin(*PAGE_SIZES), F.lit(False))
 
 
-def _by_format(pick: int) -> Column:
-    cases = [(F.col("ats") == ats, bounds[pick]) for ats, bounds in PAGING.items()]
+def _by_format(values: dict[str, int]) -> Column:
+    cases = [(F.col("ats") == ats, value) for ats, value in values.items()]
     (first, value), rest = cases[0], cases[1:]
     return reduce(lambda column, case: column.when(*case), rest, F.when(first, value))
 
@@ -54,11 +76,18 @@ def with_term_key(pages: DataFrame) -> DataFrame:
     return pages.withColumn("term_key", F.when(is_paged(), F.col("term_no")).otherwise(F.lit(-1)))
 
 
-def within_cap() -> Column:
-    return ~is_paged() | (F.col("page_offset") < _by_format(1))
+def within_cap(caps: Caps = None) -> Column:
+    if not caps:
+        return F.lit(True)
+    return F.coalesce(F.col("page_offset") < _by_format(caps), F.lit(True))
+
+
+def pages_left_out(pages: DataFrame, caps: Caps = None) -> DataFrame:
+    """One row: how many landed pages lie beyond the caps."""
+    return pages.agg(F.count_if(~within_cap(caps)).alias("pages_left_out"))
 
 
-def term_status(pages: DataFrame) -> DataFrame:
+def term_status(pages: DataFrame, caps: Caps = None) -> DataFrame:
     """Per unit polled: the offset its paging stops at, and whether it failed.
 
     Takes pages with ``n_rows``, ``total`` and ``failed`` (see ``page_counts``).
@@ -67,11 +96,11 @@ def term_status(pages: DataFrame) -> DataFrame:
     failed, a board when any of its files did. Partial aggregation keeps this
     to one row per unit and task, however many pages a unit has.
     """
-    reaches_total = F.col("page_offset") + _by_format(0) >= F.coalesce(F.col("total"), F.lit(0))
+    reaches_total = F.col("page_offset") + _by_format(PAGE_SIZES) >= F.coalesce(F.col("total"), F.lit(0))
     stops = is_paged() & (F.col("failed") | (F.col("n_rows") == 0) | reaches_total)
     failed_at = F.min(F.when(F.col("failed"), F.col("page_offset")))
     return (
-        with_term_key(pages.where(within_cap()))
+        with_term_key(pages.where(within_cap(caps)))
         .groupBy(*TERM_KEYS)
         .agg(
             F.min(F.when(stops, F.col("page_offset"))).alias("stop_offset"),
@@ -87,23 +116,23 @@ def term_status(pages: DataFrame) -> DataFrame:
     )
 
 
-def bounded_pull(pages: DataFrame, status: DataFrame) -> DataFrame:
+def bounded_pull(pages: DataFrame, status: DataFrame, caps: Caps = None) -> DataFrame:
     """Keep the pages a poll would have fetched; adds ``term_failed``.
 
     The status side has one narrow row per unit polled. Whether it is
     broadcast is left to its measured size.
     """
     return (
-        with_term_key(pages.where(within_cap()))
+        with_term_key(pages.where(within_cap(caps)))
         .join(status, list(TERM_KEYS))
         .where(F.col("stop_offset").isNull() | (F.col("page_offset") <= F.col("stop_offset")))
         .drop("stop_offset", "term_key")
     )
 
 
-def pulled_pages(pages: DataFrame) -> DataFrame:
+def pulled_pages(pages: DataFrame, caps: Caps = None) -> DataFrame:
     """Pages of the units that did not fail, up to where their paging stops."""
-    return bounded_pull(pages, term_status(page_counts(pages))).where(~F.col("term_failed"))
+    return bounded_pull(pages, term_status(page_counts(pages), caps), caps).where(~F.col("term_failed"))
 
 
 def source_status(status: DataFrame) -> DataFrame:
@@ -123,14 +152,14 @@ def union_terms(listings: DataFrame) -> DataFrame:
     return keep_last(listings, ["run_id", "source_ord", "id"], order_of(*SEQ_FIELDS), "first_seq")
 
 
-def collect_listings(pages: DataFrame, dimension: DataFrame) -> DataFrame:
+def collect_listings(pages: DataFrame, dimension: DataFrame, caps: Caps = None) -> DataFrame:
     """Landed pages of any format -> listings in polling order (``seq``, ``first_seq``).
 
     Only formats polled per term are merged by id. Boards pass through, so they
     cost no shuffle here.
     """
     kept = pulled_pages(
-        with_source(pages, dimension, "company", "ats", "address", "cap_exempt")
+        with_source(pages, dimension, "company", "ats", "address", "cap_exempt"), caps
     )
     carried = (
         "run_id", "source_ord", "term_no", "page_offset", "company", "ats", "cap_exempt",

@@ -7,19 +7,32 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from feedsift.operators.dedup import unseen
-from feedsift.operators.digest import digest, message_parts
+from feedsift.operators.digest import digest, email, failure_notice, message_parts
 from feedsift.operators.rank import alertable, top_listings
+from feedsift.operators.rollup import run_counters
 from feedsift.operators.tracker import tracker_rows
 from feedsift.plans.run import RunOptions, select_listings
 from feedsift.rules.feeds import SOURCES
 from feedsift.sources.dimension import source_dimension
-from feedsift.sources.landed import LANDED_SCHEMA, collect_listings, land_pages, read_stored
+from feedsift.sources.landed import (
+    READ_OPTIONS,
+    READ_SCHEMA,
+    collect_listings,
+    land_pages,
+    marked_failed,
+    pages_left_out,
+    read_stored,
+    source_status,
+    term_status,
+)
 from feedsift.streaming.tables import (
     SEEN_SCHEMA,
+    Run,
     fresh_listings,
+    job_of,
     read_table,
     seen_rows,
     write_run,
@@ -52,60 +65,89 @@ class Tables:
     def messages(self) -> str:
         return f"{self.root}/messages"
 
+    @property
+    def emails(self) -> str:
+        return f"{self.root}/emails"
+
+    @property
+    def notices(self) -> str:
+        return f"{self.root}/notices"
+
+    @property
+    def counters(self) -> str:
+        return f"{self.root}/counters"
 
-def record_and_emit(
-    chosen: DataFrame,
-    tables: Tables,
-    run_id: int,
-    options: RunOptions,
-    dimension: DataFrame,
-    dimension_rows: int | None = None,
-) -> None:
-    """Diff against the seen table, record what is fresh, then emit.
+
+def record_fresh(chosen: DataFrame, tables: Tables, run: Run, options: RunOptions) -> DataFrame:
+    """Diff against the seen table and record what is fresh; returns the stored fresh rows.
 
     The fresh rows are written first and read back, so the later steps neither
     repeat the run's plan nor depend on cached blocks of an executor that may
-    be lost. Recording comes before emitting: a failure in between costs an
-    alert instead of repeating a batch of them.
+    be lost.
     """
     spark = chosen.sparkSession
     seen = read_table(spark, tables.seen, SEEN_SCHEMA)
-    write_run(fresh_listings(chosen, seen, run_id), tables.fresh, run_id)
-    stored = StructType([*chosen.schema.fields, StructField("run_id", LongType())])
-    fresh = read_table(spark, tables.fresh, stored)
-    fresh = fresh.where(F.col("run_id") == run_id).drop("run_id")
-    stamp = F.lit(options.as_of).cast("timestamp_ntz")
-    write_run(seen_rows(fresh, stamp), tables.seen, run_id)
-    if options.seed:
-        return
+    write_run(fresh_listings(chosen, seen, run), tables.fresh, run)
+    kept = [*chosen.schema.fields, StructField("job", StringType()), StructField("run_id", LongType())]
+    fresh = read_table(spark, tables.fresh, StructType(kept)).where(run.own()).drop("job", "run_id")
+    write_run(seen_rows(fresh, F.lit(options.as_of).cast("timestamp_ntz")), tables.seen, run)
+    return fresh
+
+
+def emit(
+    fresh: DataFrame, tables: Tables, run: Run, options: RunOptions, dimension: DataFrame, dimension_rows: int | None = None
+) -> None:
+    """Tracker rows of all that is to be alerted, message and e-mail of the first of them."""
     to_alert = alertable(fresh, options.skip_flagged)
     rows = tracker_rows(to_alert, dimension, options.user_id, options.as_of, dimension_rows)
-    write_run(rows, tables.tracker, run_id)
-    top = top_listings(to_alert, options.max_shown)
-    write_run(message_parts(digest(top)), tables.messages, run_id)
+    write_run(rows, tables.tracker, run)
+    told = digest(top_listings(to_alert, options.max_shown))
+    write_run(message_parts(told), tables.messages, run)
+    write_run(email(told), tables.emails, run)
 
 
 def run_pages(
     pages: DataFrame,
     tables: Tables,
-    run_id: int,
+    run: Run | int,
     options: RunOptions,
     details: DataFrame | None = None,
     sources=SOURCES,
 ) -> None:
     """One run over a batch of landed pages.
 
-    The batch is stored once, by format and with its counts, and the run works
-    on the stored pages: the raw files are read a single time.
+    The batch is stored once, by format and with its counts, and so are the
+    listings chosen from it: raw files are read a single time, and counting
+    repeats no matching. Recording comes before emitting: a failure in between
+    costs an alert instead of repeating a batch of them. A seed run records and
+    stays silent. A run given by number alone belongs to the job ``batch``.
     """
+    if isinstance(run, int):
+        run = Run("batch", run)
     spark = pages.sparkSession
     dimension = source_dimension(spark, sources)
-    stored = f"{tables.pages}/batch-{run_id}"
+    stored = f"{tables.pages}/job={run.job}/run_id={run.number}"
     land_pages(pages, dimension, stored)
-    listings = collect_listings(read_stored(spark, stored), dimension)
+    batch = read_stored(spark, stored)
+    listings = collect_listings(batch, dimension, options.caps)
     chosen = select_listings(listings, options, details)
     chosen = chosen.drop("run_id", "description", "detail_api", "oracle_detail")
-    record_and_emit(chosen, tables, run_id, options, dimension, len(sources))
+    matches = f"{tables.root}/matches/job={run.job}/run_id={run.number}"
+    chosen.write.mode("overwrite").parquet(matches)
+    chosen = spark.read.schema(chosen.schema).parquet(matches)
+    fresh = record_fresh(chosen, tables, run, options)
+    if options.seed:
+        return
+    emit(fresh, tables, run, options, dimension, len(sources))
+    status = source_status(term_status(batch, options.caps))
+    write_run(failure_notice(status, dimension).drop("run_id"), tables.notices, run)
+    is_fresh = F.col("_fresh").isNotNull()
+    marked = chosen.join(
+        fresh.select(F.col("listing_key").alias("_fresh")), F.col("listing_key") == F.col("_fresh"), "left"
+    ).withColumn("is_fresh", is_fresh)
+    counters = run_counters(listings, marked, status, options.skip_flagged, options.max_shown)
+    left_out = pages_left_out(batch, options.caps)
+    write_run(counters.withColumn("pages_left_out", left_out.scalar()), tables.counters, run)
 
 
 def start_incremental(
@@ -121,14 +163,17 @@ def start_incremental(
     """Process every landed file not processed yet, then stop.
 
     A poll should land as one file, or ``files_per_run`` be left open, so that
-    a run sees all pages of a unit together.
+    a run sees all pages of a unit together. Runs are numbered within the job
+    the checkpoint belongs to; a new checkpoint over the same tables is a new
+    job, which finds recorded keys recorded.
     """
-    reader = spark.readStream.schema(LANDED_SCHEMA)
+    reader = spark.readStream.schema(READ_SCHEMA).options(**READ_OPTIONS)
+    job = job_of(spark, checkpoint)
     if files_per_run:
         reader = reader.option("maxFilesPerTrigger", files_per_run)
 
     def run_batch(batch: DataFrame, batch_id: int) -> None:
-        run_pages(batch, tables, batch_id, options, details, sources)
+        run_pages(marked_failed(batch), tables, Run(job, batch_id), options, details, sources)
 
     return (
         reader.json(landed_path)
@@ -144,11 +189,12 @@ def stream_new_keys(
 ) -> StreamingQuery:
     """Cross-run dedup of a stream of Parquet files: each batch adds its unseen keys to the seen table."""
 
+    job = job_of(spark, checkpoint)
+
     def add_batch(batch: DataFrame, batch_id: int) -> None:
-        session = batch.sparkSession
-        seen = read_table(session, seen_path, f"{key} STRING, run_id BIGINT")
-        others = seen.where(F.col("run_id") != batch_id)
-        write_run(unseen(batch.select(key).distinct(), others, key), seen_path, batch_id)
+        run = Run(job, batch_id)
+        seen = read_table(batch.sparkSession, seen_path, f"{key} STRING, job STRING, run_id BIGINT")
+        write_run(unseen(batch.select(key).distinct(), seen.where(~run.own()), key), seen_path, run)
 
     return (
         spark.readStream.schema(schema)

@@ -1,12 +1,17 @@
 """Tables kept between runs: seen keys, fresh listings, tracker rows, messages.
 
-Every table is Parquet partitioned by ``run_id`` and a run rewrites its own
-partition only, so a run that is repeated after a failure leaves the tables as
-one run would have.
+Every table is Parquet partitioned by ``job`` and ``run_id``. A job is what
+belongs to one checkpoint, or a name the caller gives; runs of different jobs
+never share a partition, whatever their numbers. A run rewrites its own
+partition only and as a whole, so a run that is repeated leaves the tables as
+one run would have, also if it now has no rows.
 """
 
 from __future__ import annotations
 
+import uuid
+from dataclasses import dataclass
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +19,30 @@ from pyspark.sql.types import StructType
 
 from feedsift.operators.dedup import unseen
 
-SEEN_SCHEMA = "listing_key STRING, company STRING, title STRING, seen_at TIMESTAMP_NTZ, run_id BIGINT"
+SEEN_SCHEMA = "listing_key STRING, company STRING, title STRING, seen_at TIMESTAMP_NTZ, job STRING, run_id BIGINT"
+
+
+@dataclass(frozen=True)
+class Run:
+    """A run of a job."""
+
+    job: str
+    number: int
+
+    def own(self) -> Column:
+        """Whether a table's row was written by this run."""
+        return (F.col("job") == self.job) & (F.col("run_id") == self.number)
+
+
+def job_of(spark: SparkSession, checkpoint: str) -> str:
+    """The name of the job a checkpoint belongs to; kept in the checkpoint, so a new one is a new job."""
+    path = f"{checkpoint}/job"
+    known = read_table(spark, path, "job STRING").first()
+    if known:
+        return known["job"]
+    name = uuid.uuid4().hex
+    spark.range(1).select(F.lit(name).alias("job")).write.mode("overwrite").parquet(path)
+    return name
 
 
 def read_table(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame:
@@ -27,20 +55,14 @@ def read_table(spark: SparkSession, path: str, schema: str | StructType) -> Data
         return spark.createDataFrame([], schema)
 
 
-def write_run(rows: DataFrame, path: str, run_id: int) -> None:
-    """Replace the partition of ``run_id``. No rows, no change."""
-    (
-        rows.withColumn("run_id", F.lit(run_id).cast("long"))
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("run_id")
-        .parquet(path)
-    )
+def write_run(rows: DataFrame, path: str, run: Run) -> None:
+    """Replace the partition of ``run``, also by nothing."""
+    rows.write.mode("overwrite").parquet(f"{path}/job={run.job}/run_id={run.number}")
 
 
-def fresh_listings(listings: DataFrame, seen: DataFrame, run_id: int) -> DataFrame:
+def fresh_listings(listings: DataFrame, seen: DataFrame, run: Run) -> DataFrame:
     """Listings no *other* run has recorded, so a repeated run finds its own rows fresh again."""
-    return unseen(listings, seen.where(F.col("run_id") != run_id), "listing_key")
+    return unseen(listings, seen.where(~run.own()), "listing_key")
 
 
 def seen_rows(fresh: DataFrame, seen_at: Column) -> DataFrame:

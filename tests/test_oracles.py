@@ -5,13 +5,15 @@ import math
 import duckdb
 import pytest
 
-from __spark_entry__ import SMOKE_DIR, entry, oracle_sql, queries
+from __spark_entry__ import SMOKE_DIR, entry
+from feedsift.plans.oracles import all_oracles
+from feedsift.plans.queries import all_queries
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
     "benchmark labels conversations"
 ).split()
-QUERIES, ORACLES = queries(), oracle_sql()
+QUERIES, ORACLES = all_queries(), all_oracles()
 
 
 @pytest.fixture(scope="module")

@@ -5,15 +5,15 @@ from pyspark.sql import functions as F
 
 from feedsift.operators import enrich, matching, rank
 from feedsift.operators.dedup import keep_last, lookup_first
-from feedsift.operators.digest import digest, message_parts
-from feedsift.operators.rollup import flag_breakdown, run_counters, source_counts
+from feedsift.operators.digest import digest, failure_notice, message_parts
+from feedsift.operators.rollup import flag_breakdown, run_counters, source_counts, source_health
 from feedsift.operators.tracker import tracker_rows
 from feedsift.plans.run import RunOptions, preview, select_listings
 from feedsift.rules.feeds import UNKNOWN, YES
 from feedsift.sources import landed
 from feedsift.sources.dimension import source_dimension
 from feedsift.streaming.incremental import Tables, run_pages, start_incremental
-from feedsift.streaming.tables import SEEN_SCHEMA, read_table
+from feedsift.streaming.tables import SEEN_SCHEMA, Run, read_table, write_run
 
 SCHEMA = (
     "seq BIGINT, company STRING, id STRING, title STRING, location STRING, url STRING, "
@@ -147,7 +147,6 @@ def test_latest_detail_wins(spark):
         "detail_key STRING, n INT, description STRING, locations ARRAY<STRING>",
     )
     assert enrich.latest_details(frame, "n").first()["description"] == "new"
-    assert enrich.latest_details(frame) is frame
 
 
 def test_select_rechecks_the_resolved_place(spark):
@@ -162,7 +161,7 @@ def test_select_rechecks_the_resolved_place(spark):
         [("https://a.myworkdayjobs.com/0", "x", ["Oslo"]), ("https://a.myworkdayjobs.com/1", "fully remote", ["Oslo"]),
          ("https://a.myworkdayjobs.com/2", "fully remote", ["Pune"])],
         "detail_key STRING, description STRING, locations ARRAY<STRING>",
-    )
+    ).withColumn("landed_at", F.lit(1))
     assert [r["id"] for r in select_listings(frame, OPTIONS, details).collect()] == ["1"]
     assert preview(frame, OPTIONS).count() == 3
 
@@ -230,6 +229,90 @@ def test_stream_equals_batch_and_a_repeated_run_changes_nothing(spark, tmp_path)
     assert contents(spark, batch) == first
 
 
+def test_a_new_checkpoint_keeps_recorded_keys_and_alerts_none_twice(spark, tmp_path):
+    tables = Tables(str(tmp_path / "tables"))
+    for n, ids in enumerate(([1, 2], [2, 3])):
+        poll(spark, n, *ids).write.json(str(tmp_path / f"landed-{n}"))
+        start_incremental(
+            spark, str(tmp_path / f"landed-{n}"), tables, str(tmp_path / f"state-{n}"), OPTIONS, sources=SOURCE
+        ).awaitTermination()
+    seen, links, _ = contents(spark, tables)
+    assert {k for k, _ in seen} == {"Board:1", "Board:2", "Board:3"}
+    assert links == ["u1", "u2", "u3"]
+
+
+def test_a_repeated_run_without_rows_empties_its_partition(spark, tmp_path):
+    run, path = Run("j", 4), str(tmp_path)
+    frame = spark.createDataFrame([("k",)], "listing_key STRING")
+    write_run(frame, path, Run("j", 3))
+    write_run(frame, path, run)
+    write_run(frame.where("false"), path, run)
+    assert [r["run_id"] for r in read_table(spark, path, "listing_key STRING, job STRING, run_id BIGINT").collect()] == [3]
+
+
+def test_first_place_survives_both_merges(spark):
+    def page(term, *ids):
+        jobs = [{"title": "Data Engineer", "externalPath": f"/job/{i}", "locationsText": "Reno, NV", "bulletFields": [i]} for i in ids]
+        return (0, 0, term, 0, json.dumps({"total": len(ids), "jobPostings": jobs}), False)
+
+    pages = spark.createDataFrame([page(0, "A", "B"), page(1, "A")], landed.LANDED_SCHEMA)
+    sources = (("Firm", "workday", ("f", "wd1", "s"), YES, YES, False),)
+    found = preview(landed.collect_listings(pages, source_dimension(spark, sources)), OPTIONS)
+    assert [r["id"] for r in found.collect()] == ["A", "B"]
+
+
+def test_a_detail_that_landed_twice_counts_once(spark):
+    frame = listings(spark, {"url": "https://a.myworkdayjobs.com/0"}).withColumns(
+        {"oracle_detail": F.lit(""), "detail_api": F.lit("")}
+    )
+    details = spark.createDataFrame(
+        [("https://a.myworkdayjobs.com/0", "old", [], 1), ("https://a.myworkdayjobs.com/0", "new", [], 2)],
+        "detail_key STRING, description STRING, locations ARRAY<STRING>, landed_at INT",
+    )
+    assert [r["description"] for r in select_listings(frame, OPTIONS, details).collect()] == ["new"]
+
+
+def test_unknown_sources_and_broken_lines_are_reported(spark, tmp_path):
+    lines = [json.dumps({"run_id": 7, "source_ord": 9, "term_no": 0, "page_offset": 0, "payload": "{}", "failed": False}), "{broken"]
+    (tmp_path / "landed").mkdir()
+    (tmp_path / "landed" / "a.json").write_text("\n".join(lines))
+    dimension = source_dimension(spark, SOURCE)
+    pages = landed.read_landed(spark, str(tmp_path / "landed"))
+    landed.land_pages(pages, dimension, str(tmp_path / "stored"))
+    status = landed.source_status(landed.term_status(landed.read_stored(spark, str(tmp_path / "stored"))))
+    assert {(r["run_id"], r["source_ord"], r["source_failed"]) for r in status.collect()} == {(7, 9, True), (None, None, True)}
+    notices = failure_notice(status, dimension, 1).collect()
+    assert {r["notice"].rpartition(": ")[2] for r in notices} == {"unknown source"}
+    counts = landed.page_counts(landed.with_source(pages, dimension, "ats"))
+    health = source_health(counts, dimension, 1).where("run_id = 7").collect()
+    assert {(r["company"], r["status"], r["n_bad"]) for r in health} == {("Board", "not checked", 1), ("unknown source", "bad", 1)}
+
+
+def test_caps_are_a_choice(spark):
+    rows = [(0, 0, 0, 20 * n, 20, 400.0, False, "workday") for n in range(15)]
+    pages = spark.createDataFrame(
+        rows, "run_id BIGINT, source_ord INT, term_no INT, page_offset INT, n_rows BIGINT, total DOUBLE, failed BOOLEAN, ats STRING"
+    )
+    caps = {"workday": 200}
+    assert landed.bounded_pull(pages, landed.term_status(pages)).count() == 15
+    assert landed.bounded_pull(pages, landed.term_status(pages, caps), caps).count() == 10
+    assert landed.pages_left_out(pages, caps).first()[0] == 5 and landed.pages_left_out(pages).first()[0] == 0
+
+
+def test_a_run_emits_all_it_has_to_say(spark, tmp_path):
+    tables = Tables(str(tmp_path))
+    sources = (*SOURCE, *[(f"F{n}", "lever", ("x",), YES, YES, False) for n in range(3)])
+    broken = spark.createDataFrame([(0, n, 0, 0, "{", False) for n in (1, 2, 3)], landed.LANDED_SCHEMA)
+    run_pages(poll(spark, 0, 1, 2).union(broken), tables, 0, OPTIONS, sources=sources)
+    mail = spark.read.parquet(tables.emails).first()
+    assert mail["subject"] == "2 new job match(es)" and mail["html"].startswith("<p>2 new role(s)")
+    assert spark.read.parquet(tables.notices).first()["notice"].endswith("F0, F1, F2")
+    counters = spark.read.parquet(tables.counters).drop("job", "run_id").first().asDict()
+    assert counters == {
+        "fetched": 2, "matched": 2, "flagged": 0, "fresh": 2, "alertable": 2, "failed": 3, "shown": 2, "pages_left_out": 0,
+    }
+
+
 def test_seed_records_and_stays_silent(spark, tmp_path):
     tables = Tables(str(tmp_path))
     run_pages(poll(spark, 0, 1, 2), tables, 0, RunOptions(as_of="2024-03-10", seed=True), sources=SOURCE)
