@@ -1,12 +1,153 @@
-"""Reference SQL of the llm queries that SQL can express."""
+"""Reference SQL of the llm queries that SQL can express.
+
+Written from what a query means, with other means than the Spark side: sorted
+rows instead of sketches, joins on shingles instead of bands, whole windows
+instead of seeds, all pairs of vectors.
+"""
 
 from __future__ import annotations
 
+from feedsift.llm import embed, licenses, minhash, quality, secrets, substring
+
+_WORD = "'[^\\x20\\x09-\\x0D]+'"
+_ROWS = "docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, lang, source FROM documents)"
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _secrets() -> str:
+    def found(rule: secrets.Rule) -> str:
+        p, number = _quoted(rule.pattern), secrets.RULES.index(rule)
+        return f"""
+SELECT r, {number} AS rule, unnest(list_transform(range(1, len(m) + 1), lambda i: {{
+  'a': list_sum(list_transform(p[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0),
+  'n': length(m[i]), 'g': length(g[i])}})) AS s
+FROM (SELECT r, regexp_split_to_array(text, {p}) AS p, regexp_extract_all(text, {p}, 0) AS m,
+             regexp_extract_all(text, {p}, {rule.group}) AS g FROM docs WHERE regexp_matches(text, {p}))"""
+
+    every = " UNION ALL ".join(
+        f"SELECT r, rule, s.a AS a, s.a + s.n AS b FROM ({found(rule)}) WHERE s.g >= {rule.least}" for rule in secrets.RULES
+    )
+    names = ", ".join(f"({n}, '{rule.kind}')" for n, rule in enumerate(secrets.RULES))
+    told = "string_agg(kind || ':' || CAST(a AS BIGINT) || ':' || CAST(b AS BIGINT), ',' ORDER BY a, rule)"
+    base = len(secrets.BASE_RULES)
+    return f"""
+WITH {_ROWS}, kinds(rule, kind) AS (VALUES {names}), found AS ({every}),
+told AS (SELECT r, {", ".join(f"count(*) FILTER (WHERE rule = {n}) AS c{n}" for n in range(base))},
+                {told} FILTER (WHERE rule < {base}) AS base, {told} AS spans FROM found JOIN kinds USING (rule) GROUP BY r)
+SELECT doc_id, {", ".join(f"coalesce(c{n}, 0) AS n_{rule.kind}" for n, rule in enumerate(secrets.BASE_RULES))},
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM docs LEFT JOIN told USING (r)"""
+
+
+def _near_documents() -> str:
+    n = minhash.SHINGLE_WORDS
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"""
+WITH RECURSIVE {_ROWS},
+cut AS (SELECT r, doc_id, regexp_extract_all({lower}, {_WORD}) AS w FROM docs),
+grams AS (SELECT r, doc_id, list_distinct(list_transform(range(1, greatest(len(w) - {n} + 1, CASE WHEN len(w) > 0 THEN 1 ELSE 0 END) + 1),
+                                           lambda i: array_to_string(w[i:i + {n - 1}], ' '))) AS s FROM cut),
+each AS (SELECT r, doc_id, len(s) AS n, unnest(s) AS g FROM grams),
+pairs AS (SELECT a.r AS x, b.r AS y, any_value(a.n) AS n, any_value(b.n) AS m, count(*) AS shared
+          FROM each a JOIN each b ON a.g = b.g AND a.r <> b.r AND a.doc_id IS NOT NULL AND b.doc_id IS NOT NULL GROUP BY a.r, b.r),
+links AS (SELECT x, y FROM pairs WHERE 100 * shared >= {minhash.LEAST_PERCENT} * (n + m - shared)),
+reach(x, y) AS (SELECT x, y FROM links UNION SELECT reach.x, links.y FROM reach JOIN links ON reach.y = links.x),
+least AS (SELECT x, min(doc_id) AS low FROM reach JOIN docs ON docs.r = reach.y GROUP BY x)
+SELECT doc_id, len(s) AS n_shingles, coalesce(least(doc_id, low), doc_id) AS component_id,
+       coalesce(doc_id <= coalesce(low, doc_id), true) AS kept FROM grams LEFT JOIN least ON least.x = grams.r"""
+
+
+def _near_vectors() -> str:
+    return f"""
+WITH RECURSIVE v AS (SELECT row_number() OVER () AS r, vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+links AS (SELECT a.r AS x, b.r AS y FROM v a JOIN v b ON a.r <> b.r AND len(a.e) = len(b.e)
+          WHERE list_cosine_similarity(a.e, b.e) >= {embed.LEAST_COSINE}),
+reach(x, y) AS (SELECT x, y FROM links UNION SELECT reach.x, links.y FROM reach JOIN links ON reach.y = links.x),
+least AS (SELECT x, min(vec_id) AS low FROM reach JOIN v ON v.r = reach.y GROUP BY x),
+counts AS (SELECT x, count(*) AS n FROM links GROUP BY x)
+SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(least(vec_id, low), vec_id) AS component_id,
+       vec_id <= coalesce(low, vec_id) AS kept FROM v LEFT JOIN least ON least.x = r LEFT JOIN counts ON counts.x = r"""
+
+
+def _substrings() -> str:
+    n = substring.WINDOW
+    return f"""
+WITH {_ROWS},
+cut AS (SELECT r, doc_id, regexp_extract_all(text, {_WORD}) AS w FROM docs),
+places AS (SELECT r, doc_id, w, unnest(range(1, len(w) - {n} + 2)) AS p FROM cut WHERE len(w) >= {n} AND doc_id IS NOT NULL),
+windows AS (SELECT r, doc_id, p, array_to_string(w[p:p + {n - 1}], ' ') AS s FROM places),
+held AS (SELECT r, p FROM (SELECT r, doc_id, p, min(doc_id) OVER (PARTITION BY s) AS first FROM windows) WHERE first < doc_id),
+gone AS (SELECT DISTINCT r, unnest(range(p, p + {n})) AS p FROM held),
+words AS (SELECT r, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM cut),
+kept AS (SELECT words.r, count(*) AS n, count(gone.p) AS g, string_agg(word, ' ' ORDER BY words.p) FILTER (WHERE gone.p IS NULL) AS s
+         FROM words LEFT JOIN gone ON gone.r = words.r AND gone.p = words.p GROUP BY words.r)
+SELECT doc_id, coalesce(n, 0) AS n_words, coalesce(g, 0) AS n_removed, sha256(coalesce(s, '')) AS kept_sha256
+FROM cut LEFT JOIN kept USING (r)"""
+
+
+def _quality() -> str:
+    def cell(v: str) -> str:
+        drop = f"greatest(length(bin({v})) - 7, 0)"
+        return f"((CAST({v} AS BIGINT) >> {drop}) << {drop})"
+
+    def limits(keys: list[str], name: str) -> str:
+        by = ", ".join(keys)
+        over = f"PARTITION BY {by}" if keys else ""
+        columns = ", ".join(f"{k} AS {name}_{k}" for k in keys)
+        parts = ", ".join(
+            f"min(CASE WHEN 2 * rank_{m} >= n THEN cell_{m} END) AS {name}_{m}_q50, "
+            f"min(CASE WHEN 4 * rank_{m} >= 3 * n THEN cell_{m} END) AS {name}_{m}_q75" for m in quality.LEAST
+        )
+        ranks = ", ".join(f"row_number() OVER ({over} ORDER BY cell_{m}) AS rank_{m}" for m in quality.LEAST)
+        return (
+            f"{name} AS (SELECT {columns + ', ' if keys else ''}count(*) AS {name}_n, {parts} FROM "
+            f"(SELECT *, {ranks}, count(*) OVER ({over}) AS n FROM cells){' GROUP BY ' + by if keys else ''})"
+        )
+
+    def limit(m: str) -> str:
+        chosen = {
+            k: f"CASE WHEN g_n >= {quality.MIN_GROUP_ROWS} THEN g_{m}_{k} WHEN l_n >= {quality.MIN_GROUP_ROWS} "
+               f"THEN l_{m}_{k} ELSE a_{m}_{k} END" for k in ("q50", "q75")
+        }
+        return (
+            f"({chosen['q50']}) + greatest({quality.REACH} * (({chosen['q75']}) - ({chosen['q50']})), {quality.LEAST[m]})"
+        )
 
-from feedsift.llm import licenses
+    cells = ", ".join(f"{cell(m)} AS cell_{m}" for m in quality.LEAST)
+    within = " AND ".join(f"{m} <= {limit(m)}" for m in quality.LEAST)
+    return f"""
+WITH {_ROWS},
+cut AS (SELECT r, doc_id, lang, source, text, regexp_extract_all(text, {_WORD}) AS w,
+               list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, {_WORD})) AS lines FROM docs),
+words AS (SELECT r, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM cut),
+triples AS (SELECT r, p, word AS a, lead(word) OVER o AS b, lead(word, 2) OVER o AS c FROM words WINDOW o AS (PARTITION BY r ORDER BY p)),
+twice AS (SELECT r, p FROM (SELECT r, p, count(*) OVER (PARTITION BY r, a, b, c) AS n FROM triples WHERE c IS NOT NULL) WHERE n > 1),
+again AS (SELECT r, count(*) AS n FROM (SELECT DISTINCT r, p + k AS p FROM twice, range(3) t(k)) GROUP BY r),
+counted AS (SELECT r, doc_id, lang, source, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS word_chars,
+                   length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+                   len(lines) AS n_lines, len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(again.n, 0) AS n_repeat_words
+            FROM cut LEFT JOIN again USING (r)),
+shares AS (SELECT *, CASE WHEN word_chars > 0 THEN 10000 * n_symbols // word_chars ELSE 0 END AS symbol_share,
+                  CASE WHEN n_lines > 0 THEN 10000 * n_dup_lines // n_lines ELSE 0 END AS dup_line_share,
+                  CASE WHEN n_words > 0 THEN 10000 * n_repeat_words // n_words ELSE 0 END AS repeat_share,
+                  CASE WHEN n_words > 0 THEN 10000 * word_chars // n_words ELSE 0 END AS word_length FROM counted),
+cells AS (SELECT lang, source, {cells} FROM shares),
+{limits(["lang", "source"], "g")}, {limits(["lang"], "l")}, {limits([], "a")},
+failed AS (SELECT *, n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.MAX_REPEAT_PERCENT} * n_words AS base_failed FROM shares)
+SELECT doc_id, n_words, CAST(word_chars AS BIGINT) AS word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND {within} AS kept
+FROM failed JOIN g ON lang IS NOT DISTINCT FROM g_lang AND source IS NOT DISTINCT FROM g_source
+JOIN l ON lang IS NOT DISTINCT FROM l_lang, a"""
 
 
 def llm_oracles() -> dict[str, str]:
     return {
+        "op1_secret_scans": _secrets(),
+        "op2_minhash_dedup": _near_documents(),
+        "op4_embedding_dedup": _near_vectors(),
         "op6_license_scans": licenses.oracle(),
+        "op8_substring_dedup": _substrings(),
+        "op10_quality_rules": _quality(),
     }
