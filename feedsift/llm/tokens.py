@@ -8,7 +8,9 @@ worker keeps what it has seen, so the result is that of encoding whole texts.
 
 from __future__ import annotations
 
+import json
 import os
+import unicodedata
 from collections.abc import Callable
 from functools import lru_cache
 
@@ -20,8 +22,11 @@ from feedsift.llm.batches import words_of
 
 # Distinct pieces that a worker remembers; others are encoded again.
 MEMO_PIECES = 400_000
+# Pieces encoded in one call.
+JOINED = 500
 
 # Blanks outside ASCII; a byte tokenizer takes texts with them whole.
+BLANKS = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 WIDE_BLANK = "[\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
 
 
@@ -48,33 +53,93 @@ def id_bytes(ids: list[int]) -> bytes:
     return np.array(ids, "<u4").tobytes()
 
 
+def _token_sizes(tokenizer, suffix: str) -> np.ndarray:
+    """Bytes of text that each token stands for."""
+    vocab = tokenizer.get_vocab(with_added_tokens=True)
+    sizes = np.zeros(max(vocab.values()) + 1, np.int64)
+    for token, number in vocab.items():  # one letter per byte
+        sizes[number] = len(token.removesuffix(suffix)) if token != suffix else len(token)
+    return sizes
+
+
 @lru_cache(maxsize=4)
 def library_memo(path: str) -> Memo:
-    """One tokenizer and memo per worker and file."""
+    """One tokenizer and memo per worker and file.
+
+    Pieces that normalisation leaves alone are encoded many at a time, joined
+    where no token can cross; the ids are cut by the bytes they stand for. If
+    these do not add up to the pieces', the pieces are encoded one by one.
+    """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.no_truncation()
     tokenizer.no_padding()
+    spec = json.loads(tokenizer.to_str())
+    keeps_blanks = spec["normalizer"] is None
+    sizes = _token_sizes(tokenizer, spec["model"].get("end_of_word_suffix") or "\0")
+    between = "" if keeps_blanks else " "
+
+    def fits(piece: str) -> bool:
+        if keeps_blanks:
+            return piece[0] in BLANKS and piece[-1] not in BLANKS
+        return piece.isascii() or unicodedata.is_normalized("NFC", piece) and piece == piece.lower()
+
+    def one_by_one(pieces: list[str]) -> list[bytes]:
+        return [id_bytes(x.ids) for x in tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
 
     def encode(pieces: list[str]) -> list[bytes]:
-        made = tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
-        return [id_bytes(x.ids) for x in made]
+        made: list[bytes] = [b""] * len(pieces)
+        plain = [i for i, p in enumerate(pieces) if p and fits(p)]
+        rest = [i for i, p in enumerate(pieces) if p and not fits(p)]
+        groups = [plain[i:i + JOINED] for i in range(0, len(plain), JOINED)]
+        joined = [between.join([pieces[i] for i in g]) for g in groups]
+        for group, found in zip(groups, tokenizer.encode_batch_fast(joined, add_special_tokens=False), strict=True):
+            ids = np.array(found.ids, "<u4")
+            reach = np.cumsum(sizes[ids])
+            ends = np.cumsum([len(pieces[i].encode()) for i in group])
+            cuts = np.searchsorted(reach, ends) + 1
+            if not len(ids) or reach[-1] != ends[-1] or cuts[-1] != len(ids) or (reach[cuts - 1] != ends).any():
+                rest += group
+                continue
+            raw, at = ids.tobytes(), 0
+            for i, cut in zip(group, (cuts * 4).tolist(), strict=True):
+                made[i] = raw[at:cut]
+                at = cut
+        for i, ids in zip(rest, one_by_one([pieces[i] for i in rest]), strict=True):
+            made[i] = ids
+        return made
 
     return Memo(encode)
 
 
 def word_pieces(texts: pa.Array) -> tuple[pa.StringArray, np.ndarray]:
-    """Blank-free pieces of all texts, and the first piece of each text."""
-    lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+    """Blank-free pieces of all texts, and the first piece of each text.
+
+    For tokenizers that lower-case and keep letters apart from signs: pieces
+    are lower-cased (A-Z) unless a special token may be in the batch, and full
+    stops and commas behind a word are pieces of their own (not behind a letter
+    whose small form ends in a mark).
+    """
+    texts = pc.fill_null(texts, "")
+    if not pc.any(pc.match_substring(texts, "<|")).as_py():
+        texts = pc.ascii_lower(texts)
+    texts = pc.replace_substring_regex(texts, r"([^\PL\x{130}])([.,]+)([\t-\r ]|$)", r"\1 \2\3")
+    lists = pc.ascii_split_whitespace(texts)
     return lists.flatten(), np.asarray(lists.offsets) - lists.offsets[0].as_py()
 
 
 def blank_led_pieces(texts: pa.Array) -> tuple[pa.StringArray, np.ndarray]:
-    """Pieces that begin where a blank follows a word; together they are the texts."""
+    """Pieces that begin where a blank follows a word, or a stop or comma a letter; together they are the texts."""
     words = words_of(texts)
-    cuts = np.unique(np.concatenate([words.end, words.rows]))
+    data = words.data
+    stops = np.flatnonzero((data == 0x2E) | (data == 0x2C))
+    before = data[stops - 1]  # of a first byte: the last, where a cut is in any case
+    small = before | 0x20
+    letter = (small >= 0x61) & (small <= 0x7A)
+    latin = (data[stops - 2] == 0xC3) & (before >= 0x80) & (before != 0x97) & (before != 0xB7) if len(data) > 1 else letter
+    cuts = np.unique(np.concatenate([words.end, words.rows, stops[letter | latin]]))
     offsets = pa.array(cuts, pa.int32()).buffers()[1]
     pieces = pa.StringArray.from_buffers(len(cuts) - 1, offsets, pa.py_buffer(words.data.tobytes()))
     return pieces, np.searchsorted(cuts, words.rows)
