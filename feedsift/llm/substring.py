@@ -55,7 +55,9 @@ def _seeded(batch: pa.RecordBatch) -> pa.RecordBatch:
     at, seeds, _ = _windows(words)
     owner = np.searchsorted(words.first, at, side="right") - 1
     cuts = np.searchsorted(owner, np.arange(words.n_rows + 1))
-    lists = [np.unique(seeds[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    new = np.ones(len(seeds), bool)
+    new[1:] = seeds[1:] != seeds[:-1]
+    lists = [np.unique(seeds[a:b][new[a:b]]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
     offsets = np.concatenate([[0], np.cumsum([len(x) for x in lists])])
     joined, rows = kept_text(words, np.ones(len(words.start), bool))
     whole = [sha256(joined[a:b]).hexdigest() for a, b in zip(rows[:-1].tolist(), rows[1:].tolist(), strict=True)]
