@@ -588,6 +588,12 @@ FROM keyed k LEFT JOIN details d USING (detail_no)""",
         "html_escape": pages.format(_escape("html")),
         "doc_chunks": f"""WITH RECURSIVE {_chunks("documents", "doc_id", "text", q.DOC_CHUNK_LIMIT)}
 SELECT doc_id, chunk_no, chunk FROM chunked""",
+        "doc_paragraph_chunks": f"""WITH RECURSIVE cut AS (SELECT doc_id, {views.PARAGRAPHS_SQL} AS text FROM documents),
+{_chunks("cut", "doc_id", "text", q.DOC_CHUNK_LIMIT)}
+SELECT doc_id, chunk_no, chunk FROM chunked""",
+        "enrich_documents": f"""WITH told AS (SELECT doc_id AS seq, {views.DOCUMENT_DESCRIPTION_SQL} AS description FROM documents),
+{_enriched("told")}
+SELECT seq, flag_status, flag_reason, salary, CAST(remote AS VARCHAR) AS remote FROM enriched""",
         "conv_chunks": f"""WITH RECURSIVE {_chunks("conversations", "conv_id turn", "text", q.TURN_CHUNK_LIMIT)}
 SELECT conv_id, turn, chunk_no, chunk FROM chunked""",
         "title_include": _listing("included", _holds("title", profiles.STRICT.include)),

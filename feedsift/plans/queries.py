@@ -442,6 +442,22 @@ def tracker(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def enrich_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signals of whole documents, each with a sentence at its end."""
+    documents = views.read(spark, sf_dir, "documents", "doc_id", "text")
+    texts = documents.select(F.col("doc_id").alias("seq"), F.expr(views.DOCUMENT_DESCRIPTION_SQL).alias("description"))
+    return enrich.with_signals(texts).select(
+        "seq", "flag_status", "flag_reason", "salary", F.col("remote").cast("string").alias("remote")
+    )
+
+
+def doc_paragraph_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of documents with paragraphs: in two of three, lines that end a sentence end a paragraph."""
+    documents = views.read(spark, sf_dir, "documents", "doc_id", "text")
+    texts = documents.select("doc_id", F.expr(views.PARAGRAPHS_SQL).alias("text"))
+    return texts.select("doc_id", F.posexplode(text.chunk_text("text", DOC_CHUNK_LIMIT)).alias("chunk_no", "chunk"))
+
+
 def _incremental(spark: SparkSession, sf_dir: str, options: RunOptions = OPTIONS) -> Tables:
     """Polls land one after another and the job runs after each, half-way with a new checkpoint.
 
@@ -535,6 +551,8 @@ def all_queries() -> dict[str, Query]:
         "html_escape": _page_text(text.escape_html),
         "doc_chunks": _wide(doc_chunks),
         "conv_chunks": _wide(conv_chunks),
+        "doc_paragraph_chunks": _wide(doc_paragraph_chunks),
+        "enrich_documents": enrich_documents,
         "title_include": listing("included", lambda: predicates.title_included("title")),
         "title_exclude": listing(
             "excluded", lambda: predicates.title_excluded("title", profiles.LOCAL)

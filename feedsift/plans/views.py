@@ -175,6 +175,10 @@ SKILL_SENTENCES = _quoted(
 )
 
 
+DOCUMENT_DESCRIPTION_SQL = f"text || ' ' || ({description_sql('doc_id', '(50000 + doc_id % 100000)')})"
+PARAGRAPHS_SQL = "CASE WHEN doc_id % 3 = 0 THEN text ELSE replace(text, '.' || chr(10), '.' || chr(10) || chr(10)) END"
+
+
 def skill_text_sql(text: str, by: str) -> str:
     return f"{text} || {_pick(by, SKILL_SENTENCES)}"
 

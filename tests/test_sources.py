@@ -3,8 +3,8 @@ import json
 from pyspark.sql import functions as F
 
 from feedsift.operators.digest import failure_notice
-from feedsift.operators.rollup import overall_health, source_health
-from feedsift.rules.feeds import SOURCES, UNKNOWN, YES
+from feedsift.operators.rollup import source_health
+from feedsift.rules.feeds import OFFSET_CAPS, SOURCES, UNKNOWN, YES
 from feedsift.sources import landed
 from feedsift.sources.details import flatten_details
 from feedsift.sources.dimension import read_whole_texts, source_dimension
@@ -107,8 +107,8 @@ def page_of(total, *ids):
 
 def pulled(spark, *rows):
     frame = landed.with_source(pages(spark, *rows), source_dimension(spark, ALL), "ats")
-    status = landed.term_status(page_counts(frame))
-    got = landed.bounded_pull(frame, status).orderBy("term_no", "page_offset").collect()
+    status = landed.term_status(page_counts(frame), OFFSET_CAPS)
+    got = landed.bounded_pull(frame, status, OFFSET_CAPS).orderBy("term_no", "page_offset").collect()
     return [(r["term_no"], r["page_offset"]) for r in got], {
         r["term_key"]: r["term_failed"] for r in status.collect()
     }
@@ -181,11 +181,11 @@ def test_health_lists_every_source(spark):
     dimension = source_dimension(spark, (FIRM, FIRM, BOARD))
     counted = page_counts(landed.with_source(
         pages(spark, (0, 0, 0, page_of(7, 1)), (0, 1, 0, None), (2, 0, 0, {"jobs": []})), dimension, "ats"))
-    health = source_health(counted, dimension)
+    health = source_health(counted, dimension, 3)
     assert {(r["source_ord"], r["status"], r["total"]) for r in health.collect()} == {
         (0, "ok", 7.0), (1, "bad", None), (2, "not checked", None),
     }
-    assert overall_health(health).first().asDict() == {"run_id": 0, "n_bad": 1, "all_healthy": False}
+    assert {(r["run_id"], r["n_bad"], r["all_healthy"]) for r in health.collect()} == {(0, 1, False)}
 
 
 def test_details(spark):
