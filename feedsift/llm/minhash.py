@@ -44,7 +44,7 @@ COORDS = BANDS * ROWS
 AGREE = 78  # coordinates in which a sketch pair must agree to be tested
 HUB_AGREE = 90
 SMALL = 24
-BLOCK = 256
+BLOCK = 1024
 
 _U = np.uint64
 
