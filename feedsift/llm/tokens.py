@@ -139,7 +139,10 @@ def blank_led_pieces(texts: pa.Array) -> tuple[pa.StringArray, np.ndarray]:
     small = before | 0x20
     letter = (small >= 0x61) & (small <= 0x7A)
     latin = (data[stops - 2] == 0xC3) & (before >= 0x80) & (before != 0x97) & (before != 0xB7) if len(data) > 1 else letter
-    cuts = np.unique(np.concatenate([words.end, words.rows, stops[letter | latin]]))
+    is_cut = np.zeros(len(data) + 1, bool)
+    for places in (words.end, words.rows, stops[letter | latin]):
+        is_cut[places] = True
+    cuts = np.flatnonzero(is_cut)
     offsets = pa.array(cuts, pa.int32()).buffers()[1]
     pieces = pa.StringArray.from_buffers(len(cuts) - 1, offsets, pa.py_buffer(words.data.tobytes()))
     return pieces, np.searchsorted(cuts, words.rows)
