@@ -53,9 +53,9 @@ def _repeated(hashes: np.ndarray) -> int:
     if not same.any():
         return 0
     covered = np.zeros(len(hashes), bool)
-    twice = np.unique(np.concatenate([order[1:][same], order[:-1][same]]))
     for step in range(3):
-        covered[twice + step] = True
+        covered[order[1:][same] + step] = True
+        covered[order[:-1][same] + step] = True
     return int(covered.sum())
 
 
