@@ -3,7 +3,9 @@
 A document is cut every ``size`` ids; full pieces fill a sequence each. What
 remains is counted by length. Lengths are placed longest first, each into the
 pack that is filled least and still has room, for as many packs at once as
-there are; packs with the same content are one pattern with a count. Then a
+there are. A pack is opened only where none has room, and takes a length as
+often as it fits, so copies share packs; packs with the same content are one
+pattern with a count. Then a
 pattern's slots are handed to documents by their rank among those of that
 length. The histogram has ``size`` - 1 lengths at most, so only it, and never
 a row of a document, reaches the driver; patterns are few for the same reason.
@@ -44,7 +46,7 @@ def packed_patterns(histogram: dict[int, int], size: int) -> list[tuple[tuple[in
             while room >= length and not by_room[room]:
                 room -= 1
             if room < length:
-                packs, count, pattern = None, left, ()
+                packs, count, pattern = None, -(-left // (size // length)), ()  # equal lengths share packs
                 room = size
             else:
                 packs = by_room[room]

@@ -133,6 +133,16 @@ def test_patterns_place_every_length():
     assert used == Counter(histogram)
 
 
+@pytest.mark.parametrize("length", [1, 5, 47, 60, 100, 300, 500])
+def test_copies_share_packs(length):
+    histogram = Counter({k: 196 for k in range(1, 1024)})
+    histogram[length] += 100_000  # a third of all rows
+    packs = sum(count for _, count in packing.packed_patterns(histogram, 1024))
+    assert packs * 1024 <= 1.05 * sum(k * n for k, n in histogram.items())
+    alone = packing.packed_patterns({length: 100_000}, 1024)
+    assert sum(count for _, count in alone) == -(-100_000 // (1024 // length))
+
+
 def test_records(ask, sample_dir, documents):
     rows = ask("op7_token_records", sample_dir)
     _, ids = library("word_bpe_49k.json", [r["text"] for r in documents])
