@@ -4,8 +4,8 @@ A page becomes a tree: tags that a new tag or the end implies are closed, tags
 that have no counterpart are ignored. What does not show (head, scripts,
 comments, hidden elements) gives nothing. Blocks stand on lines of their own,
 paragraphs and their like with a blank line around them; list items have marks
-and indents; table cells stand in aligned columns; blanks collapse except in
-preformatted text.
+and indents; table cells stand in aligned columns, and what a table holds
+outside of cells stands before it; blanks collapse except in preformatted text.
 
 Cases: a null or empty page gives an empty text; broken markup never fails;
 elements nested deeper than DEPTH are taken as siblings; texts are not cut.
@@ -46,6 +46,8 @@ CLOSES = {
 CLOSES = {k: frozenset(v.split()) for k, v in CLOSES.items()}
 BOUNDARY = frozenset("table html".split())
 LISTS = frozenset("ul ol dl".split())
+SECTIONS = frozenset("thead tbody tfoot".split())
+CELLS = frozenset("td th".split())
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|</([a-zA-Z][^\s/>]*+)[^>]*+>?"
@@ -133,6 +135,10 @@ def tree(page: str) -> Node:
                         break
                 if tag != "head" and open_nodes[-1].tag == "head":
                     open_nodes.pop()
+            if tag in CELLS and (open_nodes[-1].tag == "table" or open_nodes[-1].tag in SECTIONS) and len(open_nodes) < DEPTH:
+                row = Node("tr")
+                open_nodes[-1].parts.append(row)
+                open_nodes.append(row)
             node = Node(tag, attributes)
             open_nodes[-1].parts.append(node)
             if tag in RAW:
@@ -206,31 +212,54 @@ def _span(node: Node) -> int:
     return min(int(value), 1000) if value.isascii() and value.isdigit() and value != "0" else 1
 
 
-def _rows(node: Node) -> list[Node]:
-    found = []
+def _wraps(node: Node) -> bool:
+    """Whether an element holds rows or cells of the table around it."""
+    return any(
+        isinstance(part, Node) and part.shows()
+        and (part.tag == "tr" or part.tag in CELLS or (part.tag != "table" and _wraps(part)))
+        for part in node.parts
+    )
+
+
+def _laid(node: Node, rows: list[list[Node]], beside: list[list], row: list[Node] | None = None) -> None:
+    """Add the rows of cells in a table or a part of it, and runs of what stands in no cell."""
+    run: list = []
     for part in node.parts:
-        if isinstance(part, Node) and part.shows():
-            if part.tag == "tr":
-                found.append(part)
-            elif part.tag in ("thead", "tbody", "tfoot"):
-                found.extend(_rows(part))
-    return found
+        if isinstance(part, Node) and not part.shows():
+            continue
+        tag = "" if isinstance(part, str) else part.tag
+        if tag in CELLS:
+            if row is None:
+                row = []
+                rows.append(row)
+            row.append(part)
+        elif tag == "tr":
+            row = None
+            rows.append([])
+            _laid(part, rows, beside, rows[-1])
+        elif tag in SECTIONS or (tag and _wraps(part)):
+            _laid(part, rows, beside, row)
+        elif node.tag == "table" or tag not in VOID:
+            if not run:
+                beside.append(run)
+            run.append(part)
+            continue
+        run = []
 
 
-def _table(node: Node) -> list[str]:
+def _table(rows: list[list[Node]]) -> list[str]:
     """Lines of a table: cells in columns, columns two blanks apart."""
     grid: list[list[tuple[int, list[str]]]] = []  # per row: first column and lines of each cell
     widths: dict[int, int] = {}
-    for row in _rows(node):
+    for row in rows:
         column, cells = 0, []
-        for cell in row.parts:
-            if isinstance(cell, Node) and cell.tag in ("td", "th") and cell.shows():
-                lines, span = text_lines(cell), _span(cell)
-                cells.append((column, lines))
-                if span == 1:
-                    wide = max((len(line) for line in lines if len(line) <= COLUMN_WIDTH), default=0)
-                    widths[column] = max(widths.get(column, 0), wide)
-                column += span
+        for cell in row:
+            lines, span = text_lines(cell), _span(cell)
+            cells.append((column, lines))
+            if span == 1:
+                wide = max((len(line) for line in lines if len(line) <= COLUMN_WIDTH), default=0)
+                widths[column] = max(widths.get(column, 0), wide)
+            column += span
         grid.append(cells)
     starts, at = {}, 0
     for column in range(max((c for cells in grid for c, _ in cells), default=-1) + 1):
@@ -263,13 +292,16 @@ def _render(node: Node, page: Page, pre: bool) -> None:
             page.space()
         elif tag == "table":
             page.space()
-            for caption in part.parts:
-                if isinstance(caption, Node) and (caption.tag == "caption" or caption.tag not in ("tr", "thead", "tbody", "tfoot")):
-                    _render(Node("div", "", [caption]), page, pre)
-                elif isinstance(caption, str):
-                    page.words(caption)
-            page.end_line()
-            page.block(_table(part))
+            rows, beside = [], []
+            _laid(part, rows, beside)
+            for run in beside:  # captions, and what stands in no cell
+                for piece in run:
+                    if isinstance(piece, str):
+                        page.words(piece)
+                    else:
+                        _render(Node("div", "", [piece]), page, pre)
+                page.end_line()
+            page.block(_table(rows))
             page.space()
         elif tag in BLOCKS:
             spaced = tag in SPACED and not (tag in ("ul", "ol") and node.tag == "li")

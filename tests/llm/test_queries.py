@@ -196,3 +196,25 @@ def test_licenses(ask, sample_dir):
 def test_markup_that_never_ends():
     for page in ("<a " * 5000, "<" * 5000, "<!--" * 500, "<p><b>" * 5000, "<table><tr><td>" * 500, '<a b="' * 2001 + ">"):
         assert isinstance(html.page_text(page), str)
+
+
+@pytest.mark.parametrize("page", [
+    "<table><tbody><td>aa<td>bb<tr><td>cc</table>",
+    "<table><td>aa</td><td>bb</td></tr><tr><td>cc</table>",
+    "<table><tbody>aa<tr><td>bb</td></tr><div>cc</div></tbody></table>",
+    "<table><tr>aa<br>bb<td>cc</td></tr></table>",
+    "<table><tr><td>aa</td><p>bb</p><b>cc</b></tr></table>",
+    "<table><tr><form><td>aa</td><td>bb</td></form></tr><tr><td>cc</td></tr></table>",
+    "<table><form><tr><td>aa</td></tr></form><tbody><form><tr><td>bb</td></tr></form></tbody>cc</table>",
+    "<table><tr><form><input>aa<div><td>bb</td></div></form><td><table><tbody><th>cc</table></tr></table>",
+    *["<div>" * depth + "<table><tbody><tr><td>aa</td><td>bb</td></tr><tr><th><i>cc" for depth in range(190, 200)],
+])
+def test_odd_tables_keep_every_word(page):
+    assert sorted(html.page_text(page).split()) == ["aa", "bb", "cc"]
+
+
+def test_cells_without_rows_and_in_forms_stand_in_columns():
+    assert html.page_text("<table><tbody><td>a<td>b<tr><td>long<td>c</table>") == "a     b\nlong  c"
+    assert html.page_text("<table><tr><form><td>a<td>b</form></tr><tr><td>long<td>c</table>") == "a     b\nlong  c"
+    for part in ("<table><td>", "<table><tbody><tr><form>", "<table><form><tr><b><td>", "<table>x<tr>y<form>z"):
+        assert isinstance(html.page_text(part * 500 + "end"), str) and "end" in html.page_text(part * 500 + "end")
