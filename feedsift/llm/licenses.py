@@ -1,7 +1,10 @@
 """Licence scans by sentences: known sentences get identifiers, rules are sequences of these.
 
 A text is cut into sentences, which are lower-cased and stripped of all but
-letters and digits. Those that a licence is known to use give their numbers,
+letters and digits. Cuts at stops and blank lines hold; those before a line
+that begins with a capital, a comment sign or a list mark may also lie inside a
+known sentence, so it is found at any line width. Known sentences that lie
+between the nearest cuts come first, then longer ones. They give their numbers,
 in the order of the text. The rules are tried in order, longest first; a rule
 holds where its numbers stand side by side, and takes them from later rules.
 All of it is column expressions in the stage that reads the table.
@@ -81,7 +84,7 @@ RULES = (
     ("Unlicense", ("public_domain",)),
 )
 
-# Where sentences end. A line break ends one before a blank line or a capital and a small letter.
+# Where sentences end in the reference SQL. A line break ends one before a blank line or a capital and a small letter.
 CUT = "\x01"
 CUTS = (
     (r"[.!?]+([ \t\n\r\f]+|\z)", CUT),
@@ -102,21 +105,50 @@ def tag(names: tuple[str, ...]) -> str:
     return "".join(f"<{NUMBERS[n]}>" for n in names)
 
 
-def sentences(text: Column) -> Column:
-    """Normalised sentences, in order."""
-    cut = text
-    for pattern, by in CUTS:
-        cut = F.regexp_replace(cut, pattern, by.replace("\\1", "$1"))
-    return F.transform(
-        F.split(cut, CUT), lambda s: F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " "))
-    )
+# Cuts as ``found_sentences`` sees them. HARD ends a sentence; the others are blanks inside one, or its end.
+HARD, LINE, MARK, COLON = "\x01", "\x02", "\x03", "\x04"
+SEEN = (
+    (r"[.!?]+(?:[ \t\n\r\f]+|\z)", HARD),
+    (r"\n[ \t\r\f]*\n", HARD),
+    (r"\n[ \t\r\f]*(?=[A-Z][a-z])", LINE),
+    (r"([\n\x01])[ \t\r\f]*[-*+#;%/>|\u2022]*[ \t]*\(?[0-9a-z]{1,3}\)[ \t]+", "$1" + MARK),
+    (r"\n[ \t\r\f]*[-*+#;%/>|\u2022]*[ \t]*(?=[A-Z]|[0-9a-z]{1,3}\x01)", MARK),
+    (r":(?=[ \t\n\r\f])", COLON),
+)
+
+
+def known_pattern() -> str:
+    """A cut and a known sentence up to a cut: within the nearest cuts of CUTS, or else across lines."""
+    def words(name: str, between: str) -> str:
+        cut = SENTENCES[name]
+        for pattern, by in SEEN[:1]:  # a stop inside a known sentence is no cut
+            cut = re.sub(pattern.replace(r"\z", r"\Z"), by, cut)
+        parts = [normalised(x).split() for x in cut.split(HARD) if normalised(x)]
+        return "[ \x01-\x04]++".join(between.join(x) for x in parts)
+
+    def ends(name: str) -> str:
+        return " *[\x01-\x04]" if SENTENCES[name].endswith(":") else "[ \x04]*[\x01-\x03]"
+
+    longest = sorted(SENTENCES, key=lambda n: -len(normalised(SENTENCES[n])))
+    near = [words(n, "[ \x03\x04]++") + "(?=[ \x03\x04]*[\x01\x02])" for n in longest]
+    far = [words(n, "[ \x02-\x04]++") + f"(?={ends(n)})" for n in longest]
+    return "[\x01-\x04] *(" + "|".join(near + far) + ")"
+
+
+def found_sentences(text: Column) -> Column:
+    """Known sentences, normalised and in order."""
+    cut = F.translate(text, LINE + MARK + COLON, "   ")
+    for pattern, by in SEEN:
+        cut = F.regexp_replace(cut, pattern, by)
+    plain = F.concat(F.lit(HARD), F.regexp_replace(F.lower(cut), "[^a-z0-9\x01-\x04]+", " "), F.lit(HARD))
+    found = F.regexp_extract_all(plain, F.lit(known_pattern()), F.lit(1))
+    return F.transform(found, lambda s: F.regexp_replace(s, "[ \x01-\x04]+", " "))
 
 
 def known_numbers(text: Column) -> Column:
     """Numbers of the known sentences, in order, written <n><m>."""
     numbers = F.create_map(*[x for s, n in KNOWN.items() for x in (F.lit(s), F.lit(f"<{n}>"))])
-    found = F.filter(sentences(text), lambda s: s.isin(list(KNOWN)))
-    return F.array_join(F.transform(found, lambda s: numbers[s]), "")
+    return F.array_join(F.transform(found_sentences(text), lambda s: numbers[s]), "")
 
 
 def matched(numbers: Column) -> Column:
@@ -145,7 +177,7 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
 
 
 def oracle() -> str:
-    """The scan in DuckDB SQL."""
+    """The scan in DuckDB SQL, for texts whose known sentences lie between two cuts of CUTS."""
     quoted = lambda s: "'" + s.replace("'", "''") + "'"
     cut = "coalesce(text, '')"
     for pattern, by in CUTS:

@@ -1,5 +1,6 @@
 """Registered queries against plain versions, on rows with nulls, ties, repeats and clashing columns."""
 
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 
@@ -9,7 +10,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from feedsift.llm import embed, html, packing, quality
+from feedsift.llm import embed, html, licenses, packing, quality
 
 OPERATORS = (
     "op1_secret_scans", "op2_minhash_dedup", "op3_html_text", "op4_embedding_dedup", "op5_packing", "op6_license_scans",
@@ -193,6 +194,34 @@ def test_licenses(ask, sample_dir):
     assert found["MIT,Apache-2.0"] == 1 and found[""] == sum(found.values()) - 1
 
 
+def scanned(spark, texts):
+    rows = licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id INT, text STRING")).collect()
+    return [r["licenses"] for r in sorted(rows, key=lambda r: r["doc_id"])]
+
+
+def test_every_licence_rule_in_any_layout(spark):
+    texts, wanted = [], []
+    for name, parts in licenses.RULES:
+        known = [licenses.SENTENCES[p] for p in parts]
+        single = " ".join(x if x.endswith(":") else x + "." for x in known)
+        for width in (25, 40, 71):
+            lines = textwrap.wrap(single, width, break_long_words=False)
+            texts += ["\n".join(lines), "A Title\n\n" + "\n".join(lines), "/*\n * " + "\n * ".join(lines) + "\n */"]
+            texts += ["# " + "\n# ".join(lines)]
+        texts += [single, "some words\n" + single + "\nmore words"]
+        texts += ["\n\n".join(textwrap.fill(x if x.endswith(":") else x + ".", 60) for x in known)]
+        wanted += [name] * 15
+    assert [(n, t) for n, t, f in zip(wanted, texts, scanned(spark, texts), strict=True) if n not in f.split(",")] == []
+
+
+@pytest.mark.parametrize("mark", ["{}. ", "{}) ", "({}) ", "* ", "- "])
+def test_licence_lists_set_off_by_a_mark(spark, mark):
+    known = [licenses.SENTENCES[p] for p in ("bsd_redistribution", "bsd_source", "bsd_binary", "bsd_names")]
+    items = [textwrap.fill(mark.format(n) + x + ".", 60) for n, x in enumerate(known[1:], 1)]
+    three, two = "\n".join([known[0], *items]), "\n".join([known[0], *items[:2]])
+    assert scanned(spark, [three, two, "Nothing is licensed here"]) == ["BSD-3-Clause", "BSD-2-Clause", ""]
+
+
 def test_markup_that_never_ends():
     for page in ("<a " * 5000, "<" * 5000, "<!--" * 500, "<p><b>" * 5000, "<table><tr><td>" * 500, '<a b="' * 2001 + ">"):
         assert isinstance(html.page_text(page), str)
