@@ -1,4 +1,4 @@
-"""Substring dedup: documents are parsed into factors that earlier documents hold.
+"""Substring dedup: words go that stand in a passage which earlier documents hold.
 
 The reference of a document is every document with a smaller id. It is indexed
 in blocks: each window of WINDOW words belongs to the block of its seed, the
@@ -7,11 +7,10 @@ block wherever they stand. A block has, per distinct window, the smallest
 doc_id. Neighbouring windows with one seed form a run; runs are the unit of
 storage, and only distinct runs of seeds that two documents share are opened.
 
-Parsing is greedy: a factor begins at the first window an earlier document
-holds and goes on while the next window is held too, so it has WINDOW words at
-least. Every window that crosses the border of two factors is looked up as
-well, since each place of a text in a shared seed's run is. Words in a factor
-go; all windows are judged on the input.
+There is no parse into factors: each window is looked up by its hash, and words
+in any window that an earlier document holds go. That is all a parse could
+find, without its documents x blocks. Runs of held windows are called factors
+below. All windows are judged on the input.
 
 Windows count as equal if two independent 64-bit hashes agree (seed, window).
 Cases: texts of fewer words than WINDOW keep all; null texts have no words;
