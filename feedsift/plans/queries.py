@@ -458,18 +458,7 @@ def doc_paragraph_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts.select("doc_id", F.posexplode(text.chunk_text("text", DOC_CHUNK_LIMIT)).alias("chunk_no", "chunk"))
 
 
-_JOBS: dict[tuple[str, str, bool], Tables] = {}
-
-
 def _incremental(spark: SparkSession, sf_dir: str, options: RunOptions = OPTIONS) -> Tables:
-    """Tables of the incremental job; the queries of one session that read them share one job."""
-    key = (spark.sparkContext.applicationId, sf_dir, options.seed)
-    if key not in _JOBS:
-        _JOBS[key] = _incremental_job(spark, sf_dir, options)
-    return _JOBS[key]
-
-
-def _incremental_job(spark: SparkSession, sf_dir: str, options: RunOptions) -> Tables:
     """Polls land one after another and the job runs after each, half-way with a new checkpoint.
 
     The polls so far lie in folders of their own, so the second job sees the

@@ -8,6 +8,7 @@ from feedsift.operators.dedup import keep_last, lookup_first
 from feedsift.operators.digest import digest, failure_notice, message_parts
 from feedsift.operators.rollup import flag_breakdown, run_counters, source_counts, source_health
 from feedsift.operators.tracker import tracker_rows
+from feedsift.plans import queries
 from feedsift.plans.run import RunOptions, preview, select_listings
 from feedsift.rules.feeds import UNKNOWN, YES
 from feedsift.sources import landed
@@ -331,3 +332,20 @@ def test_a_folder_is_needed_off_the_local_machine(spark, monkeypatch):
 
     with pytest.raises(ValueError):
         session.shared_folder(Cluster, "x")
+
+
+def test_incremental_queries_run_the_job_on_each_call(spark, monkeypatch):
+    jobs = []
+    monkeypatch.setattr(queries, "N_POLLS", 1)
+    monkeypatch.setattr(queries.views, "landed_pages", lambda s, d: s.createDataFrame([], "run_id BIGINT, payload STRING"))
+    monkeypatch.setattr(queries.views, "feed_details", lambda s, d: None)
+    monkeypatch.setattr(queries, "flatten_details", lambda d: None)
+
+    class Job:
+        def awaitTermination(self):
+            pass
+
+    monkeypatch.setattr(queries, "start_incremental", lambda s, landed, *rest: jobs.append(landed) or Job())
+    for _ in range(2):
+        queries.incremental_run(spark, "same folder")
+    assert len(set(jobs)) == 2
