@@ -7,7 +7,8 @@ instead of seeds, all pairs of vectors.
 
 from __future__ import annotations
 
-from feedsift.llm import embed, licenses, minhash, quality, secrets, substring
+from feedsift.llm import clusters, embed, licenses, minhash, negatives, quality, secrets, substring
+from feedsift.llm.queries import MINED_LABEL
 
 _WORD = "'[^\\x20\\x09-\\x0D]+'"
 _ROWS = "docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, lang, source FROM documents)"
@@ -142,6 +143,68 @@ FROM failed JOIN g ON lang IS NOT DISTINCT FROM g_lang AND source IS NOT DISTINC
 JOIN l ON lang IS NOT DISTINCT FROM l_lang, a"""
 
 
+def _clusters() -> str:
+    """Each round spelled out over all vectors and all centroids."""
+    away = "list_sum(list_transform(list_zip(x, c), lambda p: (p[1] - p[2]) * (p[1] - p[2])))"
+
+    def nearest(n: int) -> str:
+        return f"""
+near{n} AS MATERIALIZED (
+  SELECT r, vec_id, x, arg_min(j, (d, j)) AS j, min(d) AS d
+  FROM (SELECT r, vec_id, x, j, CAST({away} AS BIGINT) AS d FROM v, at{n}) GROUP BY r, vec_id, x)"""
+
+    rounds = "".join(f"""{nearest(n)},
+means{n} AS (
+  SELECT j, list(CAST((s - ((s % n) + n) % n) / n AS BIGINT) ORDER BY i) AS c
+  FROM (SELECT j, i, CAST(sum(e) AS BIGINT) AS s, count(*) AS n
+        FROM (SELECT j, unnest(x) AS e, generate_subscripts(x, 1) AS i FROM near{n}) GROUP BY j, i) GROUP BY j),
+at{n + 1} AS MATERIALIZED (SELECT j, coalesce(means{n}.c, at{n}.c) AS c FROM at{n} LEFT JOIN means{n} USING (j)),"""
+                     for n in range(clusters.ROUNDS))
+    last = clusters.ROUNDS
+    return f"""
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id,
+         list_transform(embedding, lambda e: CAST(floor({clusters.SCALE} * CAST(e AS DOUBLE)) AS BIGINT)) AS x
+  FROM embeddings WHERE len(list_filter(embedding, lambda e: isfinite(e))) = {clusters.DIMS} AND len(embedding) = {clusters.DIMS}),
+at0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY sha256('{clusters.SALT}:' || vec_id)) - 1 AS j, x AS c FROM v
+  QUALIFY j < {clusters.CLUSTERS}),{rounds}{nearest(last)}
+SELECT vec_id, CAST(j AS INTEGER) AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY j) AS BIGINT) AS cluster_inertia,
+       CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM near{last} JOIN at{last} USING (j)"""
+
+
+def _hard_negatives() -> str:
+    score = "list_sum(list_transform(list_zip({a}, {b}), lambda p: p[1] * p[2]))"
+    return f"""
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, {MINED_LABEL} AS label,
+         list_transform(embedding, lambda e: CAST(floor({negatives.SCALE} * CAST(e AS DOUBLE)) AS BIGINT)) AS x
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda e: isfinite(e))) = len(embedding)),
+scored AS MATERIALIZED (
+  SELECT a.r AS a, a.vec_id AS anchor_id, b.vec_id AS other_id, b.r AS b, a.label = b.label AS alike,
+         CAST({score.format(a="a.x", b="b.x")} AS BIGINT) AS s
+  FROM v a JOIN v b ON a.vec_id % {negatives.EVERY} = 0 AND a.vec_id <> b.vec_id AND len(a.x) = len(b.x)),
+pos AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY s DESC, other_id) AS n FROM scored WHERE alike QUALIFY n <= {negatives.POSITIVES}),
+found AS (
+  SELECT pos.anchor_id, pos.other_id AS positive_id, scored.other_id AS negative_id, pos.s AS positive_score, scored.s AS negative_score,
+         row_number() OVER (PARTITION BY pos.a, pos.b ORDER BY scored.s DESC, scored.other_id) AS rank
+  FROM pos JOIN scored ON pos.a = scored.a AND NOT scored.alike AND {negatives.LEAST_PERCENT} * pos.s <= 100 * scored.s
+    AND 100 * scored.s <= {negatives.MOST_PERCENT} * pos.s)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score
+FROM found WHERE rank <= {negatives.NEGATIVES}"""
+
+
+def _exact() -> str:
+    return """
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, length(coalesce(text, '')) AS n,
+                  regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS s FROM documents),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY n DESC, doc_id NULLS LAST, r) AS place FROM t)
+SELECT doc_id, first_value(doc_id) OVER (PARTITION BY s ORDER BY place) AS keep_id, count(*) OVER (PARTITION BY s) AS group_size,
+       place = 1 AS kept, sha256(s) AS text_sha256 FROM ranked"""
+
+
 def llm_oracles() -> dict[str, str]:
     return {
         "op1_secret_scans": _secrets(),
@@ -150,4 +213,7 @@ def llm_oracles() -> dict[str, str]:
         "op6_license_scans": licenses.oracle(),
         "op8_substring_dedup": _substrings(),
         "op10_quality_rules": _quality(),
+        "op11_centroid_clusters": _clusters(),
+        "op12_hard_negatives": _hard_negatives(),
+        "op13_exact_dedup": _exact(),
     }

@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedsift.llm import bpe, embed, html, licenses, minhash, packing, quality, records, secrets, substring
+from feedsift.llm import (
+    bpe, clusters, embed, exact, html, licenses, minhash, negatives, packing, quality, records, secrets, substring,
+)
 from feedsift.llm.scratch import importable
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -67,6 +69,22 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.cluster_vectors(table(spark, sf_dir, "embeddings"))
+
+
+# Every seventh vector counts as one of the next label.
+MINED_LABEL = "CASE WHEN vec_id % 7 = 0 THEN (CAST(label AS BIGINT) + 1) % 10 ELSE label END"
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings"), MINED_LABEL)
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.exact_duplicates(table(spark, sf_dir, "documents"))
+
+
 def llm_queries() -> dict[str, Query]:
     return {
         "op1_secret_scans": op1_secret_scans,
@@ -79,4 +97,7 @@ def llm_queries() -> dict[str, Query]:
         "op8_substring_dedup": op8_substring_dedup,
         "op9_bpe_codec": op9_bpe_codec,
         "op10_quality_rules": op10_quality_rules,
+        "op11_centroid_clusters": op11_centroid_clusters,
+        "op12_hard_negatives": op12_hard_negatives,
+        "op13_exact_dedup": op13_exact_dedup,
     }

@@ -14,7 +14,8 @@ from feedsift.llm import embed, html, licenses, packing, quality
 
 OPERATORS = (
     "op1_secret_scans", "op2_minhash_dedup", "op3_html_text", "op4_embedding_dedup", "op5_packing", "op6_license_scans",
-    "op7_token_records", "op8_substring_dedup", "op9_bpe_codec", "op10_quality_rules", "pipeline",
+    "op7_token_records", "op8_substring_dedup", "op9_bpe_codec", "op10_quality_rules", "op11_centroid_clusters",
+    "op12_hard_negatives", "op13_exact_dedup", "pipeline",
 )
 
 
