@@ -15,7 +15,7 @@ SPACE_BODY = (
 SPACE = f"[{SPACE_BODY}]"
 _WORD = "[A-Za-z0-9_]"
 _NOT_AFTER = f"(?!{_WORD})"
-_BOUNDARY = f"(?:(?<={_WORD}){_NOT_AFTER}|(?<!{_WORD})(?={_WORD}))"
+BOUNDARY = f"(?:(?<={_WORD}){_NOT_AFTER}|(?<!{_WORD})(?={_WORD}))"
 
 
 def _is_word(ch: str) -> bool:
@@ -50,7 +50,7 @@ def _boundary_before(rest: str) -> tuple[str, int]:
         if all(_literal_run(branch) for branch in branches):
             spelled = "|".join(jvm(r"\b" + branch) for branch in branches)
             return f"{opening}{spelled})", end + 1
-    return _BOUNDARY, 0
+    return BOUNDARY, 0
 
 
 def jvm(pattern: str, ignore_case: bool = False) -> str:

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feedsift.functions import extract, predicates
+from feedsift.operators.ordinal import numbered
 from feedsift.rules import signals
 
 RANK_FIELDS = ("rank_flagged", "rank_elsewhere", "rank_not_exempt", "rank_floor", "rank_age")
+# Fixed by Spark: a row id is the task's number above this many bits and the row's number below.
+_ROW_BITS = 33
+_TASK_GROUPS = 256
 
 
 def with_rank_fields(listings: DataFrame) -> DataFrame:
@@ -66,12 +70,33 @@ def top_listings(
 ) -> DataFrame:
     """First ``limit`` rows with ``rank_no`` and ``extra``, the count of those left out.
 
-    Each task keeps its own best ``limit`` rows; the numbering sees those
-    survivors only. The count is an aggregate of its own that reads no wide column.
+    One pass. A task sorts its rows, so that a row's number within the task says
+    whether it is among its best, and hands on their count and those rows only.
+    Tasks are first put together in groups, so that no task gathers the best
+    rows of all others.
     """
-    top = listings.orderBy(*rank_order(tie)).limit(limit)
-    numbered = top.withColumn("rank_no", F.row_number().over(Window.orderBy(*rank_order(tie))))
-    left_out = listings.agg(
-        F.greatest(F.count(F.lit(1)) - limit, F.lit(0)).cast("long").alias("n")
+    best_first = listings.sortWithinPartitions(*rank_order(tie)).withColumn("_row", F.monotonically_increasing_id())
+    task, place = F.shiftrightunsigned("_row", _ROW_BITS), F.col("_row").bitwiseAND((1 << _ROW_BITS) - 1)
+    order = F.struct(
+        *RANK_FIELDS[:3], (-F.col("rank_floor")).alias("rank_floor"), "rank_age", F.col(tie).alias("tie")
     )
-    return numbered.withColumn("extra", left_out.scalar())
+    found = F.struct(order.alias("order"), F.struct(*listings.columns).alias("row"))
+
+    def first(rows: Column) -> Column:
+        return F.slice(F.array_sort(rows), 1, limit)
+
+    groups = best_first.groupBy(F.pmod(task, F.lit(_TASK_GROUPS)).alias("_group")).agg(
+        F.count(F.lit(1)).alias("n"), F.collect_list(F.when(place < limit, found)).alias("best")
+    )
+    whole = groups.select("n", first(F.col("best")).alias("best")).agg(
+        F.sum("n").alias("n"), first(F.flatten(F.collect_list("best"))).alias("best")
+    )
+    extra = F.greatest(F.col("n") - limit, F.lit(0).cast("long"))
+    return whole.select(extra.alias("extra"), F.posexplode("best").alias("place", "found")).select(
+        "found.row.*", (F.col("place") + 1).alias("rank_no"), "extra"
+    )
+
+
+def positions(listings: DataFrame, path: str, tie: str = "first_seq") -> DataFrame:
+    """The whole list with ``rank_no``, stored below ``path``."""
+    return numbered(listings, rank_order(tie), "rank_no", path)
