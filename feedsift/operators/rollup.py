@@ -31,27 +31,30 @@ def run_counters(
     failures: DataFrame,
     skip_flagged: bool = False,
     max_shown: int = signals.MAX_SHOWN,
+    fresh: DataFrame | None = None,
 ) -> DataFrame:
-    """One row of run counters.
+    """One row of run counters, in one aggregate over narrow rows of all inputs.
 
-    ``matches`` carries a BOOLEAN ``is_fresh``. Each input is counted where it
-    is, and the one-row results are added up.
+    ``fresh``: the fresh ones of ``matches``. Without it ``matches`` carries a
+    BOOLEAN ``is_fresh``.
     """
-    one = F.lit(1)
-    to_alert = F.col("is_fresh") & (~_is_flagged() if skip_flagged else F.lit(True))
-    parts = [
-        fetched.agg(F.count(one).alias("fetched")),
-        matches.agg(
-            F.count(one).alias("matched"),
-            F.count_if(_is_flagged()).alias("flagged"),
-            F.count_if("is_fresh").alias("fresh"),
-            F.count_if(to_alert).alias("alertable"),
-        ),
-        failures.agg(F.count_if("source_failed").alias("failed")),
-    ]
-    names = ("fetched", "matched", "flagged", "fresh", "alertable", "failed")
-    tagged = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
-    totals = tagged.agg(*(F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in names))
+    if fresh is None:
+        fresh = matches.where("is_fresh")
+    to_alert = ~_is_flagged() if skip_flagged else F.lit(True)
+    marks = {
+        "fetched": (fetched, F.lit(True)),
+        "matched": (matches, F.lit(True)),
+        "flagged": (matches, _is_flagged()),
+        "fresh": (fresh, F.lit(True)),
+        "alertable": (fresh, to_alert),
+        "failed": (failures, F.col("source_failed")),
+    }
+    rows = []
+    for frame in (fetched, matches, fresh, failures):
+        own = [(mark if of is frame else F.lit(False)).alias(name) for name, (of, mark) in marks.items()]
+        rows.append(frame.select(*own))
+    told = reduce(lambda a, b: a.unionAll(b), rows)
+    totals = told.agg(*(F.count_if(name).alias(name) for name in marks))
     return totals.withColumn("shown", F.least(F.col("alertable"), F.lit(max_shown).cast("long")))
 
 

@@ -8,6 +8,7 @@ test per term instead of one prefix pattern, recursion for the chunks.
 from __future__ import annotations
 
 from feedsift.plans import queries as q
+from feedsift.operators.rule_table import profile_rows
 from feedsift.plans import views
 from feedsift.rules import feeds, profiles, regions, signals
 from feedsift.rules.profiles import RuleProfile
@@ -316,6 +317,7 @@ def _field(name: str) -> str:
 
 
 _TERM = "run_id, source_ord, term_key"
+_CAPPED = "WHERE cap IS NULL OR page_offset < cap"
 _PULLED = f"""
 {_PAGES},
 stats AS (SELECT *, flag_failed OR broken AS failed,
@@ -327,11 +329,14 @@ walked AS (SELECT *, page_size IS NULL OR coalesce(bool_and(
                        NOT failed AND n_read > 0 AND page_offset + page_size < coalesce(total, 0))
                      OVER (PARTITION BY {_TERM} ORDER BY page_offset
                            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS reached
-           FROM stats WHERE cap IS NULL OR page_offset < cap),
+           FROM stats {_CAPPED}),
 pulled AS (SELECT *, bool_or(failed) OVER (PARTITION BY {_TERM}) AS term_failed
            FROM walked WHERE reached)"""
 
 
+_ALL_PULLED = _PULLED.replace(_CAPPED, "")
+
+
 def _listings(source: str) -> str:
     """CTEs ending in ``listed``: the listings of the pages in ``source``."""
     item, bullet = _field("item"), _field("bullet")
@@ -371,10 +376,10 @@ _SEQ = "run_id, source_ord, term_no, page_offset, pos"
 _PLACE = "term_no * 1000000000 + page_offset * 100000 + pos"
 
 
-def _union(run_filter: str = "") -> str:
+def _union(pulled: str = _PULLED) -> str:
     """CTEs ending in ``feeds``: all listings with their first place."""
-    return f"""{_PULLED},
-sound AS (SELECT * FROM pulled WHERE NOT term_failed {run_filter}),
+    return f"""{pulled},
+sound AS (SELECT * FROM pulled WHERE NOT term_failed),
 {_listings("sound")},
 placed AS (SELECT *, CASE WHEN ats IN ('workday', 'oracle') THEN id
                      ELSE concat_ws('|', id, term_no, page_offset, pos) END AS merge_id,
@@ -482,6 +487,25 @@ SELECT page_id, string_split(host, '.')[1] AS tenant, seg[1] AS site,
 FROM cut"""
 
 
+def _rule_table() -> str:
+    """Every listing against every rule of the table."""
+    fixed = ", ".join(f"({_lit(kind)}, {_lit(term)})" for _, kind, _, term in profile_rows("wide", profiles.STRICT))
+    waived = ", ".join(map(_lit, profiles.EXEMPT_TERMS))
+    exempt = _found("title_low", profiles.EXEMPT_PATTERN)
+    return f"""
+WITH listings AS (SELECT *, lower(coalesce(title, '')) AS title_low, lower(coalesce(location, '')) AS place_low
+                  FROM ({views.RULE_LISTINGS_SQL.format(orders='orders')})),
+rules AS (SELECT DISTINCT kind, lower(term) AS term FROM (
+  SELECT * FROM (VALUES {fixed}) AS fixed(kind, term) UNION ALL {views.CUSTOMER_RULES_SQL.format(customer='customer')})),
+hits AS (SELECT seq, kind, term FROM listings JOIN rules
+         ON contains(CASE WHEN kind IN ('include', 'exclude') THEN title_low ELSE place_low END, term)
+         WHERE kind <> 'exclude' OR regexp_matches(title_low, '\\b' || regexp_escape(term) || '\\b'))
+SELECT seq, title, location FROM listings
+WHERE seq IN (SELECT seq FROM hits WHERE kind = 'include') AND seq NOT IN (SELECT seq FROM hits WHERE kind = 'block')
+AND seq NOT IN (SELECT seq FROM hits JOIN listings USING (seq) WHERE kind = 'exclude' AND NOT (term IN ({waived}) AND {exempt}))
+AND {_allowed()}"""
+
+
 _STATUS = """
 unit_status AS (SELECT run_id, source_ord, term_key, bool_or(failed) AS term_failed FROM pulled GROUP BY ALL),
 source_state AS (SELECT run_id, source_ord, bool_and(term_failed) AS source_failed FROM unit_status GROUP BY ALL)"""
@@ -512,7 +536,7 @@ def _runs(*more: str) -> str:
     """CTEs ending in ``firsts``: each poll selects for itself; a key belongs to the first poll that selects it."""
     key = "run_id % 4 || '|' || company || ':' || id"
     return _with(
-        f"{_union()},\n{_POLLS}",
+        f"{_union(_ALL_PULLED)},\n{_POLLS}",
         _selected("polls", key, "place_seq", details=True),
         """
 marked AS (SELECT * REPLACE (company || ':' || id AS listing_key), run_id % 4 AS poll,
@@ -546,7 +570,7 @@ SELECT (SELECT count(*) FROM polls WHERE run_id % 4 = n.poll) AS fetched,
        (SELECT count(*) FROM firsts WHERE poll = n.poll) AS alertable,
        (SELECT count(*) FROM source_state WHERE source_failed AND run_id % 4 = n.poll) AS failed,
        (SELECT least(count(*), {signals.MAX_SHOWN}) FROM firsts WHERE poll = n.poll) AS shown,
-       (SELECT count(*) FROM stats WHERE page_offset >= cap AND run_id % 4 = n.poll) AS pages_left_out
+       0 AS pages_left_out
 FROM numbers n"""
 
 
@@ -571,7 +595,7 @@ SELECT detail_no, ats, description, coalesce(array_to_string(names, '|'), '') AS
         "stamp_source_attr": f"""{_with(_POSTINGS, _sources())}
 SELECT source_ord, seq, src.company, ats, coalesce(src.cap_exempt, false) AS cap_exempt
 FROM p LEFT JOIN src USING (source_ord)""",
-        "unbounded_pull": f"""{_with(_PULLED.replace("WHERE cap IS NULL OR page_offset < cap", ""))}
+        "unbounded_pull": f"""{_with(_ALL_PULLED)}
 SELECT run_id, source_ord, term_no, page_offset, n_read AS n_rows, failed, term_failed FROM pulled""",
         "bounded_pull": f"""{_with(_PULLED)}
 SELECT run_id, source_ord, term_no, page_offset, n_read AS n_rows, failed, term_failed FROM pulled""",
@@ -603,6 +627,7 @@ SELECT conv_id, turn, chunk_no, chunk FROM chunked""",
         "geo_in_region": _listing("in_region", _looks_us()),
         "geo_allow": _listing("allowed", _allowed()),
         "match_profile": f"{_with(_POSTINGS)}SELECT seq, title, location FROM p WHERE {_matches(profiles.STRICT)}",
+        "match_profile_table": _rule_table(),
         "match_by_region": f"{_with(_POSTINGS)}SELECT seq, title, location FROM p WHERE {_by_region()}",
         "priority_region": _listing("near", _near()),
         "recency_filter": f"""{_with(_POSTINGS)}
@@ -644,20 +669,21 @@ SELECT doc_id AS pair_no, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY {
 FROM a WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.page_id = a.doc_id AND b.label = a.label)""",
         "rank_rows": f"""{top}SELECT seq, first_seq, rank_flagged, rank_elsewhere, rank_not_exempt, rank_floor,
 rank_age FROM ranked""",
+        "ranked_positions": f"{top}SELECT rank_no, seq, first_seq FROM ordered",
         "topn_overflow": f"{top}SELECT rank_no, listing_key, title, salary, extra FROM top",
         "flag_breakdown": _run(
             "SELECT count(*) FILTER (WHERE flag_status <> 'no') AS n_open, "
             "count(*) FILTER (WHERE flag_status = 'no') AS n_flagged FROM selected"
         ),
         "source_counts": f"{_with(_union())}SELECT source_ord, count(*) AS n_rows FROM feeds GROUP BY source_ord",
-        "run_counters": f"""{_with(_PULLED, _STATUS, _POSTINGS, _selected())}
+        "run_counters": f"""{_with(_ALL_PULLED, _STATUS, _POSTINGS, _selected())}
 SELECT (SELECT count(*) FROM p) AS fetched, count(*) AS matched,
        count(*) FILTER (WHERE flag_status = 'no') AS flagged,
        count(*) FILTER (WHERE source_ord % 5 <> 0) AS fresh,
        count(*) FILTER (WHERE source_ord % 5 <> 0) AS alertable,
        (SELECT count(*) FROM source_state WHERE source_failed) AS failed,
        least(count(*) FILTER (WHERE source_ord % 5 <> 0), 30) AS shown FROM selected""",
-        "source_failures": f"""{_with(_PULLED, _STATUS, _sources())}
+        "source_failures": f"""{_with(_ALL_PULLED, _STATUS, _sources())}
 SELECT run_id, count(*) AS n_failed, '⚠️ ' || count(*) || ' sources failed to fetch this run: '
        || string_agg(company, ', ' ORDER BY source_ord) AS notice
 FROM source_state JOIN src USING (source_ord) WHERE source_failed GROUP BY run_id HAVING count(*) >= 3""",
@@ -681,14 +707,14 @@ SELECT listing_key, any_value(event_type) AS company, CAST(any_value(user_id) AS
             (_POSTINGS, _selected(), _RANKED, _DIGEST, _chunks("message", "n_shown", "text_message", q.PART_LIMIT))
         ) + "\nSELECT CAST(chunk_no AS INTEGER) AS part_no, chunk AS part FROM chunked",
         "preview_run": _run(f"SELECT company, title, location, {_meta()} AS meta, url FROM ranked", _RANKED),
-        "feed_ranking": f"""{_with(f"{_union()},{_POLLS}", _selected("polls", place="place_seq"), _RANKED)}
+        "feed_ranking": f"""{_with(f"{_union(_ALL_PULLED)},{_POLLS}", _selected("polls", place="place_seq"), _RANKED)}
 SELECT rank_no, listing_key, title, greatest(n_all - 200, 0) AS extra FROM ordered WHERE rank_no <= 200""",
         "incremental_run": seen,
         "seed_run": seen,
         "incremental_tracker": _incremental_tracker(),
         "incremental_emails": _incremental_emails(),
         "incremental_counters": _incremental_counters(),
-        "incremental_notices": f"""{_with(_PULLED, _STATUS, _sources())}
+        "incremental_notices": f"""{_with(_ALL_PULLED, _STATUS, _sources())}
 SELECT count(*) AS n_failed, '⚠️ ' || count(*) || ' sources failed to fetch this run: '
        || string_agg(company, ', ' ORDER BY source_ord) AS notice
 FROM source_state JOIN src USING (source_ord) WHERE source_failed GROUP BY run_id HAVING count(*) >= 3""",

@@ -13,22 +13,24 @@ from feedsift.functions import extract, predicates, text
 from feedsift.operators import digest as digests
 from feedsift.operators import enrich, matching, rank, rollup
 from feedsift.operators.dedup import lookup_first, unseen
+from feedsift.operators.rule_table import matched_by_table
 from feedsift.operators.tracker import tracker_rows
 from feedsift.plans import views
 from feedsift.plans.run import RunOptions, preview, select_listings
 from feedsift.rules import profiles
 from feedsift.rules.feeds import OFFSET_CAPS, SOURCES
-from feedsift.session import shared_folder
+from feedsift.session import delete_at_exit, shared_folder
 from feedsift.sources import landed
 from feedsift.sources.details import flatten_details
 from feedsift.sources.dimension import source_dimension
-from feedsift.sources.payloads import LISTING_FIELDS, explode_pages
-from feedsift.streaming.incremental import Tables, start_incremental, stream_new_keys
-from feedsift.streaming.tables import SEEN_SCHEMA, Run, fresh_listings, read_table, seen_rows, write_run
+from feedsift.sources.payloads import LISTING_FIELDS, explode_listings, explode_pages
+from feedsift.streaming.incremental import Tables, read_finished, seen_table, start_incremental, stream_new_keys
+from feedsift.streaming.seen import SeenTable
+from feedsift.streaming.tables import SEEN_SCHEMA, Run, seen_rows
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-OPTIONS = RunOptions(as_of=views.AS_OF, caps=OFFSET_CAPS)
+OPTIONS = RunOptions(as_of=views.AS_OF)  # no caps: every landed page counts
 EVENT_CUTOFF = "2024-01-04"
 DOC_CHUNK_LIMIT = 4000
 TURN_CHUNK_LIMIT = 120
@@ -62,8 +64,21 @@ def detail_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return landed.collect_listings(views.landed_pages(spark, sf_dir), source_dimension(spark), OFFSET_CAPS)
+def _scratch(spark: SparkSession, purpose: str) -> str:
+    """A shared folder for what a query stores; gone when the driver ends."""
+    return delete_at_exit(spark, shared_folder(spark, purpose))
+
+
+def _landed(spark: SparkSession, pages: DataFrame) -> DataFrame:
+    """Pages, parsed and stored once."""
+    folder = _scratch(spark, "pages")
+    landed.land_pages(pages, source_dimension(spark), folder)
+    return landed.read_stored(spark, folder)
+
+
+def _feeds(spark: SparkSession, sf_dir: str, caps: landed.Caps = OFFSET_CAPS) -> DataFrame:
+    pages = _landed(spark, views.landed_pages(spark, sf_dir))
+    return landed.collect_listings(pages, source_dimension(spark), caps)
 
 
 def union_feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,8 +116,8 @@ def _pulled(pages: DataFrame, caps: landed.Caps) -> DataFrame:
 
 
 def term_union_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = _feed_pages(spark, sf_dir).where(landed.is_paged())
-    listings = explode_pages(
+    pages = _landed(spark, views.landed_pages(spark, sf_dir)).where(landed.is_paged())
+    listings = explode_listings(
         landed.pulled_pages(pages, OFFSET_CAPS), "run_id", "source_ord", "term_no", "page_offset"
     )
     return landed.union_terms(listings).select(
@@ -200,6 +215,12 @@ def match_by_region(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.matched(views.postings(spark, sf_dir)).select("seq", "title", "location")
 
 
+def match_profile_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Matching against a profile kept as a table, with a rule per customer of two segments."""
+    rules = views.rule_table(spark, sf_dir, "wide")
+    return matched_by_table(views.rule_listings(spark, sf_dir), rules, "wide")
+
+
 def recency_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     aged = matching.with_age(views.postings(spark, sf_dir), views.AS_OF)
     return matching.recent(aged).select(
@@ -318,19 +339,19 @@ def _first_events(events: DataFrame) -> DataFrame:
 
 def seen_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two runs into the seen table, the second one repeated; the first write of a key stays."""
-    folder = shared_folder(spark, "seen-upsert")
+    seen = SeenTable(spark, _scratch(spark, "seen-upsert"), SEEN_SCHEMA)
     events = _event_keys(spark, sf_dir)
     for run_id, part in ((0, _before_cutoff()), (1, ~_before_cutoff()), (1, ~_before_cutoff())):
-        seen = read_table(spark, folder, SEEN_SCHEMA)
         run = Run("events", run_id)
-        fresh = fresh_listings(_first_events(events.where(part)), seen, run)
-        write_run(seen_rows(fresh, F.col("first_ts")), folder, run)
-    return read_table(spark, folder, SEEN_SCHEMA).drop("job")
+        seen.begin(run)
+        fresh = seen.unseen(_first_events(events.where(part)), run)
+        seen.record(seen_rows(fresh, F.col("first_ts")), run)
+    return seen.rows().drop("job")
 
 
 def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keys over two arrivals of event files, each processed when it lands."""
-    folder = shared_folder(spark, "stream-dedup")
+    folder = _scratch(spark, "stream-dedup")
     events = _event_keys(spark, sf_dir)
     for part in (_before_cutoff(), ~_before_cutoff()):
         events.where(part).select("listing_key").write.mode("append").parquet(f"{folder}/landed")
@@ -338,7 +359,7 @@ def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
             spark, f"{folder}/landed", "listing_key STRING", "listing_key",
             f"{folder}/keys", f"{folder}/state",
         ).awaitTermination()
-    return read_table(spark, f"{folder}/keys", "listing_key STRING, job STRING, run_id BIGINT").drop("job")
+    return SeenTable(spark, f"{folder}/keys", "listing_key STRING").rows().drop("job")
 
 
 def lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -361,13 +382,19 @@ def _to_alert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _top(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rank.top_listings(_to_alert(spark, sf_dir))
+    return rank.top_listings(_to_alert(spark, sf_dir).drop("description"))
 
 
 def rank_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rank.ranked(_to_alert(spark, sf_dir)).select("seq", "first_seq", *rank.RANK_FIELDS)
 
 
+def ranked_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole list with its place numbers."""
+    listings = _to_alert(spark, sf_dir).select("seq", "first_seq", *rank.RANK_FIELDS)
+    return rank.positions(listings, _scratch(spark, "ranked")).select("rank_no", "seq", "first_seq")
+
+
 def preview_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return preview(views.postings(spark, sf_dir), OPTIONS).select(
         "company", "title", "location", extract.meta_line().alias("meta"), "url",
@@ -389,7 +416,7 @@ def source_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _page_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return landed.source_status(landed.term_status(views.page_stats(spark, sf_dir), OFFSET_CAPS))
+    return landed.source_status(landed.term_status(views.page_stats(spark, sf_dir)))
 
 
 def run_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -464,7 +491,7 @@ def _incremental(spark: SparkSession, sf_dir: str, options: RunOptions = OPTIONS
     The polls so far lie in folders of their own, so the second job sees the
     later ones only. The run number of a poll within its job is its place there.
     """
-    folder = shared_folder(spark, "incremental")
+    folder = _scratch(spark, "incremental")
     tables = Tables(f"{folder}/tables")
     pages = views.landed_pages(spark, sf_dir)
     details = flatten_details(views.feed_details(spark, sf_dir))
@@ -481,39 +508,43 @@ def _incremental(spark: SparkSession, sf_dir: str, options: RunOptions = OPTIONS
 def incremental_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The seen table after all polls."""
     tables = _incremental(spark, sf_dir)
-    return read_table(spark, tables.seen, SEEN_SCHEMA).drop("seen_at", "job")
+    return seen_table(spark, tables).rows().drop("seen_at", "job")
 
 
 def seed_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs that record and stay silent: the seen table is that of other runs."""
     tables = _incremental(spark, sf_dir, replace(OPTIONS, seed=True))
-    return read_table(spark, tables.seen, SEEN_SCHEMA).drop("seen_at", "job")
+    return seen_table(spark, tables).rows().drop("seen_at", "job")
 
 
 def incremental_tracker(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The tracker rows all polls wrote."""
-    return spark.read.parquet(_incremental(spark, sf_dir).tracker).drop("job")
+    tables = _incremental(spark, sf_dir)
+    return read_finished(spark, tables, tables.tracker).drop("job")
 
 
 def incremental_emails(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Subject and body of each poll's e-mail."""
-    return spark.read.parquet(_incremental(spark, sf_dir).emails).drop("job", "run_id")
+    tables = _incremental(spark, sf_dir)
+    return read_finished(spark, tables, tables.emails).drop("job", "run_id")
 
 
 def incremental_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The counters of each poll's run."""
-    return spark.read.parquet(_incremental(spark, sf_dir).counters).drop("job", "run_id")
+    tables = _incremental(spark, sf_dir)
+    return read_finished(spark, tables, tables.counters).drop("job", "run_id")
 
 
 def incremental_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The warnings of each poll's run."""
-    return spark.read.parquet(_incremental(spark, sf_dir).notices).drop("job", "run_id")
+    tables = _incremental(spark, sf_dir)
+    return read_finished(spark, tables, tables.notices).drop("job", "run_id")
 
 
 def feed_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Alert order over the listings of all feeds; ties by first place of a key in any term."""
-    listings = _feeds(spark, sf_dir)
-    top = rank.top_listings(rank.alertable(select_listings(listings, OPTIONS)), 200)
+    listings = _feeds(spark, sf_dir, OPTIONS.caps)
+    top = rank.top_listings(rank.alertable(select_listings(listings, OPTIONS)).drop("description"), 200)
     return top.select(F.col("rank_no").cast("long").alias("rank_no"), "listing_key", "title", "extra")
 
 
@@ -562,6 +593,7 @@ def all_queries() -> dict[str, Query]:
         "geo_in_region": listing("in_region", lambda: predicates.looks_us("location")),
         "geo_allow": listing("allowed", lambda: predicates.location_allowed("location")),
         "match_profile": match_profile,
+        "match_profile_table": match_profile_table,
         "match_by_region": match_by_region,
         "priority_region": listing("near", lambda: predicates.in_priority_region("location")),
         "recency_filter": recency_filter,
@@ -583,6 +615,7 @@ def all_queries() -> dict[str, Query]:
         "lookup_first": lookup,
         "skills_missing": skills_missing,
         "rank_rows": rank_rows,
+        "ranked_positions": ranked_positions,
         "topn_overflow": topn_overflow,
         "flag_breakdown": flag_breakdown,
         "source_counts": _wide(source_counts),

@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feedsift.operators.enrich import detail_key
+from feedsift.operators.rule_table import RULE_SCHEMA, profile_rows
+from feedsift.rules.profiles import STRICT
 from feedsift.sources.dimension import source_dimension
 from feedsift.sources.landed import with_source
 from feedsift.sources.payloads import explode_pages
@@ -112,6 +114,19 @@ SELECT o_orderkey AS seq,
 FROM {{orders}}
 """
 
+# Listings whose title also names the customer, and a rule table that is built from the customer table:
+# its rows stand beside those of the default profile.
+RULE_LISTINGS_SQL = f"""
+SELECT o_orderkey AS seq,
+       {title_sql("o_orderkey")} || ' for Customer#' || lpad(CAST(o_custkey AS STRING), 9, '0') AS title,
+       {location_sql("o_orderkey")} AS location
+FROM {{orders}}
+"""
+CUSTOMER_RULES_SQL = """
+SELECT CASE c_mktsegment WHEN 'BUILDING' THEN 'include' ELSE 'exclude' END AS kind, c_name AS term
+FROM {customer} WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')
+"""
+
 # The step of 17 visits every source once per run and reaches each format early.
 _SOURCE = f"(CAST(floor(o_orderkey / {PAGES_PER_SOURCE}) AS BIGINT) * 17 + 50) % {N_SOURCES}"
 _TERM = f"CAST(floor(o_orderkey / {PAGES_PER_TERM}) AS BIGINT)"
@@ -197,6 +212,17 @@ def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _stored(spark.sql(POSTINGS_SQL, orders=read(spark, sf_dir, "orders")))
 
 
+def rule_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stored(spark.sql(RULE_LISTINGS_SQL, orders=read(spark, sf_dir, "orders")))
+
+
+def rule_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The default profile and the rules of the customers, as rows."""
+    fixed = spark.createDataFrame(profile_rows(name, STRICT), RULE_SCHEMA)
+    more = spark.sql(CUSTOMER_RULES_SQL, customer=read(spark, sf_dir, "customer"))
+    return fixed.unionByName(more.withColumns({"profile": F.lit(name), "ord": F.lit(0)}))
+
+
 def page_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages with their counts and no payload."""
     frame = spark.sql(PAGES_SQL, orders=read(spark, sf_dir, "orders"))

@@ -40,3 +40,27 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
             raise ValueError(f"set {CHECKPOINT_KEY} to a folder every executor can reach")
         base = tempfile.mkdtemp(prefix="feedsift-")
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+
+
+def _file_system(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder and what is in it, wherever it lies; nothing happens if there is none."""
+    files, place = _file_system(spark, path)
+    files.delete(place, True)
+
+
+def delete_at_exit(spark: SparkSession, path: str) -> str:
+    """Let the file system delete ``path`` when the driver ends."""
+    files, place = _file_system(spark, path)
+    files.deleteOnExit(place)
+    return path
+
+
+def folders_like(spark: SparkSession, pattern: str) -> list[str]:
+    """Paths that match a pattern with ``*``."""
+    files, place = _file_system(spark, pattern)
+    return [str(found.getPath().toString()) for found in files.globStatus(place) or []]

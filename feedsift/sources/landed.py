@@ -1,9 +1,9 @@
 """Landed pages: bounded pull, term status, and the union of all feeds.
 
 A page row holds ``run_id`` (poll), ``source_ord``, ``term_no``,
-``page_offset``, ``payload`` and ``failed``. Pages written by ``land_pages``
-also hold ``n_rows`` and ``total``, so paging can be decided without a second
-look at the payload.
+``page_offset``, ``payload`` and ``failed``. Pages written by ``land_pages`` hold
+``n_rows``, ``total`` and the parsed ``listings`` instead of the payload: paging is
+decided from narrow columns, and no payload is parsed a second time.
 
 ``caps`` (format -> offset) leaves out pages from that offset on. By default
 there are none: a page that has landed counts. ``pages_left_out`` says how many
@@ -19,12 +19,15 @@ from pyspark.sql import functions as F
 
 from feedsift.operators.dedup import keep_last
 from feedsift.rules.feeds import PAGE_SIZES, SEARCH_TERMS
-from feedsift.sources.payloads import explode_pages, page_counts
+from feedsift.sources.payloads import LISTINGS_TYPE, explode_listings, parse_pages
 
 LANDED_SCHEMA = (
     "run_id BIGINT, source_ord INT, term_no INT, page_offset INT, payload STRING, failed BOOLEAN"
 )
-STORED_SCHEMA = LANDED_SCHEMA + ", n_rows BIGINT, total DOUBLE, ats STRING"
+STORED_SCHEMA = (
+    "run_id BIGINT, source_ord INT, term_no INT, page_offset INT, failed BOOLEAN, n_rows BIGINT, total DOUBLE, "
+    f"listings {LISTINGS_TYPE}, ats STRING"
+)
 TERM_KEYS = ("run_id", "source_ord", "term_key")
 MALFORMED = "malformed"
 READ_SCHEMA = f"{LANDED_SCHEMA}, {MALFORMED} STRING"
@@ -90,7 +93,7 @@ def pages_left_out(pages: DataFrame, caps: Caps = None) -> DataFrame:
 def term_status(pages: DataFrame, caps: Caps = None) -> DataFrame:
     """Per unit polled: the offset its paging stops at, and whether it failed.
 
-    Takes pages with ``n_rows``, ``total`` and ``failed`` (see ``page_counts``).
+    Takes pages with ``n_rows``, ``total`` and ``failed`` (see ``parse_pages``).
     Paging stops at the first page that failed, is empty, or reaches the total
     (a missing total counts as 0). A unit fails when the page it stops at
     failed, a board when any of its files did. Partial aggregation keeps this
@@ -130,9 +133,10 @@ def bounded_pull(pages: DataFrame, status: DataFrame, caps: Caps = None) -> Data
     )
 
 
-def pulled_pages(pages: DataFrame, caps: Caps = None) -> DataFrame:
-    """Pages of the units that did not fail, up to where their paging stops."""
-    return bounded_pull(pages, term_status(page_counts(pages), caps), caps).where(~F.col("term_failed"))
+def pulled_pages(pages: DataFrame, caps: Caps = None, status: DataFrame | None = None) -> DataFrame:
+    """Parsed pages of the units that did not fail, up to where their paging stops."""
+    status = term_status(pages, caps) if status is None else status
+    return bounded_pull(pages, status, caps).where(~F.col("term_failed"))
 
 
 def source_status(status: DataFrame) -> DataFrame:
@@ -152,20 +156,25 @@ def union_terms(listings: DataFrame) -> DataFrame:
     return keep_last(listings, ["run_id", "source_ord", "id"], order_of(*SEQ_FIELDS), "first_seq")
 
 
-def collect_listings(pages: DataFrame, dimension: DataFrame, caps: Caps = None) -> DataFrame:
-    """Landed pages of any format -> listings in polling order (``seq``, ``first_seq``).
+def collect_listings(
+    pages: DataFrame, dimension: DataFrame, caps: Caps = None, status: DataFrame | None = None
+) -> DataFrame:
+    """Stored pages of any format -> listings in polling order (``seq``, ``first_seq``).
+
+    ``status``: the pages' ``term_status`` under the same caps, where the caller has it stored.
 
     Only formats polled per term are merged by id. Boards pass through, so they
-    cost no shuffle here.
+    cost no shuffle here. Pages that still hold payloads are taken too; their
+    status and their listings are then two readings of the payload, so a batch
+    is better landed first.
     """
-    kept = pulled_pages(
-        with_source(pages, dimension, "company", "ats", "address", "cap_exempt"), caps
-    )
+    attached = with_source(pages, dimension, "company", "ats", "address", "cap_exempt")
+    kept = pulled_pages(attached if "listings" in pages.columns else parse_pages(attached), caps, status)
     carried = (
         "run_id", "source_ord", "term_no", "page_offset", "company", "ats", "cap_exempt",
     )
-    per_term = union_terms(explode_pages(kept.where(is_paged()), *carried))
-    boards = explode_pages(kept.where(~is_paged()), *carried).withColumn(
+    per_term = union_terms(explode_listings(kept.where(is_paged()), *carried))
+    boards = explode_listings(kept.where(~is_paged()), *carried).withColumn(
         "first_seq", order_of(*SEQ_FIELDS)
     )
     return per_term.unionByName(boards).withColumns(
@@ -177,19 +186,9 @@ def collect_listings(pages: DataFrame, dimension: DataFrame, caps: Caps = None)
 
 
 def land_pages(pages: DataFrame, dimension: DataFrame, path: str) -> None:
-    """Write pages by format, with the counts paging needs beside the payload.
-
-    Paging is then decided from two narrow columns, and each format's listings
-    are read from that format's partitions only.
-    """
-    attached = with_source(pages, dimension, "ats").withColumn("body", F.col("payload"))
-    (
-        page_counts(attached)
-        .withColumnRenamed("body", "payload")
-        .write.mode("overwrite")
-        .partitionBy("ats")
-        .parquet(path)
-    )
+    """Parse pages and write them by format, listings beside the counts paging needs."""
+    attached = with_source(pages, dimension, "ats", "address")
+    parse_pages(attached).drop("address").write.mode("overwrite").partitionBy("ats").parquet(path)
 
 
 def read_stored(spark: SparkSession, path: str) -> DataFrame:

@@ -6,38 +6,28 @@ sends a number where another sends a string is still read.
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import or_
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedsift.functions.text import trim_spaces
 from feedsift.rules.signals import PART_SEPARATOR
 
 _CORRUPT = "_corrupt_record"
 _PERMISSIVE = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT}
 
-# Payload fields per format.
-LISTING_SCHEMAS = {
-    "workday": (
-        "total STRING, jobPostings ARRAY<STRUCT<title STRING, externalPath STRING, "
-        "locationsText STRING, postedOn STRING, bulletFields ARRAY<STRING>>>"
-    ),
-    "greenhouse": (
-        "jobs ARRAY<STRUCT<id STRING, title STRING, location STRUCT<name STRING>, "
-        "absolute_url STRING, updated_at STRING>>"
-    ),
-    "lever": (
-        "ARRAY<STRUCT<id STRING, text STRING, categories STRUCT<location STRING>, "
-        "hostedUrl STRING, createdAt STRING, descriptionPlain STRING>>"
-    ),
-    "oracle": (
-        "items ARRAY<STRUCT<TotalJobsCount STRING, requisitionList ARRAY<STRUCT<Id STRING, "
-        "Title STRING, PrimaryLocation STRING, PostedDate STRING, ExternalPostedStartDate STRING, "
-        "secondaryLocations ARRAY<STRUCT<Name STRING>>>>>>"
-    ),
-}
+# Payload fields of all formats. The names of their lists differ, so one schema reads any
+# payload; that of lever is a bare list and is read as one named ``postings``.
+PAGE_SCHEMA = (
+    "total STRING, jobPostings ARRAY<STRUCT<title STRING, externalPath STRING, "
+    "locationsText STRING, postedOn STRING, bulletFields ARRAY<STRING>>>, "
+    "jobs ARRAY<STRUCT<id STRING, title STRING, location STRUCT<name STRING>, "
+    "absolute_url STRING, updated_at STRING>>, "
+    "postings ARRAY<STRUCT<id STRING, text STRING, categories STRUCT<location STRING>, "
+    "hostedUrl STRING, createdAt STRING, descriptionPlain STRING>>, "
+    "items ARRAY<STRUCT<TotalJobsCount STRING, requisitionList ARRAY<STRUCT<Id STRING, "
+    "Title STRING, PrimaryLocation STRING, PostedDate STRING, ExternalPostedStartDate STRING, "
+    "secondaryLocations ARRAY<STRUCT<Name STRING>>>>>>, "
+    f"{_CORRUPT} STRING"
+)
 LISTING_FIELDS = (
     "id", "title", "location", "url", "posted_on", "detail_api", "oracle_detail", "description",
 )
@@ -98,7 +88,7 @@ def _epoch_millis_day(millis: Column) -> Column:
 
 def _lever(parsed: Column) -> Column:
     return F.transform(
-        parsed,
+        parsed["postings"],
         lambda j: _listing(
             id=j["id"],
             title=_text(j["text"]),
@@ -153,83 +143,55 @@ _NORMALISERS = {
 }
 
 
-# The same payloads with just enough to count listings and read the total.
-COUNT_SCHEMAS = {
-    "workday": "total STRING, jobPostings ARRAY<STRUCT<title STRING>>",
-    "greenhouse": "jobs ARRAY<STRUCT<id STRING>>",
-    "lever": "ARRAY<STRUCT<id STRING>>",
-    "oracle": "items ARRAY<STRUCT<TotalJobsCount STRING, requisitionList ARRAY<STRUCT<Id STRING>>>>",
-}
 _LISTS = {
     "workday": lambda parsed: parsed["jobPostings"],
     "greenhouse": lambda parsed: parsed["jobs"],
-    "lever": lambda parsed: parsed,
+    "lever": lambda parsed: parsed["postings"],
     "oracle": lambda parsed: F.get(parsed["items"], F.lit(0))["requisitionList"],
 }
+LISTINGS_TYPE = "ARRAY<STRUCT<" + ", ".join(f"{name}: STRING" for name in LISTING_FIELDS) + ">>"
 
 
-def _parsed(schemas: dict[str, str]) -> dict[str, Column]:
-    """One column per format, null on rows of another format, so a row is parsed once."""
-    return {
-        f"_{ats}": F.when(
-            F.col("ats") == ats,
-            F.from_json(
-                "payload", schema if ats == "lever" else f"{schema}, {_CORRUPT} STRING", _PERMISSIVE
-            ),
-        )
-        for ats, schema in schemas.items()
-    }
-
+def _by_format(values: dict[str, Column]) -> Column:
+    """The value of a page's own format, null where the format has no reader."""
+    return F.coalesce(*(F.when(F.col("ats") == ats, value) for ats, value in values.items()))
 
-def _unreadable(ats: str) -> Column:
-    column = F.col(f"_{ats}")
-    if ats == "lever":
-        return column.isNull() & ~trim_spaces("payload").eqNullSafe(F.lit("null"))
-    return column.isNull() | column[_CORRUPT].isNotNull()
 
+def parse_pages(pages: DataFrame) -> DataFrame:
+    """``n_rows``, ``total``, ``failed`` and ``listings`` in place of ``payload``.
 
-def page_counts(pages: DataFrame) -> DataFrame:
-    """Add ``n_rows``, ``total`` and ``failed`` in place of ``payload``.
-
-    Pages that already hold the counts are passed on and their payload column
-    is never read. A payload that is missing or not JSON marks the page failed.
-    A format without a reader has no rows and does not fail.
+    Needs ``ats``, ``address`` and ``payload``. The payload is parsed here, once,
+    and nowhere else: what is stored or passed on holds listings of one shape
+    (``LISTINGS_TYPE``). A payload that is missing, not JSON or holds something
+    else than a list where a format has its listings marks the page failed. A
+    page of a format without a reader has no listings and does not fail.
     """
-    if {"n_rows", "total", "failed"} <= set(pages.columns):
-        return pages.drop("payload")
     known_failed = F.col("failed") if "failed" in pages.columns else F.lit(False)
-    failed = F.coalesce(known_failed, F.lit(False))
-    sizes = []
-    for ats, rows_of in _LISTS.items():
-        own = F.col("ats") == ats
-        failed = failed | (own & _unreadable(ats))
-        sizes.append(F.when(own, F.size(F.coalesce(rows_of(F.col(f"_{ats}")), F.array()))))
-    total = F.coalesce(
-        F.col("_workday.total"), F.get(F.col("_oracle.items"), F.lit(0))["TotalJobsCount"]
+    body = F.when(F.col("ats") == "lever", F.concat(F.lit('{"postings":'), "payload", F.lit("}"))).when(
+        F.col("ats").isin(*_LISTS), F.col("payload")
     )
-    parsed = _parsed(COUNT_SCHEMAS)
+    page = F.col("_page")
+    unreadable = F.coalesce(F.col("ats").isin(*_LISTS), F.lit(False)) & (page.isNull() | page[_CORRUPT].isNotNull())
+    sizes = _by_format({ats: F.size(F.coalesce(rows_of(page), F.array())) for ats, rows_of in _LISTS.items()})
+    total = F.coalesce(page["total"], F.get(page["items"], F.lit(0))["TotalJobsCount"])
+    listings = _by_format({ats: normalise(page) for ats, normalise in _NORMALISERS.items()})
     kept = [c for c in pages.columns if c not in ("payload", "failed")]
-    return pages.withColumns(parsed).select(
+    return pages.withColumn("_page", F.from_json(body, PAGE_SCHEMA, _PERMISSIVE)).select(
         *kept,
-        failed.alias("failed"),
-        F.coalesce(*sizes, F.lit(0)).cast("long").alias("n_rows"),
+        (F.coalesce(known_failed, F.lit(False)) | unreadable).alias("failed"),
+        F.coalesce(sizes, F.lit(0)).cast("long").alias("n_rows"),
         total.try_cast("double").alias("total"),
+        F.when(~unreadable, listings).alias("listings"),
     )
 
 
-def explode_pages(pages: DataFrame, *keep: str) -> DataFrame:
-    """One row per listing of any format, with ``pos`` (place on its page) and the ``keep`` columns.
-
-    Needs ``ats``, ``address`` and ``payload``. Pages that cannot be read have no listings.
-    """
-    listings = F.coalesce(
-        *(normalise(F.col(f"_{ats}")) for ats, normalise in _NORMALISERS.items())
-    )
-    unreadable = reduce(
-        or_, ((F.col("ats") == ats) & _unreadable(ats) for ats in ("workday", "greenhouse", "oracle"))
-    )
-    return (
-        pages.withColumns(_parsed(LISTING_SCHEMAS))
-        .select(*keep, F.posexplode(F.when(~unreadable, listings)).alias("pos", "listing"))
-        .select(*keep, "pos", *(F.col(f"listing.{f}").alias(f) for f in LISTING_FIELDS))
+def explode_listings(pages: DataFrame, *keep: str) -> DataFrame:
+    """One row per listing of parsed pages, with ``pos`` (place on its page) and the ``keep`` columns."""
+    return pages.select(*keep, F.posexplode("listings").alias("pos", "listing")).select(
+        *keep, "pos", *(F.col(f"listing.{f}").alias(f) for f in LISTING_FIELDS)
     )
+
+
+def explode_pages(pages: DataFrame, *keep: str) -> DataFrame:
+    """Listings of pages that still hold their ``payload``; pages that cannot be read have none."""
+    return explode_listings(parse_pages(pages), *keep)

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from feedsift.operators.dedup import unseen
 from feedsift.operators.digest import digest, email, failure_notice, message_parts
 from feedsift.operators.rank import alertable, top_listings
 from feedsift.operators.rollup import run_counters
@@ -28,13 +27,17 @@ from feedsift.sources.landed import (
     source_status,
     term_status,
 )
+from feedsift.session import delete_folder
+from feedsift.streaming.seen import SeenTable
 from feedsift.streaming.tables import (
     SEEN_SCHEMA,
     Run,
-    fresh_listings,
+    finish,
+    finished,
     job_of,
     read_table,
     seen_rows,
+    withdraw,
     write_run,
 )
 
@@ -45,10 +48,6 @@ class Tables:
 
     root: str
 
-    @property
-    def pages(self) -> str:
-        return f"{self.root}/pages"
-
     @property
     def seen(self) -> str:
         return f"{self.root}/seen"
@@ -77,6 +76,28 @@ class Tables:
     def counters(self) -> str:
         return f"{self.root}/counters"
 
+    @property
+    def runs(self) -> str:
+        return f"{self.root}/runs"
+
+    def scratch(self, name: str, run: Run) -> str:
+        """Where a run keeps what it stores for itself; gone when it is done."""
+        return f"{self.root}/scratch/{name}/job={run.job}/run_id={run.number}"
+
+
+def seen_table(spark: SparkSession, tables: Tables) -> SeenTable:
+    return SeenTable(spark, tables.seen, SEEN_SCHEMA, runs=tables.runs)
+
+
+def read_finished(spark: SparkSession, tables: Tables, path: str) -> DataFrame:
+    """One of the tables, with the rows of finished runs only."""
+    return finished(spark.read.parquet(path), tables.runs)
+
+
+def _stored(rows: DataFrame, path: str) -> DataFrame:
+    rows.write.mode("overwrite").parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
 
 def record_fresh(chosen: DataFrame, tables: Tables, run: Run, options: RunOptions) -> DataFrame:
     """Diff against the seen table and record what is fresh; returns the stored fresh rows.
@@ -86,11 +107,12 @@ def record_fresh(chosen: DataFrame, tables: Tables, run: Run, options: RunOption
     be lost.
     """
     spark = chosen.sparkSession
-    seen = read_table(spark, tables.seen, SEEN_SCHEMA)
-    write_run(fresh_listings(chosen, seen, run), tables.fresh, run)
+    seen = seen_table(spark, tables)
+    seen.begin(run)
+    write_run(seen.unseen(chosen, run), tables.fresh, run)
     kept = [*chosen.schema.fields, StructField("job", StringType()), StructField("run_id", LongType())]
     fresh = read_table(spark, tables.fresh, StructType(kept)).where(run.own()).drop("job", "run_id")
-    write_run(seen_rows(fresh, F.lit(options.as_of).cast("timestamp_ntz")), tables.seen, run)
+    seen.record(seen_rows(fresh, F.lit(options.as_of).cast("timestamp_ntz")), run)
     return fresh
 
 
@@ -101,7 +123,7 @@ def emit(
     to_alert = alertable(fresh, options.skip_flagged)
     rows = tracker_rows(to_alert, dimension, options.user_id, options.as_of, dimension_rows)
     write_run(rows, tables.tracker, run)
-    told = digest(top_listings(to_alert, options.max_shown))
+    told = _stored(digest(top_listings(to_alert, options.max_shown)), tables.scratch("digest", run))
     write_run(message_parts(told), tables.messages, run)
     write_run(email(told), tables.emails, run)
 
@@ -116,38 +138,38 @@ def run_pages(
 ) -> None:
     """One run over a batch of landed pages.
 
-    The batch is stored once, by format and with its counts, and so are the
-    listings chosen from it: raw files are read a single time, and counting
-    repeats no matching. Recording comes before emitting: a failure in between
-    costs an alert instead of repeating a batch of them. A seed run records and
-    stays silent. A run given by number alone belongs to the job ``batch``.
+    The batch is parsed and stored once, by format and with its counts, and so
+    are the listings chosen from it: raw files are read and parsed a single
+    time, and counting repeats no matching. A seed run records and stays silent. A run given by number
+    alone belongs to the job ``batch``.
+
+    The row that says the run is done comes last, so whatever it wrote shows all
+    at once: a run that dies on the way has recorded no key and alerted nothing,
+    and when it is repeated it replaces what it left. What it stored for itself
+    is deleted at the end.
     """
     if isinstance(run, int):
         run = Run("batch", run)
     spark = pages.sparkSession
+    withdraw(spark, tables.runs, run)
     dimension = source_dimension(spark, sources)
-    stored = f"{tables.pages}/job={run.job}/run_id={run.number}"
-    land_pages(pages, dimension, stored)
-    batch = read_stored(spark, stored)
-    listings = collect_listings(batch, dimension, options.caps)
+    land_pages(pages, dimension, tables.scratch("pages", run))
+    batch = read_stored(spark, tables.scratch("pages", run))
+    status = _stored(term_status(batch, options.caps), tables.scratch("status", run))
+    listings = collect_listings(batch, dimension, options.caps, status)
     chosen = select_listings(listings, options, details)
-    chosen = chosen.drop("run_id", "description", "detail_api", "oracle_detail")
-    matches = f"{tables.root}/matches/job={run.job}/run_id={run.number}"
-    chosen.write.mode("overwrite").parquet(matches)
-    chosen = spark.read.schema(chosen.schema).parquet(matches)
+    chosen = _stored(chosen.drop("run_id", "description", "detail_api", "oracle_detail"), tables.scratch("matches", run))
     fresh = record_fresh(chosen, tables, run, options)
-    if options.seed:
-        return
-    emit(fresh, tables, run, options, dimension, len(sources))
-    status = source_status(term_status(batch, options.caps))
-    write_run(failure_notice(status, dimension).drop("run_id"), tables.notices, run)
-    is_fresh = F.col("_fresh").isNotNull()
-    marked = chosen.join(
-        fresh.select(F.col("listing_key").alias("_fresh")), F.col("listing_key") == F.col("_fresh"), "left"
-    ).withColumn("is_fresh", is_fresh)
-    counters = run_counters(listings, marked, status, options.skip_flagged, options.max_shown)
-    left_out = pages_left_out(batch, options.caps)
-    write_run(counters.withColumn("pages_left_out", left_out.scalar()), tables.counters, run)
+    if not options.seed:
+        emit(fresh, tables, run, options, dimension, len(sources))
+        failures = source_status(status)
+        write_run(failure_notice(failures, dimension).drop("run_id"), tables.notices, run)
+        counters = run_counters(listings, chosen, failures, options.skip_flagged, options.max_shown, fresh)
+        left_out = pages_left_out(batch, options.caps)
+        write_run(counters.withColumn("pages_left_out", left_out.scalar()), tables.counters, run)
+    finish(spark, tables.runs, run)
+    for name in ("pages", "status", "matches", "digest"):
+        delete_folder(spark, tables.scratch(name, run))
 
 
 def start_incremental(
@@ -192,9 +214,12 @@ def stream_new_keys(
     job = job_of(spark, checkpoint)
 
     def add_batch(batch: DataFrame, batch_id: int) -> None:
-        run = Run(job, batch_id)
-        seen = read_table(batch.sparkSession, seen_path, f"{key} STRING, job STRING, run_id BIGINT")
-        write_run(unseen(batch.select(key).distinct(), seen.where(~run.own()), key), seen_path, run)
+        run, session = Run(job, batch_id), batch.sparkSession
+        seen = SeenTable(session, seen_path, f"{key} STRING", key)
+        keys = f"{seen_path}/scratch/job={job}/run_id={batch_id}"
+        seen.begin(run)
+        seen.record(seen.unseen(_stored(batch.select(key).distinct(), keys), run), run)
+        delete_folder(session, keys)
 
     return (
         spark.readStream.schema(schema)

@@ -1,10 +1,14 @@
-"""Tables kept between runs: seen keys, fresh listings, tracker rows, messages.
+"""Tables kept between runs: fresh listings, tracker rows, messages, and the list of finished runs.
 
 Every table is Parquet partitioned by ``job`` and ``run_id``. A job is what
 belongs to one checkpoint, or a name the caller gives; runs of different jobs
 never share a partition, whatever their numbers. A run rewrites its own
 partition only and as a whole, so a run that is repeated leaves the tables as
 one run would have, also if it now has no rows.
+
+A run writes several tables. It counts as done when its row is in the table of
+finished runs, which is written last; ``finished`` shows a table without the
+rows of runs that died half-way.
 """
 
 from __future__ import annotations
@@ -17,9 +21,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from feedsift.operators.dedup import unseen
+from feedsift.session import delete_folder, folders_like
 
-SEEN_SCHEMA = "listing_key STRING, company STRING, title STRING, seen_at TIMESTAMP_NTZ, job STRING, run_id BIGINT"
+SEEN_SCHEMA = "listing_key STRING, company STRING, title STRING, seen_at TIMESTAMP_NTZ"
+RUN_KEYS = ("job", "run_id")
 
 
 @dataclass(frozen=True)
@@ -55,14 +60,30 @@ def read_table(spark: SparkSession, path: str, schema: str | StructType) -> Data
         return spark.createDataFrame([], schema)
 
 
-def write_run(rows: DataFrame, path: str, run: Run) -> None:
+def write_run(rows: DataFrame, path: str, run: Run, *partitions: str) -> None:
     """Replace the partition of ``run``, also by nothing."""
-    rows.write.mode("overwrite").parquet(f"{path}/job={run.job}/run_id={run.number}")
+    rows.write.mode("overwrite").partitionBy(*partitions).parquet(f"{path}/job={run.job}/run_id={run.number}")
+
+
+def withdraw(spark: SparkSession, runs: str, run: Run) -> None:
+    """Make a run that is repeated count as not done until it is done again."""
+    delete_folder(spark, f"{runs}/job={run.job}/run_id={run.number}")
+
+
+def finish(spark: SparkSession, runs: str, run: Run) -> None:
+    """The last write of a run: from here on its rows are seen."""
+    write_run(spark.range(1).coalesce(1).select(F.lit(True).alias("done")), runs, run)
+
+
+def is_finished(spark: SparkSession, runs: str, run: Run) -> bool:
+    """Whether the one file of the run's row is there."""
+    return bool(folders_like(spark, f"{runs}/job={run.job}/run_id={run.number}/part-*"))
 
 
-def fresh_listings(listings: DataFrame, seen: DataFrame, run: Run) -> DataFrame:
-    """Listings no *other* run has recorded, so a repeated run finds its own rows fresh again."""
-    return unseen(listings, seen.where(~run.own()), "listing_key")
+def finished(rows: DataFrame, runs: str) -> DataFrame:
+    """Rows of finished runs. ``runs`` has one narrow row per run, so its size decides how they meet."""
+    done = read_table(rows.sparkSession, runs, "done BOOLEAN, job STRING, run_id BIGINT").select(*RUN_KEYS)
+    return rows.join(done, list(RUN_KEYS), "left_semi")
 
 
 def seen_rows(fresh: DataFrame, seen_at: Column) -> DataFrame:

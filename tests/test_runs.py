@@ -13,8 +13,10 @@ from feedsift.plans.run import RunOptions, preview, select_listings
 from feedsift.rules.feeds import UNKNOWN, YES
 from feedsift.sources import landed
 from feedsift.sources.dimension import source_dimension
-from feedsift.streaming.incremental import Tables, run_pages, start_incremental
-from feedsift.streaming.tables import SEEN_SCHEMA, Run, read_table, write_run
+from feedsift.streaming import incremental
+from feedsift.streaming.incremental import Tables, read_finished, run_pages, seen_table, start_incremental
+from feedsift.streaming.seen import SeenTable
+from feedsift.streaming.tables import Run, read_table, write_run
 
 SCHEMA = (
     "seq BIGINT, company STRING, id STRING, title STRING, location STRING, url STRING, "
@@ -206,9 +208,9 @@ def poll(spark, run_id, *ids):
 
 
 def contents(spark, tables):
-    seen = {(r["listing_key"], r["run_id"]) for r in read_table(spark, tables.seen, SEEN_SCHEMA).collect()}
-    links = sorted(r["link"] for r in spark.read.parquet(tables.tracker).collect())
-    messages = {r["run_id"]: r["part"] for r in spark.read.parquet(tables.messages).collect()}
+    seen = {(r["listing_key"], r["run_id"]) for r in seen_table(spark, tables).rows().collect()}
+    links = sorted(r["link"] for r in read_finished(spark, tables, tables.tracker).collect())
+    messages = {r["run_id"]: r["part"] for r in read_finished(spark, tables, tables.messages).collect()}
     return seen, links, messages
 
 
@@ -284,7 +286,7 @@ def test_unknown_sources_and_broken_lines_are_reported(spark, tmp_path):
     assert {(r["run_id"], r["source_ord"], r["source_failed"]) for r in status.collect()} == {(7, 9, True), (None, None, True)}
     notices = failure_notice(status, dimension, 1).collect()
     assert {r["notice"].rpartition(": ")[2] for r in notices} == {"unknown source"}
-    counts = landed.page_counts(landed.with_source(pages, dimension, "ats"))
+    counts = landed.parse_pages(landed.with_source(pages, dimension, "ats", "address"))
     health = source_health(counts, dimension, 1).where("run_id = 7").collect()
     assert {(r["company"], r["status"], r["n_bad"]) for r in health} == {("Board", "not checked", 1), ("unknown source", "bad", 1)}
 
@@ -317,7 +319,7 @@ def test_a_run_emits_all_it_has_to_say(spark, tmp_path):
 def test_seed_records_and_stays_silent(spark, tmp_path):
     tables = Tables(str(tmp_path))
     run_pages(poll(spark, 0, 1, 2), tables, 0, RunOptions(as_of="2024-03-10", seed=True), sources=SOURCE)
-    assert read_table(spark, tables.seen, SEEN_SCHEMA).count() == 2
+    assert seen_table(spark, tables).rows().count() == 2
     assert not (tmp_path / "tracker").exists() and not (tmp_path / "messages").exists()
 
 

@@ -8,7 +8,7 @@ from feedsift.rules.feeds import OFFSET_CAPS, SOURCES, UNKNOWN, YES
 from feedsift.sources import landed
 from feedsift.sources.details import flatten_details
 from feedsift.sources.dimension import read_whole_texts, source_dimension
-from feedsift.sources.payloads import explode_pages, page_counts
+from feedsift.sources.payloads import explode_pages, parse_pages
 
 FIRM = ("Firm", "workday", ("firm", "wd1", "site"), YES, YES, True)
 BOARD = ("Board", "greenhouse", ("brd",), YES, UNKNOWN, False)
@@ -93,7 +93,7 @@ def test_missing_lists_and_bad_payloads(spark):
     rows = [(0, 0, 0, {}), (0, 0, 20, "{bad"), (1, 0, 0, {"jobs": None}), (1, 0, 1, None),
             (2, 0, 0, []), (2, 0, 1, "null"), (2, 0, 2, "[1"), (3, 0, 0, {"items": []}), (4, 0, 0, "<html>")]
     frame = landed.with_source(pages(spark, *rows), source_dimension(spark, ALL), "ats", "address")
-    counted = page_counts(frame).orderBy("source_ord", "page_offset").collect()
+    counted = parse_pages(frame).orderBy("source_ord", "page_offset").collect()
     assert [r["failed"] for r in counted] == [False, True, False, True, False, False, True, False, False]
     assert {r["n_rows"] for r in counted} == {0}
     assert explode_pages(frame, "source_ord").count() == 0
@@ -106,8 +106,8 @@ def page_of(total, *ids):
 
 
 def pulled(spark, *rows):
-    frame = landed.with_source(pages(spark, *rows), source_dimension(spark, ALL), "ats")
-    status = landed.term_status(page_counts(frame), OFFSET_CAPS)
+    frame = landed.with_source(pages(spark, *rows), source_dimension(spark, ALL), "ats", "address")
+    status = landed.term_status(parse_pages(frame), OFFSET_CAPS)
     got = landed.bounded_pull(frame, status, OFFSET_CAPS).orderBy("term_no", "page_offset").collect()
     return [(r["term_no"], r["page_offset"]) for r in got], {
         r["term_key"]: r["term_failed"] for r in status.collect()
@@ -168,9 +168,9 @@ def test_failed_sources_and_notice(spark):
     dimension = source_dimension(spark, ALL)
     frame = landed.with_source(
         pages(spark, (0, 0, 0, None), (0, 1, 0, page_of(1, 1)), (1, 0, 0, None), (2, 0, 0, "x"), (3, 0, 0, None)),
-        dimension, "ats",
+        dimension, "ats", "address",
     )
-    state = landed.source_status(landed.term_status(page_counts(frame)))
+    state = landed.source_status(landed.term_status(parse_pages(frame)))
     assert {r["source_ord"]: r["source_failed"] for r in state.collect()} == {0: False, 1: True, 2: True, 3: True}
     notice = failure_notice(state, dimension).first()
     assert notice["notice"] == "⚠️ 3 sources failed to fetch this run: Board, Plain, Bank"
@@ -179,8 +179,8 @@ def test_failed_sources_and_notice(spark):
 
 def test_health_lists_every_source(spark):
     dimension = source_dimension(spark, (FIRM, FIRM, BOARD))
-    counted = page_counts(landed.with_source(
-        pages(spark, (0, 0, 0, page_of(7, 1)), (0, 1, 0, None), (2, 0, 0, {"jobs": []})), dimension, "ats"))
+    counted = parse_pages(landed.with_source(
+        pages(spark, (0, 0, 0, page_of(7, 1)), (0, 1, 0, None), (2, 0, 0, {"jobs": []})), dimension, "ats", "address"))
     health = source_health(counted, dimension, 3)
     assert {(r["source_ord"], r["status"], r["total"]) for r in health.collect()} == {
         (0, "ok", 7.0), (1, "bad", None), (2, "not checked", None),
