@@ -15,6 +15,7 @@ without a doc_id is scanned like others; an empty table gives an empty result.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from itertools import product
 from re import _parser
@@ -23,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feedsift.llm.scratch import text_key
+from feedsift.operators.columns import computed_once
 
 
 @dataclass(frozen=True)
@@ -113,29 +115,70 @@ def trigram_query(pattern: str) -> list[frozenset[str]]:
     return [] if frozenset() in alternatives else sorted(least, key=sorted)
 
 
-def spans(text: Column, rule: Rule) -> Column:
-    """Spans of a rule, in order: start, number of the rule, end."""
-    pattern, number = F.lit(rule.pattern), RULES.index(rule)
-    found = F.regexp_extract_all(text, pattern, F.lit(0))
-    sizes = F.regexp_extract_all(text, pattern, F.lit(rule.group))
-    between = F.split(text, rule.pattern, -1)
-    nothing = F.array().cast("array<struct<start:bigint,rule:int,end:bigint>>")
+# Elements put together at once: a list that grows is copied at each step, so long ones are made of short ones.
+_TOGETHER = 256
+_SPAN = "struct<start:bigint,rule:int,end:bigint>"
 
-    def step(state: Column, i: Column) -> Column:
-        start = state["at"] + F.char_length(between[i])
-        end = start + F.char_length(found[i])
+
+def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _chunks(size: Column, part: Callable[[Column, Column], Column]) -> Column:
+    """``part`` (first place from 1, count) of each stretch of a list of ``size`` elements."""
+    starts = F.sequence(F.lit(0), size - 1, F.lit(_TOGETHER))
+    return F.when(size > 0, F.transform(starts, lambda i: part(i + 1, F.least(size - i, F.lit(_TOGETHER)))))
+
+
+def matches(text: Column, rule: Rule) -> Column:
+    """Of each match of a rule: characters since the last one, characters in it, and whether it counts."""
+    pattern = F.lit(rule.pattern)
+
+    def sizes(texts: Column) -> Column:
+        return F.transform(texts, lambda x: F.char_length(x))
+
+    group = sizes(F.regexp_extract_all(text, pattern, F.lit(rule.group)))
+    some = F.struct(
+        sizes(F.split(text, rule.pattern, -1)).alias("between"),
+        sizes(F.regexp_extract_all(text, pattern, F.lit(0))).alias("within"),
+        F.transform(group, lambda n: n >= F.lit(rule.least)).alias("counts"),
+    )
+    return F.when(text.rlike(rule.pattern), some)
+
+
+def spans(found: Column, rule: Rule) -> Column:
+    """Spans of a rule, in order, from its ``matches`` (a stored column): start, number of the rule, end."""
+    def part(at: Column, count: Column) -> Column:
+        return F.arrays_zip(*(F.slice(found[c], at, count).alias(c) for c in ("between", "within", "counts")))
+
+    def step(state: Column, m: Column) -> Column:
+        start = state["at"] + m["between"]
         span = F.struct(
-            start.cast("bigint").alias("start"), F.lit(number).alias("rule"), end.cast("bigint").alias("end")
-        )
-        counts = F.char_length(sizes[i]) >= F.lit(rule.least)
-        return F.struct(
-            end.cast("bigint").alias("at"),
-            F.when(counts, F.array_append(state["out"], span)).otherwise(state["out"]).alias("out"),
+            start.cast("bigint").alias("start"), F.lit(RULES.index(rule)).alias("rule"),
+            (start + m["within"]).cast("bigint").alias("end"),
         )
+        out = F.when(m["counts"], F.array_append(state["out"], span)).otherwise(state["out"])
+        return F.struct((start + m["within"]).alias("at"), out.alias("out"))
 
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), nothing.alias("out"))
-    walked = F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), start, step, lambda s: s["out"])
-    return F.when(text.rlike(rule.pattern), walked).otherwise(nothing)
+    def several(state: Column, chunk: Column) -> Column:
+        start = F.struct(state["at"].alias("at"), F.array().cast(f"array<{_SPAN}>").alias("out"))
+        return _bound(F.aggregate(chunk, start, step), lambda r: F.struct(
+            r["at"].alias("at"), F.array_append(state["out"], r["out"]).alias("out")
+        ))
+
+    chunks = _chunks(F.size(found["within"]), part)
+    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(f"array<array<{_SPAN}>>").alias("out"))
+    walked = F.aggregate(chunks, start, several, lambda s: F.flatten(s["out"]))
+    return F.coalesce(walked, F.array().cast(f"array<{_SPAN}>"))
+
+
+def _with_spans(rows: DataFrame, text: Column, rules: dict[Rule, Column], name: str) -> DataFrame:
+    """Spans of the rules whose condition holds, in place of the text; each regex runs once over a text."""
+    made = {f"_matches_{RULES.index(r)}": F.when(holds, matches(text, r)) for r, holds in rules.items()}
+    scanned = computed_once(rows, made)
+    each = [spans(F.col(f"_matches_{RULES.index(r)}"), r) for r in rules]
+    return scanned.select(*[c for c in rows.columns if c != "text"], F.concat(*each).alias(name))
 
 
 def postings(docs: DataFrame, trigrams: list[str]) -> DataFrame:
@@ -177,13 +220,10 @@ def indexed_spans(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     tested = named.join(
         found, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("text_key") == F.col("_text_key"))
     )
-    nothing = F.array().cast("array<struct<start:bigint,rule:int,end:bigint>>")
-    each = [
-        F.when(F.col("rules").bitwiseAND(F.lit(1 << RULES.index(r))) != 0, spans(F.col("text"), r)).otherwise(nothing)
-        for r in rules
-    ]
+    holds = {r: F.col("rules").bitwiseAND(F.lit(1 << RULES.index(r))) != 0 for r in rules}
     return (
-        tested.select("doc_id", "text_key", F.concat(*each).alias("spans")).filter(F.size("spans") > 0)
+        _with_spans(tested.select("doc_id", "text_key", "rules", "text"), F.col("text"), holds, "spans")
+        .filter(F.size("spans") > 0)
         .groupBy("doc_id", "text_key").agg(F.first("spans").alias("spans"))
     )
 
@@ -192,10 +232,8 @@ def secret_spans(docs: DataFrame) -> DataFrame:
     """doc_id, text_key and sorted spans of each row; ``start``, ``rule``, ``end`` in a span."""
     indexed = tuple(r for r in RULES if trigram_query(r.pattern))
     scanned = tuple(r for r in RULES if r not in indexed)
-    text = F.coalesce(F.col("text"), F.lit(""))
-    everywhere = docs.select(
-        "doc_id", text_key().alias("text_key"), F.concat(*[spans(text, r) for r in scanned]).alias("scanned")
-    )
+    named = docs.select("doc_id", text_key().alias("text_key"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    everywhere = _with_spans(named, F.col("text"), {r: F.lit(True) for r in scanned}, "scanned")
     proposed = indexed_spans(docs, indexed).select(
         F.col("doc_id").alias("_doc_id"), F.col("text_key").alias("_text_key"), "spans"
     )
@@ -232,12 +270,33 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
 
 
 def masked(text: Column, found: Column) -> Column:
-    """The text with each stretch of spans replaced by MASK."""
-    def step(state: Column, s: Column) -> Column:
-        before = F.substring(text, (state["at"] + 1).cast("int"), (s["start"] - state["at"]).cast("int"))
-        out = F.when(s["start"] >= state["at"], F.concat(state["out"], before, F.lit(MASK))).otherwise(state["out"])
-        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), out.alias("out"))
-
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
-    rest = lambda s: F.concat(s["out"], F.substring(text, (s["at"] + 1).cast("int"), F.lit(2**31 - 1)))
-    return F.when(F.size(found) > 0, F.aggregate(found, start, step, rest)).otherwise(text)
+    """The text with each stretch of spans replaced by MASK.
+
+    The text is cut at every ``_TOGETHER``-th span first, so that a span is looked
+    for in its stretch of the text and not from the text's start.
+    """
+    def step(part: Column, base: Column):
+        def put(state: Column, s: Column) -> Column:
+            before = F.substring(part, (state["at"] - base + 1).cast("int"), (s["start"] - state["at"]).cast("int"))
+            out = F.when(
+                s["start"] >= state["at"], F.array_append(F.array_append(state["out"], before), F.lit(MASK))
+            ).otherwise(state["out"])
+            return F.struct(F.greatest(state["at"], s["end"]).alias("at"), out.alias("out"))
+
+        return put
+
+    def several(state: Column, chunk: Column) -> Column:
+        def cut(end: Column) -> Column:
+            start = F.struct(state["at"].alias("at"), F.array().cast("array<string>").alias("out"))
+            part = F.substring(state["rest"], F.lit(1), (end - state["at"]).cast("int"))
+            done = _bound(part, lambda p: F.aggregate(chunk, start, step(p, state["at"]), lambda s: F.array_join(s["out"], "")))
+            rest = F.substring(state["rest"], (end - state["at"] + 1).cast("int"), F.lit(2**31 - 1))
+            return F.struct(end.alias("at"), rest.alias("rest"), F.array_append(state["out"], done).alias("out"))
+
+        ends = F.array_max(F.transform(chunk, lambda s: s["end"]))
+        return _bound(F.greatest(state["at"], ends), cut)
+
+    start = F.struct(F.lit(0).cast("bigint").alias("at"), text.alias("rest"), F.array().cast("array<string>").alias("out"))
+    chunks = _chunks(F.size(found), lambda at, count: F.slice(found, at, count))
+    joined = F.aggregate(chunks, start, several, lambda s: F.concat(F.array_join(s["out"], ""), s["rest"]))
+    return F.when(F.size(found) > 0, joined).otherwise(text)
