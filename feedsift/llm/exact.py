@@ -182,8 +182,12 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
     order = F.struct(
         (-F.col("n_points")).alias("shorter"), F.col("doc_id").isNull().alias("unnamed"), "doc_id", "task", "text_no"
     )
-    groups = rows.groupBy(F.col("level").alias("_level"), F.col("name").alias("_name")).agg(
-        F.count("*").alias("group_size"), F.min(order).alias("first")
+    # Stored, so that both sides of the join are dealt out anew and rows of a large group can be split.
+    groups = stored(
+        rows.groupBy(F.col("level").alias("_level"), F.col("name").alias("_name")).agg(
+            F.count("*").alias("group_size"), F.min(order).alias("first")
+        ),
+        "copy-groups",
     )
     is_first = (F.col("task") == F.col("first.task")) & (F.col("text_no") == F.col("first.text_no"))
     return rows.join(groups, (F.col("level") == F.col("_level")) & (F.col("name") == F.col("_name"))).select(
