@@ -230,7 +230,8 @@ def near_vectors(vectors: DataFrame, least: float = LEAST_COSINE) -> DataFrame:
         "cells",
     )
     found = stored(
-        _chunked(cells).groupBy("dims", "block", "cell", "i", "j").applyInPandas(
+        # Dealt out by chunk pair: rows that are dealt out by cell would not move, and a cell's pairs share a task.
+        _chunked(cells).repartition("dims", "block", "cell", "i", "j").groupBy("dims", "block", "cell", "i", "j").applyInPandas(
             _linked(least), "key binary, links bigint, with binary"
         ),
         "vector-links",
