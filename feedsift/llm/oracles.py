@@ -94,30 +94,30 @@ def _quality() -> str:
         return f"((CAST({v} AS BIGINT) >> {drop}) << {drop})"
 
     def limits(keys: list[str], name: str) -> str:
+        """Every percentile of each measure by its rank, then the first large step between two neighbours."""
         by = ", ".join(keys)
-        over = f"PARTITION BY {by}" if keys else ""
-        columns = ", ".join(f"{k} AS {name}_{k}" for k in keys)
-        parts = ", ".join(
-            f"min(CASE WHEN 2 * rank_{m} >= n THEN cell_{m} END) AS {name}_{m}_q50, "
-            f"min(CASE WHEN 4 * rank_{m} >= 3 * n THEN cell_{m} END) AS {name}_{m}_q75" for m in quality.LEAST
+        columns = f"{by}, " if keys else ""
+        kept = ", ".join(f"{k} AS {name}_{k}" for k in keys)
+        whole = f"{name}_rows AS (SELECT {columns}m, c, row_number() OVER (PARTITION BY {columns}m ORDER BY c) AS rank, count(*) OVER (PARTITION BY {columns}m) AS n FROM melted)"
+        percents = (
+            f"{name}_percents AS (SELECT {columns}m, p, any_value(n) AS n, min(c) AS c FROM {name}_rows, range({quality.FROM_PERCENT}, 101) t(p) "
+            f"WHERE 100 * rank >= p * n GROUP BY {columns}m, p)"
         )
-        ranks = ", ".join(f"row_number() OVER ({over} ORDER BY cell_{m}) AS rank_{m}" for m in quality.LEAST)
-        return (
-            f"{name} AS (SELECT {columns + ', ' if keys else ''}count(*) AS {name}_n, {parts} FROM "
-            f"(SELECT *, {ranks}, count(*) OVER ({over}) AS n FROM cells){' GROUP BY ' + by if keys else ''})"
+        steps = (
+            f"{name}_steps AS (SELECT {columns}m, n, c, lead(c) OVER (PARTITION BY {columns}m ORDER BY p) - c AS step FROM {name}_percents)"
         )
+        guard = "CASE m " + " ".join(f"WHEN '{m}' THEN {v}" for m, v in quality.GUARD.items()) + " END"
+        found = ", ".join(
+            f"min_by(c + step // 2, c) FILTER (WHERE m = '{m}' AND step >= {guard}) AS {name}_{m}" for m in quality.GUARD
+        )
+        group = f" GROUP BY {by}" if keys else ""
+        return f"{whole}, {percents}, {steps}, {name} AS (SELECT {kept + ', ' if keys else ''}max(n) AS {name}_n, {found} FROM {name}_steps{group})"
 
     def limit(m: str) -> str:
-        chosen = {
-            k: f"CASE WHEN g_n >= {quality.MIN_GROUP_ROWS} THEN g_{m}_{k} WHEN l_n >= {quality.MIN_GROUP_ROWS} "
-               f"THEN l_{m}_{k} ELSE a_{m}_{k} END" for k in ("q50", "q75")
-        }
-        return (
-            f"({chosen['q50']}) + greatest({quality.REACH} * (({chosen['q75']}) - ({chosen['q50']})), {quality.LEAST[m]})"
-        )
+        return f"CASE WHEN g_n >= {quality.MIN_GROUP_ROWS} THEN g_{m} WHEN l_n >= {quality.MIN_GROUP_ROWS} THEN l_{m} ELSE a_{m} END"
 
-    cells = ", ".join(f"{cell(m)} AS cell_{m}" for m in quality.LEAST)
-    within = " AND ".join(f"{m} <= {limit(m)}" for m in quality.LEAST)
+    melted = " UNION ALL ".join(f"SELECT lang, source, '{m}' AS m, {cell(m)} AS c FROM shares" for m in quality.GUARD)
+    within = " AND ".join(f"coalesce({m} <= {limit(m)}, true)" for m in quality.GUARD)
     return f"""
 WITH {_ROWS},
 cut AS (SELECT r, doc_id, lang, source, text, regexp_extract_all(text, {_WORD}) AS w,
@@ -134,7 +134,7 @@ shares AS (SELECT *, CASE WHEN word_chars > 0 THEN 10000 * n_symbols // word_cha
                   CASE WHEN n_lines > 0 THEN 10000 * n_dup_lines // n_lines ELSE 0 END AS dup_line_share,
                   CASE WHEN n_words > 0 THEN 10000 * n_repeat_words // n_words ELSE 0 END AS repeat_share,
                   CASE WHEN n_words > 0 THEN 10000 * word_chars // n_words ELSE 0 END AS word_length FROM counted),
-cells AS (SELECT lang, source, {cells} FROM shares),
+melted AS ({melted}),
 {limits(["lang", "source"], "g")}, {limits(["lang"], "l")}, {limits([], "a")},
 failed AS (SELECT *, n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.MAX_REPEAT_PERCENT} * n_words AS base_failed FROM shares)
 SELECT doc_id, n_words, CAST(word_chars AS BIGINT) AS word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,

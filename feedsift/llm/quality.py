@@ -4,8 +4,13 @@ Each text gets a few counts. Shares made of them go into a mergeable quantile
 sketch per language and source: a count per share value, values kept to seven
 significant bits, so that a sketch has a bounded number of cells, is exact to
 one part in 64, and two sketches merge by adding. Groups of few rows take the
-sketch merged over the sources of their language, or over everything. A text
-is rejected where a share lies far outside the middle half of its group.
+sketch merged over the sources of their language, or over everything.
+
+A threshold stands where the sketch shows that a group falls into two: in the
+upper quarter of its quantiles, percent by percent, at the first large step from
+one to the next, half-way up that step. A source whose texts reach high shares
+without such a step gets none. A step below ``GUARD`` is no step, so that small
+differences between sound texts reject nothing.
 
 Cases: a null text has no words; null languages and sources are groups of
 their own; repeated rows count each time and get one verdict; an empty table
@@ -35,10 +40,10 @@ MAX_REPEAT_PERCENT = 50
 
 # A group needs this many rows for thresholds of its own.
 MIN_GROUP_ROWS = 200
-# Distance from the median, in distances between median and third quartile.
-REACH = 8
-# Shares, in ten-thousandths, with the least distance from the median that counts.
-LEAST = {"symbol_share": 300, "dup_line_share": 3000, "repeat_share": 3000, "word_length": 40000}
+# Thresholds stand above this percentage of a group's rows.
+FROM_PERCENT = 75
+# Shares, in ten-thousandths, with the least step between two percentiles that splits a group.
+GUARD = {"symbol_share": 300, "dup_line_share": 3000, "repeat_share": 3000, "word_length": 20000}
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
 
@@ -140,66 +145,65 @@ def sketches(counts: DataFrame) -> DataFrame:
     )
 
 
-def quantiles(cells: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, measure, rows, q50, q75 of merged sketches."""
+def limits(cells: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, measure, rows and the limit (null: none) that merged sketches give."""
     merged = cells.groupBy(*keys, "measure", "cell").agg(F.sum("n").alias("n"))
     by = [*keys, "measure"]
     upto = Window.partitionBy(*by).orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)
     ranked = merged.withColumn("upto", F.sum("n").over(upto)).withColumn("rows", F.sum("n").over(Window.partitionBy(*by)))
-    return ranked.groupBy(*by).agg(
-        F.max("rows").alias("rows"),
-        F.min(F.when(F.col("upto") * 2 >= F.col("rows"), F.col("cell"))).alias("q50"),
-        F.min(F.when(F.col("upto") * 4 >= F.col("rows") * 3, F.col("cell"))).alias("q75"),
+    # A cell is the percentiles from the first that the cells before it do not reach to the last that it reaches.
+    last = F.floor(F.col("upto") * 100 / F.col("rows"))
+    first = F.floor((F.col("upto") - F.col("n")) * 100 / F.col("rows")) + 1
+    held = ranked.filter((last >= first) & (last >= FROM_PERCENT))
+    after = F.lead("cell").over(Window.partitionBy(*by).orderBy("cell"))
+    guard = F.create_map(*[x for k, v in GUARD.items() for x in (F.lit(k), F.lit(v))])
+    steps = held.withColumn("after", after).withColumn("step", F.col("after") - F.col("cell"))
+    splits = F.min(F.when(F.col("step") >= guard[F.col("measure")], F.struct("cell", "step")))
+    return steps.groupBy(*by).agg(F.max("rows").alias("rows"), splits.alias("split")).select(
+        *by, "rows", F.floor(F.col("split.cell") + F.col("split.step") / 2).alias("limit")
     )
 
 
 def thresholds(cells: DataFrame) -> DataFrame:
-    """lang, source and the upper limit of each measure in a row."""
-    least = F.create_map(*[x for k, v in LEAST.items() for x in (F.lit(k), F.lit(v))])
-    groups = quantiles(cells, ["lang", "source"])
-    langs = quantiles(cells, ["lang"]).select(
+    """lang, source and the upper limit of each measure in a row; null: none."""
+    groups = limits(cells, ["lang", "source"])
+    langs = limits(cells, ["lang"]).select(
         F.col("lang").alias("l_lang"), F.col("measure").alias("l_measure"),
-        *[F.col(n).alias(f"l_{n}") for n in ("rows", "q50", "q75")],
-    )
-    whole = quantiles(cells, []).select(
-        F.col("measure").alias("w_measure"), F.col("q50").alias("w_q50"), F.col("q75").alias("w_q75")
+        F.col("rows").alias("l_rows"), F.col("limit").alias("l_limit"),
     )
+    whole = limits(cells, []).select(F.col("measure").alias("w_measure"), F.col("limit").alias("w_limit"))
     joined = groups.join(
         langs, F.col("lang").eqNullSafe(F.col("l_lang")) & (F.col("measure") == F.col("l_measure"))
     ).join(whole, F.col("measure") == F.col("w_measure"))
-
-    def chosen(name: str) -> Column:
-        return (
-            F.when(F.col("rows") >= MIN_GROUP_ROWS, F.col(name))
-            .when(F.col("l_rows") >= MIN_GROUP_ROWS, F.col(f"l_{name}"))
-            .otherwise(F.col(f"w_{name}"))
-        )
-
-    limit = chosen("q50") + F.greatest(REACH * (chosen("q75") - chosen("q50")), least[F.col("measure")])
-    limits = joined.select("lang", "source", "measure", limit.cast("bigint").alias("limit"))
-    return limits.groupBy("lang", "source").agg(*[
-        F.max(F.when(F.col("measure") == name, F.col("limit"))).alias(f"{name}_limit") for name in LEAST
+    limit = (
+        F.when(F.col("rows") >= MIN_GROUP_ROWS, F.col("limit"))
+        .when(F.col("l_rows") >= MIN_GROUP_ROWS, F.col("l_limit"))
+        .otherwise(F.col("w_limit"))
+    )
+    found = joined.select("lang", "source", "measure", limit.cast("bigint").alias("limit"))
+    return found.groupBy("lang", "source").agg(*[
+        F.max(F.when(F.col("measure") == name, F.col("limit"))).alias(f"{name}_limit") for name in GUARD
     ])
 
 
 def judged(counts: DataFrame) -> DataFrame:
     """``counts`` (read twice, so store it) with base_failed and kept."""
-    limits = thresholds(sketches(counts)).select(
+    found = thresholds(sketches(counts)).select(
         F.col("lang").alias("t_lang"), F.col("source").alias("t_source"),
-        *[F.col(f"{name}_limit") for name in LEAST],
+        *[F.col(f"{name}_limit") for name in GUARD],
     )
     within = F.lit(True)
     for name, value in shares().items():
-        within = within & (value <= F.col(f"{name}_limit"))
+        within = within & F.coalesce(value <= F.col(f"{name}_limit"), F.lit(True))
     return (
         counts.join(
-            limits,
+            found,
             F.col("lang").eqNullSafe(F.col("t_lang")) & F.col("source").eqNullSafe(F.col("t_source")),
             "left",
         )
         .drop("t_lang", "t_source")
         .withColumn("base_failed", base_failed())
-        .withColumn("kept", ~F.col("base_failed") & F.coalesce(within, F.lit(True)))
+        .withColumn("kept", ~F.col("base_failed") & within)
     )
 
 

@@ -100,7 +100,7 @@ def counts(text):
     }
 
 
-def verdicts(rows, least_rows, reach, least):
+def verdicts(rows, least_rows, from_percent, guard):
     """Per row: counts, base_failed and kept."""
     found = [counts(r["text"]) for r in rows]
     part = lambda a, b: 10000 * a // b if b else 0
@@ -124,13 +124,14 @@ def verdicts(rows, least_rows, reach, least):
         keys = [(row["lang"], row["source"]), (row["lang"],), ()]
         key = next((k for k in keys[:2] if len(members[k]) >= least_rows), ())
         cells = sorted(cell(shares[n][name]) for n in members[key])
-        low = lambda num, den: cells[-(-len(cells) * num // den) - 1]
-        return low(1, 2) + max(reach * (low(3, 4) - low(1, 2)), least[name])
+        percentiles = [cells[-(-len(cells) * p // 100) - 1] for p in range(from_percent, 101)]
+        splits = [a + (b - a) // 2 for a, b in zip(percentiles, percentiles[1:], strict=False) if b - a >= guard[name]]
+        return splits[0] if splits else 10**18
 
     out = []
     for n, (r, c) in enumerate(zip(rows, found, strict=True)):
         failed = c["n_words"] < 50 or 100 * c["n_repeat_words"] > 50 * c["n_words"]
-        out.append((c, failed, not failed and all(shares[n][k] <= limit(r, k) for k in least)))
+        out.append((c, failed, not failed and all(shares[n][k] <= limit(r, k) for k in guard)))
     return out
 
 

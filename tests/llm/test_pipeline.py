@@ -31,7 +31,7 @@ def test_stages(spark, sample_dir, documents):
     def same(found):
         assert sorted(map(repr, found)) == sorted(repr({c: r[c] for c in columns}) for r in wanted)
 
-    judged = brute.verdicts(wanted, quality.MIN_GROUP_ROWS, quality.REACH, quality.LEAST)
+    judged = brute.verdicts(wanted, quality.MIN_GROUP_ROWS, quality.FROM_PERCENT, quality.GUARD)
     wanted = [r for r, (_, _, kept) in zip(wanted, judged, strict=True) if kept]
     same(step(0))
     near = brute.near_documents(wanted)

@@ -1,5 +1,6 @@
 """Registered queries against plain versions, on rows with nulls, ties, repeats and clashing columns."""
 
+import re
 import textwrap
 import zlib
 from collections import Counter, defaultdict
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from feedsift.llm import embed, html, licenses, packing, quality, secrets
+from feedsift.llm.scratch import importable, stored
 
 OPERATORS = (
     "op1_secret_scans", "op2_minhash_dedup", "op3_html_text", "op4_embedding_dedup", "op5_packing", "op6_license_scans",
@@ -182,7 +184,7 @@ def test_codec(ask, sample_dir, documents):
 @pytest.mark.parametrize("least_rows", [1, 20, 200])
 def test_quality(ask, sample_dir, documents, monkeypatch, least_rows):
     monkeypatch.setattr(quality, "MIN_GROUP_ROWS", least_rows)
-    wanted = brute.verdicts(documents, least_rows, quality.REACH, quality.LEAST)
+    wanted = brute.verdicts(documents, least_rows, quality.FROM_PERCENT, quality.GUARD)
     assert {kept for _, failed, kept in wanted if not failed} == {True, False}
     columns = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
     same(
@@ -191,6 +193,22 @@ def test_quality(ask, sample_dir, documents, monkeypatch, least_rows):
     )
 
 
+def test_one_share_two_sources_two_verdicts(spark):
+    """A share that a source reaches step by step is kept there; where it lies beyond a gap it is rejected."""
+    importable(spark)
+
+    def text(n, symbols):
+        return " ".join(f"w{n}x{i}" + "#" * (i < symbols) for i in range(80))
+
+    rows = [(n, text(n, n % 40), "en", "steps") for n in range(400)] + [(400 + n, text(n, 30 * (n % 10 == 0)), "en", "apart") for n in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id INT, text STRING, lang STRING, source STRING")
+    found = quality.quality_verdicts(docs).collect()
+    kept = {(r["source"], r["n_symbols"]): r["kept"] for r in found}
+    assert kept["steps", 30] and kept["steps", 39] and kept["apart", 0] and not kept["apart", 30]
+    wanted = brute.verdicts([dict(zip(("doc_id", "text", "lang", "source"), r)) for r in rows], 200, quality.FROM_PERCENT, quality.GUARD)
+    assert [v for _, _, v in wanted] == [r["kept"] for r in sorted(found, key=lambda r: r["doc_id"])]
+
+
 def test_licenses(ask, sample_dir):
     found = Counter(r["licenses"] for r in ask("op6_license_scans", sample_dir))
     assert found["MIT,Apache-2.0"] == 1 and found[""] == sum(found.values()) - 1
@@ -262,3 +280,22 @@ def test_very_many_secrets_in_one_text(spark):
     found = secrets.secret_spans(frame).join(frame, "doc_id")
     clean = {r["doc_id"]: r["clean"] for r in found.select("doc_id", secrets.masked(F.col("text"), F.col("spans")).alias("clean")).collect()}
     assert [clean[n] for n in range(4)] == [brute.masked(t, brute.secret_spans(t), secrets.MASK) for t in texts]
+
+
+def test_chunk_pairs_of_a_cell_are_dealt_out(spark, sample_dir, monkeypatch):
+    importable(spark)
+    plans = []
+
+    def kept(frame, name):
+        if name == "vector-links":
+            plans.append(frame._jdf.queryExecution().executedPlan().toString())
+        return stored(frame, name)
+
+    monkeypatch.setattr(embed, "stored", kept)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        embed.near_vectors(spark.read.parquet(f"{sample_dir}/embeddings.parquet"))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert re.search(r"hashpartitioning\(dims#\d+, block#\d+, cell#\d+, i#\d+, j#\d+", plans[0])
