@@ -14,10 +14,6 @@ from pyspark.sql import functions as F
 from feedsift.llm import minhash, packing, quality, secrets, substring
 from feedsift.llm.scratch import stored, text_key
 
-# Rows of a table of a number and a key that may be sent to every task: 16 bytes each.
-SENT_ROWS = 500_000
-
-
 def _beside(docs: DataFrame, found: DataFrame) -> tuple[DataFrame, Column]:
     """``found`` with its columns renamed, and the condition that joins it to rows of ``docs``."""
     other = found.select([F.col(c).alias(f"__stage_{c}") for c in found.columns])
@@ -28,15 +24,13 @@ def _beside(docs: DataFrame, found: DataFrame) -> tuple[DataFrame, Column]:
 
 
 def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose doc_id and text key are not in the stored table ``dropped``.
+    """Rows of ``docs`` whose doc_id and text key are not in ``dropped``.
 
-    Up to SENT_ROWS such pairs are sent to every task, so that texts stay where
-    they are; more are joined by a shuffle.
+    One plan at every size: both sides are dealt out by key, and the narrow one is
+    looked up, so texts are moved once and not sorted.
     """
     other, same = _beside(docs, dropped)
-    if dropped.count() <= SENT_ROWS:
-        other = F.broadcast(other)
-    return docs.join(other, same, "left_anti")
+    return docs.join(other.hint("shuffle_hash"), same, "left_anti")
 
 
 def _with_text(docs: DataFrame, found: DataFrame, text: Column) -> DataFrame:
