@@ -9,6 +9,7 @@ from feedsift.functions import extract, predicates
 from feedsift.functions.text import folded
 from feedsift.operators.columns import computed_once
 
+
 def detail_key() -> Column:
     """Where a listing's detail is found; null when the text is inline or there is none."""
     inline = F.coalesce(F.col("description"), F.lit("")) != ""
@@ -28,6 +29,24 @@ def latest_details(details: DataFrame, order: Column | str = "landed_at") -> Dat
     return details.groupBy("detail_key").agg(picked).select("detail_key", "_detail.*")
 
 
+def _attached(joined: DataFrame) -> DataFrame:
+    """Description, location and ``has_detail`` of rows beside the detail found for them."""
+    inline = F.nullif("description", F.lit(""))
+    return joined.withColumns(
+        {
+            "description": F.coalesce(inline, F.col("_description")),
+            "location": extract.resolved_location("location", "_locations"),
+            "has_detail": inline.isNotNull() | F.col("_description").isNotNull(),
+        }
+    ).drop("detail_key", "_description", "_locations")
+
+
+def _found(details: DataFrame) -> DataFrame:
+    return details.select(
+        "detail_key", F.col("description").alias("_description"), F.col("locations").alias("_locations")
+    )
+
+
 def attach_details(listings: DataFrame, details: DataFrame) -> DataFrame:
     """Left join of flattened details (unique ``detail_key``).
 
@@ -35,24 +54,25 @@ def attach_details(listings: DataFrame, details: DataFrame) -> DataFrame:
     where it has them. A row that needs no detail gets a made-up key of its
     own, so that a feed with inline texts does not meet in one task of the join.
     """
-    key = detail_key()
     spread = F.concat(F.lit("\u0000"), F.xxhash64("listing_key").cast("string"))
-    found = details.select(
-        "detail_key",
-        F.col("description").alias("_description"),
-        F.col("locations").alias("_locations"),
-    )
-    joined = listings.withColumn("detail_key", F.coalesce(key, spread)).join(
-        found, "detail_key", "left"
+    keyed = listings.withColumn("detail_key", F.coalesce(detail_key(), spread))
+    return _attached(keyed.join(_found(details), "detail_key", "left"))
+
+
+def attach_stored_details(listings: DataFrame, details: DataFrame) -> DataFrame:
+    """As ``attach_details``, for details in a store: they do not move, and neither do rows that need none.
+
+    Rows with a text of their own, or without a detail, go past the join.
+    ``listings`` is read twice for that, so it should be stored. The rows of one
+    key meet in the task of its bucket; where a single detail belongs to a large
+    part of all listings, ``attach_details`` lets the planner split them.
+    """
+    keyed = listings.withColumn("detail_key", detail_key())
+    joined = keyed.where("detail_key IS NOT NULL").join(_found(details), "detail_key", "left")
+    past = keyed.where("detail_key IS NULL").withColumns(
+        {"_description": F.lit(None).cast("string"), "_locations": F.lit(None).cast("array<string>")}
     )
-    inline = F.nullif("description", F.lit(""))
-    return joined.withColumns(
-        {
-            "description": F.coalesce(inline, F.col("_description")),
-            "location": extract.resolved_location("location", "_locations"),
-            "has_detail": inline.isNotNull() | F.col("_description").isNotNull(),
-        }
-    ).drop("detail_key", "_description", "_locations")
+    return _attached(joined.unionByName(past))
 
 
 def with_signals(listings: DataFrame, text: str = "description") -> DataFrame:

@@ -601,12 +601,12 @@ SELECT run_id, source_ord, term_no, page_offset, n_read AS n_rows, failed, term_
 SELECT run_id, source_ord, term_no, page_offset, n_read AS n_rows, failed, term_failed FROM pulled""",
         "term_union_dedup": f"""{_with(_union())}
 SELECT {_SEQ}, id, title, {place_columns} FROM feeds WHERE ats IN ('workday', 'oracle')""",
-        "attach_detail": f"""{_with(_POSTINGS, _DETAILS)},
+        **dict.fromkeys(("attach_detail", "attach_detail_store"), f"""{_with(_POSTINGS, _DETAILS)},
 keyed AS (SELECT *, CASE WHEN seq % 7 < 2 THEN nullif(description, '') END AS inline,
                  CASE WHEN seq % 3 < 2 OR seq % 5 <> 0 THEN seq END AS detail_no FROM p)
 SELECT seq, CASE WHEN inline IS NULL AND len(d.names) > 0 THEN array_to_string(d.names, ' · ') ELSE location END AS location,
        coalesce(inline, d.description) AS description, inline IS NOT NULL OR d.description IS NOT NULL AS has_detail
-FROM keyed k LEFT JOIN details d USING (detail_no)""",
+FROM keyed k LEFT JOIN details d USING (detail_no)"""),
         "html_strip": pages.format(_strip("html")),
         "html_decode": pages.format(_decode("html")),
         "html_escape": pages.format(_escape("html")),
@@ -664,9 +664,9 @@ AND listing_key NOT IN (SELECT listing_key FROM ev WHERE early)""",
 SELECT c_custkey, c_nationkey % 7 AS group_key, coalesce(
   (SELECT n_name FROM nation WHERE n_regionkey = c_nationkey % 7 ORDER BY n_nationkey LIMIT 1), 'Unknown') AS n_name
 FROM customer""",
-        "skills_missing": f"""{_with(jd, own, _skill_ctes("a", "jd", "doc_id", "body"), _skill_ctes("b", "pg", "page_id", "body"))}
+        **dict.fromkeys(("skills_missing", "skills_missing_files"), f"""{_with(jd, own, _skill_ctes("a", "jd", "doc_id", "body"), _skill_ctes("b", "pg", "page_id", "body"))}
 SELECT doc_id AS pair_no, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY {_LABEL_ORDER}) - 1 AS INTEGER) AS label_no, label
-FROM a WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.page_id = a.doc_id AND b.label = a.label)""",
+FROM a WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.page_id = a.doc_id AND b.label = a.label)"""),
         "rank_rows": f"""{top}SELECT seq, first_seq, rank_flagged, rank_elsewhere, rank_not_exempt, rank_floor,
 rank_age FROM ranked""",
         "ranked_positions": f"{top}SELECT rank_no, seq, first_seq FROM ordered",

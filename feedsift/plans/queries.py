@@ -21,8 +21,9 @@ from feedsift.rules import profiles
 from feedsift.rules.feeds import OFFSET_CAPS, SOURCES
 from feedsift.session import delete_at_exit, shared_folder
 from feedsift.sources import landed
+from feedsift.sources.detail_store import open_details, write_details
 from feedsift.sources.details import flatten_details
-from feedsift.sources.dimension import source_dimension
+from feedsift.sources.dimension import read_whole_texts, source_dimension, write_whole_texts
 from feedsift.sources.payloads import LISTING_FIELDS, explode_listings, explode_pages
 from feedsift.streaming.incremental import Tables, read_finished, seen_table, start_incremental, stream_new_keys
 from feedsift.streaming.seen import SeenTable
@@ -130,9 +131,8 @@ def term_union_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def attach_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Descriptions by precedence: a third of the listings has an inline text, some have no detail."""
-    details = flatten_details(views.landed_details(spark, sf_dir))
+def _detail_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A third of the listings has an inline text, some have no detail."""
     no = F.col("seq")
     key = F.concat(
         F.when(no % 3 == 0, "https://firm.wd1.myworkdayjobs.com/site/job/")
@@ -140,7 +140,7 @@ def attach_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise("https://firm.oraclecloud.com/detail/"),
         no.cast("string"),
     )
-    listings = views.postings(spark, sf_dir).withColumns(
+    return views.postings(spark, sf_dir).withColumns(
         {
             "listing_key": no.cast("string"),
             "description": F.when(no % 7 < 2, F.col("description")),
@@ -149,9 +149,22 @@ def attach_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
             "oracle_detail": F.when((no % 3 == 2) & (no % 5 != 0), key).otherwise(""),
         }
     )
-    return enrich.attach_details(listings, details).select(
-        "seq", "location", "description", "has_detail"
-    )
+
+
+_DETAIL_FIELDS = ("seq", "location", "description", "has_detail")
+
+
+def attach_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Descriptions by precedence."""
+    details = flatten_details(views.landed_details(spark, sf_dir))
+    return enrich.attach_details(_detail_listings(spark, sf_dir), details).select(*_DETAIL_FIELDS)
+
+
+def attach_detail_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from a store of details in buckets, written first."""
+    path = _scratch(spark, "details")
+    write_details(flatten_details(views.landed_details(spark, sf_dir)), path, order="detail_no")
+    return enrich.attach_stored_details(_detail_listings(spark, sf_dir), open_details(spark, path)).select(*_DETAIL_FIELDS)
 
 
 # --- text --------------------------------------------------------------------
@@ -283,28 +296,48 @@ def skill_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def skills_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labels of each document that the page of the same number lacks.
+def _skill_texts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Documents and pages with a sentence of skill words at their end, by number."""
+    def texts(table: str, key: str, body: str, by: str) -> DataFrame:
+        sql = f"SELECT {key} AS pair_no, {views.skill_text_sql(body, by)} AS text FROM {{t}}"
+        return spark.sql(sql, t=views.read(spark, sf_dir, table))
+
+    return texts("documents", "doc_id", "text", "doc_id"), texts("pages", "page_id", "html", "page_id * 3 + 1")
+
+
+def _labels_missing(wanted: DataFrame, own: DataFrame) -> DataFrame:
+    """Labels of each wanted text that the own text of the same number lacks.
 
     Labels are read on both sides first, so the join moves short lists, not texts.
     """
-    def labels(table: str, key: str, body: str, by: str) -> DataFrame:
-        texts = spark.sql(
-            f"SELECT {key}, {views.skill_text_sql(body, by)} AS text FROM {{t}}",
-            t=views.read(spark, sf_dir, table),
-        ).withColumn("low", text.folded("text"))
+    def labels(texts: DataFrame, name: str) -> DataFrame:
+        low = texts.withColumn("low", text.folded("text"))
         found = extract.skill_labels(extract.skill_hits("text", F.col("low")))
-        return texts.select(F.col(key).alias("pair_no"), found.alias(f"{table}_labels"))
+        return low.select("pair_no", found.alias(name))
 
-    wanted = labels("documents", "doc_id", "text", "doc_id")
-    own = labels("pages", "page_id", "html", "page_id * 3 + 1")
     none = F.array().cast("array<string>")
-    missing = F.array_except("documents_labels", F.coalesce("pages_labels", none))
-    return wanted.join(own, "pair_no", "left").select(
+    missing = F.array_except("wanted", F.coalesce("own", none))
+    return labels(wanted, "wanted").join(labels(own, "own"), "pair_no", "left").select(
         "pair_no", F.posexplode(missing).alias("label_no", "label")
     )
 
 
+def skills_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of each document that the page of the same number lacks."""
+    return _labels_missing(*_skill_texts(spark, sf_dir))
+
+
+def skills_missing_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from files: every document and page is written as a file of its own and read back whole."""
+    def through_files(texts: DataFrame, purpose: str) -> DataFrame:
+        folder = _scratch(spark, purpose)
+        write_whole_texts(texts, "pair_no", "text", folder)
+        return read_whole_texts(spark, folder, ends_with_break=True).select(F.col("pair_no").cast("bigint").alias("pair_no"), "text")
+
+    wanted, own = _skill_texts(spark, sf_dir)
+    return _labels_missing(through_files(wanted, "documents"), through_files(own, "pages"))
+
+
 # --- joins and seen state ------------------------------------------------------
 
 
@@ -577,6 +610,7 @@ def all_queries() -> dict[str, Query]:
         "unbounded_pull": unbounded_pull,
         "term_union_dedup": _wide(term_union_dedup),
         "attach_detail": attach_detail,
+        "attach_detail_store": attach_detail_store,
         "html_strip": _page_text(text.strip_tags),
         "html_decode": _page_text(text.decode_entities),
         "html_escape": _page_text(text.escape_html),
@@ -614,6 +648,7 @@ def all_queries() -> dict[str, Query]:
         "seen_diff": seen_diff,
         "lookup_first": lookup,
         "skills_missing": skills_missing,
+        "skills_missing_files": skills_missing_files,
         "rank_rows": rank_rows,
         "ranked_positions": ranked_positions,
         "topn_overflow": topn_overflow,

@@ -38,7 +38,7 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError(f"set {CHECKPOINT_KEY} to a folder every executor can reach")
-        base = tempfile.mkdtemp(prefix="feedsift-")
+        base = delete_at_exit(spark, tempfile.mkdtemp(prefix="feedsift-"))
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 

@@ -43,8 +43,18 @@ def load_profile(rules: DataFrame, name: str) -> RuleProfile:
     return RuleProfile(terms("include"), terms("exclude"), terms("allow"), terms("block"))
 
 
-def read_whole_texts(spark: SparkSession, path: str) -> DataFrame:
-    """One row per file, whole content in ``text``."""
-    return spark.read.text(path, wholetext=True).select(
-        F.col("_metadata.file_name").alias("file_name"), F.col("value").alias("text")
-    )
+def write_whole_texts(rows: DataFrame, key: str, text: str, path: str) -> None:
+    """One file per row, in a folder named by ``key``; every file ends with a line break of its own."""
+    rows.where(F.col(key).isNotNull()).select(key, text).write.mode("overwrite").partitionBy(key).text(path)
+
+
+def read_whole_texts(spark: SparkSession, path: str, ends_with_break: bool = False) -> DataFrame:
+    """One row per file: ``file_name``, the whole content in ``text``, and the keys its folders name.
+
+    Many small files share a task, as the session's settings for splits say; a
+    file is never cut. ``ends_with_break``: leave out the break that text files end with.
+    """
+    files = spark.read.text(path, wholetext=True)
+    keys = [c for c in files.columns if c != "value"]
+    text = F.regexp_replace("value", "\\n\\z", "") if ends_with_break else F.col("value")
+    return files.select(F.col("_metadata.file_name").alias("file_name"), text.alias("text"), *keys)

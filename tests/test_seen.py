@@ -64,7 +64,15 @@ def test_a_fold_that_dies_is_not_seen(spark, tmp_path, monkeypatch):
     table = SeenTable(spark, str(tmp_path), "listing_key STRING", buckets=2, fold_after=2)
     for n in range(3):
         step(table, n, range(3 * n, 3 * n + 3))
-    monkeypatch.setattr(SeenTable, "folded", lambda self, gen: (_ for _ in ()).throw(RuntimeError("lost")))
+    asked, folded = [], SeenTable.folded
+
+    def lost(self, gen):
+        asked.append(gen)
+        if len(asked) > 1:  # first to see what is folded, then to write the list of the new base
+            raise RuntimeError("lost")
+        return folded(self, gen)
+
+    monkeypatch.setattr(SeenTable, "folded", lost)
     with pytest.raises(RuntimeError):
         table.begin(Run("j", 3))
     monkeypatch.undo()
