@@ -11,6 +11,7 @@ from feedsift.operators.columns import computed_once
 from feedsift.plans.queries import all_queries
 from feedsift.sources import landed
 from feedsift.sources.dimension import source_dimension
+from feedsift.sources.payloads import parse_pages
 from pyspark.sql import functions as F
 
 STREAMING = {
@@ -53,11 +54,26 @@ def test_stored_pages_are_read_narrow_and_by_format(spark, tmp_path):
     landed.land_pages(views.landed_pages(spark, SMOKE_DIR), dimension, path)
     text = plan(landed.collect_listings(landed.read_stored(spark, path), dimension))
     scans = re.findall(r"FileScan parquet \[([^\]]*)\].*?PartitionFilters: \[([^\]]*)", text)
-    assert len([s for s in scans if "payload" not in s[0]]) >= 1
-    assert all("ats" in filters for columns, filters in scans if "payload" in columns)
+    assert len([s for s in scans if "listings" not in s[0]]) >= 1
+    wide = [filters for columns, filters in scans if "listings" in columns]
+    assert wide and all("ats" in filters for filters in wide)
     assert "BroadcastHashJoin" in text
 
 
+def test_payloads_are_parsed_once_and_not_again(spark, tmp_path):
+    path, dimension = str(tmp_path / "p"), source_dimension(spark)
+    pages = landed.with_source(views.landed_pages(spark, SMOKE_DIR), dimension, "ats", "address")
+    assert len(re.findall(r"from_json\(", plan(parse_pages(pages)))) == 1
+    landed.land_pages(views.landed_pages(spark, SMOKE_DIR), dimension, path)
+    assert "from_json" not in plan(landed.collect_listings(landed.read_stored(spark, path), dimension))
+
+
+def test_the_best_rows_need_one_dedup_and_one_set_of_patterns(spark):
+    text = plan(QUERIES["digest_parts"](spark, SMOKE_DIR))
+    assert text.count("Generate inline") == 2  # the view that stands for a table, and the signals
+    assert text.count("Exchange hashpartitioning(listing_key") == 1
+
+
 def test_only_needed_columns_are_scanned(spark):
     text = plan(QUERIES["posted_age"](spark, SMOKE_DIR))
     assert "ReadSchema" in text and "o_custkey" not in text and "o_orderpriority" not in text
