@@ -1,16 +1,22 @@
-"""Substring dedup: words go that stand in a passage which earlier documents hold.
+"""Substring dedup by relative Lempel-Ziv factors: words go that stand in a passage which earlier documents hold.
 
 The reference of a document is every document with a smaller id. It is indexed
 in blocks: each window of WINDOW words belongs to the block of its seed, the
 least hash of the SEED_WORDS-word grams in it, so equal windows meet in one
-block wherever they stand. A block has, per distinct window, the smallest
-doc_id. Neighbouring windows with one seed form a run; runs are the unit of
-storage, and only distinct runs of seeds that two documents share are opened.
-
-There is no parse into factors: each window is looked up by its hash, and words
-in any window that an earlier document holds go. That is all a parse could
-find, without its documents x blocks. Runs of held windows are called factors
-below. All windows are judged on the input.
+block wherever they stand. Neighbouring windows with one seed form a run; a
+block holds the distinct runs of its seed, and per window the reference place
+that comes first: smallest doc_id, then run, then place in it.
+
+A document is factored against every block its seeds lie in; in any other block
+nothing of it can stand. The parse goes through a run from left to right and
+makes each factor as long as the windows follow one another in the reference
+run where it began; then the next factor begins. A window found nowhere is no
+factor. So a factor of n windows is a passage of n + WINDOW - 1 words, never
+shorter than WINDOW. Factors overlap: the windows that lie across a boundary
+are the first ones of the next factor, and are looked up like all others.
+Equal runs are parsed once, whatever number of documents they stand in; of the
+factors, a document loses those whose reference is an earlier document. All
+windows are judged on the input.
 
 Windows count as equal if two independent 64-bit hashes agree (seed, window).
 Cases: texts of fewer words than WINDOW keep all; null texts have no words;
@@ -33,7 +39,7 @@ from feedsift.llm.scratch import stored, text_key
 
 WINDOW = 50
 SEED_WORDS = 20
-RUN_WINDOWS = 48  # a run's marks fit into one whole number
+RUN_WINDOWS = 48  # a longer run is cut, so that what one group gathers is bounded
 
 
 def _windows(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -55,7 +61,7 @@ def _seeded(batch: pa.RecordBatch) -> pa.RecordBatch:
     owner = np.searchsorted(words.first, at, side="right") - 1
     cuts = np.searchsorted(owner, np.arange(words.n_rows + 1))
     new = np.ones(len(seeds), bool)
-    new[1:] = seeds[1:] != seeds[:-1]
+    new[1:] = (seeds[1:] != seeds[:-1]) | (owner[1:] != owner[:-1])
     lists = [np.unique(seeds[a:b][new[a:b]]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
     offsets = np.concatenate([[0], np.cumsum([len(x) for x in lists])])
     joined, rows = kept_text(words, np.ones(len(words.start), bool))
@@ -100,15 +106,13 @@ def _runs(batch: pa.RecordBatch) -> pa.RecordBatch | None:
 
 
 def _covered(words: Words, factors: list) -> np.ndarray:
-    """Words that lie in a factor; a factor row has the start of a run and marks of its windows."""
+    """Words that lie in a factor."""
     gone = np.zeros(len(words.start) + 1, np.int64)
     for row, found in enumerate(factors):
         base = words.first[row]
-        for run in found or ():
-            bits = np.frombuffer(int(run["bits"]).to_bytes(8, "little"), np.uint8)
-            held = np.flatnonzero(np.unpackbits(bits, bitorder="little")) + base + run["start"]
-            np.add.at(gone, held, 1)
-            np.add.at(gone, held + WINDOW, -1)
+        for factor in found or ():
+            gone[base + factor["start"]] += 1
+            gone[base + factor["start"] + factor["n_words"]] -= 1
     return np.cumsum(gone[:-1]) > 0
 
 
@@ -136,8 +140,51 @@ def _same(a: DataFrame, b: DataFrame) -> Column:
     return (a["doc_id"] == b["doc_id"]) & (a["text_key"] == b["text_key"])
 
 
+def _parsed(places: Column, kind: str) -> Column:
+    """Factors of a run, whose windows come in order with the place each has in the reference."""
+    none = F.array().cast(f"array<struct<place: int, n: int, holder: {kind}, source: bigint, shift: int>>")
+
+    def step(done: Column, window: Column) -> Column:
+        last = F.get(done, F.size(done) - 1)
+        longer = F.struct(
+            last["place"].alias("place"), (last["n"] + 1).alias("n"), last["holder"].alias("holder"),
+            last["source"].alias("source"), last["shift"].alias("shift"),
+        )
+        new = F.struct(
+            window["place"].alias("place"), F.lit(1).alias("n"), window["holder"].alias("holder"),
+            window["source"].alias("source"), window["shift"].alias("shift"),
+        )
+        follows = (last["source"] == window["source"]) & (last["shift"] == window["shift"])
+        return (
+            F.when(follows, F.array_append(F.slice(done, F.lit(1), F.size(done) - 1), longer))
+            .otherwise(F.array_append(done, new))
+        )
+
+    return F.aggregate(places, none, step)
+
+
+def parsed_runs(runs: DataFrame, kind: str) -> DataFrame:
+    """seed, run and phrases (factors against the block of the seed) of each distinct run."""
+    distinct = runs.groupBy("seed", "run").agg(F.min("doc_id").alias("first_doc"), F.first("windows").alias("windows"))
+    opened = stored(
+        distinct.select("seed", "run", "first_doc", F.posexplode("windows").alias("place", "window")), "windows"
+    )
+    block = opened.groupBy("seed", "window").agg(F.min(F.struct("first_doc", "run", "place")).alias("at"))
+    placed = opened.join(block, ["seed", "window"]).select(
+        "seed", "run",
+        F.struct(
+            "place", F.col("at.first_doc").alias("holder"), F.col("at.run").alias("source"),
+            (F.col("at.place") - F.col("place")).alias("shift"),
+        ).alias("window"),
+    )
+    return (
+        placed.groupBy("seed", "run").agg(F.array_sort(F.collect_list("window")).alias("places"))
+        .select("seed", "run", _parsed(F.col("places"), kind).alias("phrases"))
+    )
+
+
 def duplicate_factors(seeded: DataFrame, named: DataFrame, kind: str) -> DataFrame:
-    """doc_id, text_key and factors (start of a run, marks) of documents that lose words."""
+    """doc_id, text_key and factors (start, n_words, source_doc) of documents that lose words."""
     carried = seeded.filter(F.col("doc_id").isNotNull()).select("doc_id", "text_key", F.explode("seeds").alias("seed"))
     common = (
         carried.groupBy("seed").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
@@ -152,27 +199,16 @@ def duplicate_factors(seeded: DataFrame, named: DataFrame, kind: str) -> DataFra
         ),
         "runs",
     )
-    distinct = runs.groupBy("seed", "run").agg(F.min("doc_id").alias("first_doc"), F.first("windows").alias("windows"))
-    opened_runs = stored(
-        distinct.select("seed", "run", "first_doc", F.posexplode("windows").alias("place", "window")), "windows"
-    )
-    block = opened_runs.groupBy("seed", "window").agg(F.min("first_doc").alias("holder"))
-    holders = (
-        opened_runs.join(block, ["seed", "window"]).groupBy("seed", "run")
-        .agg(F.array_sort(F.collect_list(F.struct("place", "holder"))).alias("holders"))
-        .withColumnsRenamed({"seed": "_seed", "run": "_run"})
-    )
-    bits = F.aggregate(
-        "holders", F.lit(0).cast("bigint"),
-        lambda held, h: held + F.when(
-            h["holder"] < F.col("doc_id"), F.call_function("shiftleft", F.lit(1).cast("bigint"), h["place"])
-        ).otherwise(F.lit(0).cast("bigint")),
-    )
-    marked = (
-        runs.join(holders, (F.col("seed") == F.col("_seed")) & (F.col("run") == F.col("_run")))
-        .select("doc_id", "text_key", "start", bits.alias("bits")).filter(F.col("bits") != 0)
+    parsed = parsed_runs(runs, kind).withColumnsRenamed({"seed": "_seed", "run": "_run"})
+    earlier = F.filter("phrases", lambda f: f["holder"] < F.col("doc_id"))
+    factors = F.transform(earlier, lambda f: F.struct(
+        (F.col("start") + f["place"]).alias("start"), (f["n"] + (WINDOW - 1)).alias("n_words"), f["holder"].alias("source_doc"),
+    ))
+    found = (
+        runs.join(parsed, (F.col("seed") == F.col("_seed")) & (F.col("run") == F.col("_run")))
+        .select("doc_id", "text_key", factors.alias("factors")).filter(F.size("factors") > 0)
     )
-    return marked.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("start", "bits")).alias("factors"))
+    return found.groupBy("doc_id", "text_key").agg(F.flatten(F.collect_set("factors")).alias("factors"))
 
 
 def remove_substrings(docs: DataFrame, with_text: bool = False) -> tuple[DataFrame, DataFrame]:
