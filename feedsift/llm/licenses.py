@@ -5,8 +5,10 @@ letters and digits. Cuts at stops and blank lines hold; those before a line
 that begins with a capital, a comment sign or a list mark may also lie inside a
 known sentence, so it is found at any line width. Known sentences that lie
 between the nearest cuts come first, then longer ones. They give their numbers,
-in the order of the text. The rules are tried in order, longest first; a rule
-holds where its numbers stand side by side, and takes them from later rules.
+in the order of the text, with a gap mark wherever other words stand between two
+of them; a list label of up to three characters is no gap. The rules are tried
+in order, longest first; a rule holds where its numbers stand side by side with
+no gap, and takes them from later rules.
 All of it is column expressions in the stage that reads the table.
 
 Cases: null and empty texts have no sentence; repeated rows get equal results;
@@ -57,8 +59,20 @@ SENTENCES = {
     "cc_zero": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work",
     "public_domain": "This is free and unencumbered software released into the public domain",
     "all_rights": "All rights reserved",
+    "lgpl_free": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version",
+    "lgpl_hope": "This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE",
+    "lgpl_see": "See the GNU Lesser General Public License for more details",
+    "agpl_free": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
+    "agpl_see": "See the GNU Affero General Public License for more details",
 }
 
+# Names of the public licence list that a file may state in one line.
+SPDX = (
+    "MIT", "Apache-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "LGPL-2.1-only", "LGPL-2.1-or-later",
+    "AGPL-3.0-only", "AGPL-3.0-or-later", "BSD-2-Clause", "BSD-3-Clause", "ISC", "MPL-2.0", "CC0-1.0", "Unlicense",
+)
+SENTENCES |= {f"spdx {name}": f"SPDX-License-Identifier: {name}" for name in SPDX}
+
 # Licences by the sentences that make them up, in the order in which they are tried.
 RULES = (
     ("MIT-full", ("mit_grant_head", "mit_notice", "as_is", "no_event")),
@@ -82,6 +96,10 @@ RULES = (
     ("CC-BY-NC-4.0", ("cc_by_nc",)),
     ("CC0-1.0", ("cc_zero",)),
     ("Unlicense", ("public_domain",)),
+    ("LGPL-2.1-header", ("lgpl_free", "lgpl_hope", "lgpl_see")),
+    ("AGPL-3.0-header", ("agpl_free", "gpl_hope", "agpl_see")),
+    ("LGPL-2.1", ("lgpl_free",)), ("AGPL-3.0", ("agpl_free",)),
+    *((name, (f"spdx {name}",)) for name in SPDX),
 )
 
 # Where sentences end in the reference SQL. A line break ends one before a blank line or a capital and a small letter.
@@ -135,20 +153,36 @@ def known_pattern() -> str:
     return "[\x01-\x04] *(" + "|".join(near + far) + ")"
 
 
+# Marks around known sentences: one begins, one ends, the next follows at once, the next follows after other words.
+BEGIN, END, NEXT, APART = "\x05", "\x06", "\x07", "\x08"
+GAP = "|"
+LABEL = "[0-9a-z]{1,3}"
+
+
 def found_sentences(text: Column) -> Column:
-    """Known sentences, normalised and in order."""
+    """Known sentences, normalised and in order, each after NEXT or APART."""
     cut = F.translate(text, LINE + MARK + COLON, "   ")
     for pattern, by in SEEN:
         cut = F.regexp_replace(cut, pattern, by)
     plain = F.concat(F.lit(HARD), F.regexp_replace(F.lower(cut), "[^a-z0-9\x01-\x04]+", " "), F.lit(HARD))
-    found = F.regexp_extract_all(plain, F.lit(known_pattern()), F.lit(1))
+    told = F.concat(F.lit(END), F.regexp_replace(plain, known_pattern(), f"{BEGIN}$1{END}"))
+    blank = "[ \x01-\x04]*+"
+    for pattern, by in (
+        (f"{END}{blank}(?:{LABEL}{blank})?{BEGIN}", NEXT),  # a cut before a sentence went with it
+        (f"{END}[^{BEGIN}]*+{BEGIN}", APART),
+        (f"{END}[^{BEGIN}]*+\\z", ""),
+    ):
+        told = F.regexp_replace(told, pattern, by)
+    found = F.regexp_extract_all(told, F.lit(f"[{NEXT}{APART}][^{NEXT}{APART}]+"), F.lit(0))
     return F.transform(found, lambda s: F.regexp_replace(s, "[ \x01-\x04]+", " "))
 
 
 def known_numbers(text: Column) -> Column:
-    """Numbers of the known sentences, in order, written <n><m>."""
-    numbers = F.create_map(*[x for s, n in KNOWN.items() for x in (F.lit(s), F.lit(f"<{n}>"))])
-    return F.array_join(F.transform(found_sentences(text), lambda s: numbers[s]), "")
+    """Numbers of the known sentences, in order, written <n><m>, or <n>|<m> if other words stand between."""
+    numbers = F.create_map(*[
+        x for s, n in KNOWN.items() for x in (F.lit(NEXT + s), F.lit(f"<{n}>"), F.lit(APART + s), F.lit(f"{GAP}<{n}>"))
+    ])
+    return F.ltrim(F.array_join(F.transform(found_sentences(text), lambda s: numbers[s]), ""), F.lit(GAP))
 
 
 def matched(numbers: Column) -> Column:
@@ -196,9 +230,15 @@ WITH known(s, n) AS (VALUES {known}),
 numbered AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
 pieces AS (
   SELECT r, unnest(string_split({cut}, chr(1))) AS s, generate_subscripts(string_split({cut}, chr(1)), 1) AS pos FROM numbered),
+plain AS (SELECT r, pos, trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g')) AS s FROM pieces),
+told AS (
+  SELECT r, s, row_number() OVER o AS pos, CASE WHEN regexp_full_match(lag(s) OVER o, '{LABEL}') THEN 1 ELSE 0 END AS label
+  FROM plain WHERE s <> '' WINDOW o AS (PARTITION BY r ORDER BY pos)),
+side AS (
+  SELECT r, n, pos, pos - lag(pos) OVER (PARTITION BY r ORDER BY pos) - 1 AS other, label FROM told JOIN known USING (s)),
 held AS (
-  SELECT r, string_agg('<' || n || '>', '' ORDER BY pos) AS ids
-  FROM pieces JOIN known ON known.s = trim(regexp_replace(lower(pieces.s), '[^a-z0-9]+', ' ', 'g')) GROUP BY r),
+  SELECT r, string_agg(CASE WHEN other > 0 AND NOT (other = 1 AND label = 1) THEN '{GAP}' ELSE '' END || '<' || n || '>', '' ORDER BY pos) AS ids
+  FROM side GROUP BY r),
 ids AS (SELECT doc_id, coalesce(ids, '') AS sentence_ids FROM numbered LEFT JOIN held USING (r)),
 {", ".join(steps)}
 SELECT doc_id, sentence_ids, length(sentence_ids) - length(replace(sentence_ids, '<', '')) AS n_sentences,
