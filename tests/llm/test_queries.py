@@ -9,6 +9,7 @@ import brute
 import numpy as np
 import public_tokenizers
 import pytest
+from pyarrow import fs
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -299,3 +300,30 @@ def test_chunk_pairs_of_a_cell_are_dealt_out(spark, sample_dir, monkeypatch):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert re.search(r"hashpartitioning\(dims#\d+, block#\d+, cell#\d+, i#\d+, j#\d+", plans[0])
+
+
+def test_vectors_lie_once_per_block_however_many_chunks_meet(spark, sample_dir, monkeypatch):
+    importable(spark)
+    frame = spark.read.parquet(f"{sample_dir}/embeddings.parquet")
+    held = {}
+
+    def kept(rows, name):
+        found = stored(rows, name)
+        held.setdefault(name, []).append((found.columns, found.count()))
+        return found
+
+    folders = []
+    monkeypatch.setattr(embed, "stored", kept)
+    monkeypatch.setattr(embed, "drop_at_exit", lambda spark, path: folders.append(path))
+    embed.near_vectors(frame)
+    monkeypatch.setattr(embed, "CHUNK", 7)
+    embed.near_vectors(frame)
+    with_vectors = {n for n, runs in held.items() for columns, _ in runs if {"unit", "vector"} & set(columns)}
+    assert with_vectors == {"vector-classes"}
+    assert held["chunk-pairs"][1][1] > held["chunk-pairs"][0][1]  # more pairs meet
+    bytes_held = []
+    for folder in folders:
+        system, path = embed.opened(folder)
+        sizes = [f.size - 8 for f in system.get_file_info(fs.FileSelector(path))]
+        bytes_held.append(sum(sizes))
+    assert bytes_held[0] == bytes_held[1] > 0  # the same vectors lie there
