@@ -2,14 +2,19 @@
 
 A profile of a few hundred terms is one pattern per kind (``functions.predicates``).
 Longer ones are joined instead. Every term is found by one key: terms looked for
-as whole words by one of their words, terms looked for anywhere by three letters
-in a row (shorter terms by all of theirs). Of a term's keys the one that the
-fewest texts hold is taken; a term with a key that no text holds matches nothing
-and is dropped before the join. Texts are joined on their keys and the whole term
-is verified on each pair, so the result is that of the patterns.
-
-No rule is collected. A key that many texts hold is dealt out over ``SALTS``
-parts, so neither a common word nor a common term makes one large task.
+as whole words by one of their words, terms looked for anywhere by characters in
+a row, of the longest of a few lengths (``SIZES``) that the term has: a long term is
+found by a long key, so that few texts meet it that do not hold it. Of a term's
+keys the one that the fewest texts hold is taken; a term with a key that no text
+holds matches nothing and is dropped before the join. Texts have keys of the
+lengths that terms ask for, and are joined on them; the whole term is verified on
+each pair, so the result is that of the patterns.
+
+No rule is collected, and neither texts nor terms are sent whole to every
+executor, which would pass them through the driver: the planner takes a text's
+keys, made by a generator, for as small as the text. A key that many texts hold is
+dealt out over ``SALTS`` parts, so neither a common word nor a common term makes
+one large task.
 """
 
 from __future__ import annotations
@@ -22,7 +27,7 @@ from feedsift.functions.text import trim_spaces
 from feedsift.rules import profiles, regions
 
 RULE_SCHEMA = "profile STRING, kind STRING, ord INT, term STRING"
-GRAM = 3
+SIZES = (1, 2, 3, 4, 8, 16, 32)  # of the keys of terms that are looked for anywhere
 SALTS = 16
 _WORDS = "[a-z0-9_]+"
 
@@ -33,14 +38,19 @@ def profile_rows(name: str, profile: profiles.RuleProfile) -> list[tuple[str, st
     return [(name, kind, n, term) for kind, terms in kinds.items() for n, term in enumerate(terms)]
 
 
-def _grams(text: Column, size: int) -> Column:
+def _grams(text: Column, size: Column) -> Column:
     """All runs of ``size`` characters of a text."""
     n = F.char_length(text) - size + 1
-    return F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(text, i, F.lit(size)))).otherwise(
+    return F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(text, i, size))).otherwise(
         F.array().cast("array<string>")
     )
 
 
+def _size(term: Column) -> Column:
+    """The longest of SIZES that a term has; 0 for an empty one."""
+    return F.array_max(F.filter(F.array(*(F.lit(n) for n in (0, *SIZES))), lambda n: n <= F.char_length(term)))
+
+
 def _words(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(_WORDS), F.lit(0))
 
@@ -50,38 +60,41 @@ def _marked(field: str, keys: Column) -> Column:
 
 
 def _terms(rules: DataFrame, name: str) -> DataFrame:
-    """Distinct terms of a profile with the keys each can be found by."""
+    """Distinct terms of a profile with the keys each can be found by; ``field`` and ``size`` say of what kind these are."""
     low = F.lower("term")
     rows = rules.where((F.col("profile") == name) & F.col("term").isNotNull()).select("kind", low.alias("term")).distinct()
-    term, field = F.col("term"), F.when(F.col("kind") == "include", "t").otherwise("l")
-    anywhere = F.when(F.char_length(term) >= GRAM, _grams(term, GRAM)).otherwise(F.array(term))
+    term, words = F.col("term"), _words(F.col("term"))
     # A term of no word, looked for as a whole word, is found by its characters like the others.
-    words = _words(term)
-    keys = F.when(
-        (F.col("kind") == "exclude") & (F.size(words) > 0), _marked("w", words)
-    ).otherwise(F.transform(anywhere, lambda k: F.concat(F.when(F.col("kind") == "exclude", "t").otherwise(field), F.lit(":"), k)))
-    return rows.select("kind", "term", F.array_distinct(keys).alias("keys"))
+    field = (
+        F.when((F.col("kind") == "exclude") & (F.size(words) > 0), "w")
+        .when(F.col("kind").isin("include", "exclude"), "t").otherwise("l")
+    )
+    keys = F.when(field == "w", words).when(term == "", F.array(term)).otherwise(_grams(term, _size(term)))
+    marked = F.transform(keys, lambda k: F.concat(field, F.lit(":"), k))
+    return rows.select("kind", "term", field.alias("field"), _size(term).alias("size"), F.array_distinct(marked).alias("keys"))
 
 
-def _probes(texts: DataFrame) -> DataFrame:
-    """Each text's keys, once."""
+def _probes(texts: DataFrame, terms: DataFrame) -> DataFrame:
+    """Each text's keys of the kinds that terms have, once."""
+    def sizes(field: str) -> Column:
+        return terms.where((F.col("field") == field) & (F.col("size") > 0)).agg(F.collect_set("size").alias("sizes")).scalar()
+
     def anywhere(field: str, text: str) -> Column:
-        return F.concat(*(_marked(field, _grams(F.col(text), size)) for size in range(1, GRAM + 1)))
+        return F.flatten(F.transform(f"_{field}", lambda n: _marked(field, _grams(F.col(text), n))))
 
     empty = F.array(F.lit("t:"), F.lit("l:"))  # of an empty term
     keys = F.array_distinct(
         F.concat(empty, _marked("w", _words(F.col("title_low"))), anywhere("t", "title_low"), anywhere("l", "location_low"))
     )
-    return texts.select("row", "title_low", "location_low", F.explode(keys).alias("key"))
+    asked = texts.withColumns({"_t": sizes("t"), "_l": sizes("l")})
+    return asked.select("row", "title_low", "location_low", F.explode(keys).alias("key"))
 
 
 def _rarest(terms: DataFrame, probes: DataFrame) -> DataFrame:
     """Each term with its rarest key; terms with a key that no text holds are gone."""
     asked = terms.select("kind", "term", F.size("keys").alias("n_keys"), F.explode("keys").alias("key"))
-    counts = (
-        probes.join(asked.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    )
-    found = asked.join(counts, "key").groupBy("kind", "term").agg(
+    counts = probes.groupBy("key").agg(F.count(F.lit(1)).alias("n"))  # reduced per task before it moves
+    found = asked.hint("merge").join(counts, "key").groupBy("kind", "term").agg(
         F.count(F.lit(1)).alias("held"), F.first("n_keys").alias("n_keys"), F.min_by("key", "n").alias("key")
     )
     return found.where(F.col("held") == F.col("n_keys")).select("kind", "term", "key")
@@ -100,11 +113,12 @@ def with_rule_hits(listings: DataFrame, rules: DataFrame, name: str, row: str) -
     """``listings`` with included, excluded, allowed, blocked: whether a term of that kind holds. ``row`` names a listing."""
     low = {f"{c}_low": F.lower(F.coalesce(c, F.lit(""))) for c in ("title", "location")}
     texts = listings.select(F.col(row).alias("row"), *(column.alias(n) for n, column in low.items()))
-    probes = _probes(texts)
-    picked = _rarest(_terms(rules, name), probes)
+    terms = _terms(rules, name)
+    probes = _probes(texts, terms)
+    picked = _rarest(terms, probes)
     salted = picked.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     dealt = probes.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int"))
-    pairs = dealt.join(salted, ["key", "salt"]).where(_holds())
+    pairs = dealt.hint("merge").join(salted, ["key", "salt"]).where(_holds())
     # A waived term counts only where the title is not exempt from it.
     counts = ~(F.col("term").isin(*profiles.EXEMPT_TERMS) & predicates.title_exempt("title_low"))
     hits = pairs.groupBy("row").agg(

@@ -96,3 +96,22 @@ def test_the_best_rows_and_the_count_come_from_one_pass(spark):
     assert [r["age_days"] for r in found] == list(range(25))
     assert {r["extra"] for r in found} == {2975} and [r["rank_no"] for r in found] == list(range(1, 26))
     assert rank.top_listings(rank.alertable(rows.where("false")), 25).count() == 0
+
+
+def test_keys_of_texts_are_never_sent_whole_to_every_executor(spark, tmp_path):
+    """A small file of texts has many keys; the planner must not take these for small."""
+    spark.range(2000).selectExpr("id AS seq", "'common words ' || id AS title", "'' AS location").write.parquet(str(tmp_path / "t"))
+    frame = spark.read.parquet(str(tmp_path / "t"))
+    names = spark.range(500).selectExpr("'p' AS profile", "'include' AS kind", "0 AS ord", "'words ' || id AS term")
+    plan = rule_table.with_rule_hits(frame, names, "p", "seq")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("strategy=merge") >= 2
+
+
+def test_a_long_term_is_found_by_a_long_key(spark):
+    texts = spark.range(300).selectExpr("id AS row", "'for customer#' || lpad(id, 9, '0') AS title_low", "'' AS location_low")
+    rows = [("p", "include", n, f"Customer#{n:09d}") for n in range(300)] + [("p", "include", 0, "é"), ("p", "allow", 0, "")]
+    terms = rule_table._terms(spark.createDataFrame(rows, rule_table.RULE_SCHEMA), "p")
+    probes = rule_table._probes(texts, terms)
+    picked = rule_table._rarest(terms, probes)
+    assert picked.where("kind = 'include'").count() == 300
+    assert probes.join(picked.where("kind = 'include'"), "key").count() < 300 * 11  # with keys of three letters: 16,000
