@@ -351,3 +351,21 @@ def test_incremental_queries_run_the_job_on_each_call(spark, monkeypatch):
     for _ in range(2):
         queries.incremental_run(spark, "same folder")
     assert len(set(jobs)) == 2
+
+
+def test_polls_read_stored_details(spark, monkeypatch):
+    """Details are built and parsed once, not by every poll."""
+    plans = []
+
+    class Started:
+        def awaitTermination(self):
+            pass
+
+    def started(spark, path, tables, checkpoint, options, details):
+        plans.append(details._jdf.queryExecution().optimizedPlan().toString())
+        return Started()
+
+    monkeypatch.setattr(queries, "start_incremental", started)
+    queries._incremental(spark, "/root/testdata/sf0.001")
+    assert len(plans) == queries.N_POLLS
+    assert not any(word in plan for plan in plans for word in ("from_json", "jsontostructs", "o_orderkey"))
