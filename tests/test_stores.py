@@ -2,11 +2,13 @@
 
 import re
 
+import pytest
+from pyspark.errors import PythonException
 from pyspark.sql import functions as F
 
 from feedsift.operators import enrich
 from feedsift.sources.detail_store import open_details, write_details
-from feedsift.sources.dimension import read_whole_texts, write_whole_texts
+from feedsift.sources.dimension import LISTING, read_whole_texts, write_whole_texts
 
 DETAIL = "detail_key STRING, description STRING, locations ARRAY<STRING>, landed_at INT"
 
@@ -55,3 +57,59 @@ def test_texts_as_files(spark, tmp_path):
     got = {r["no"]: r["text"] for r in read_whole_texts(spark, folder, ends_with_break=True).collect()}
     assert got == {n: t or "" for n, t in enumerate(texts)}
     assert read_whole_texts(spark, folder, True).rdd.getNumPartitions() < len(texts)  # small files share a task
+
+
+def tasks_started(spark, group, work):
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        work()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    tracker = spark.sparkContext.statusTracker()
+    stages = [s for job in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(job).stageIds]
+    return sum(tracker.getStageInfo(s).numTasks for s in stages if tracker.getStageInfo(s))
+
+
+def test_texts_take_one_file_each_and_no_folder_is_looked_through(spark, tmp_path):
+    folder = tmp_path / "files"
+    rows = spark.range(0, 600, 1, 3).select((F.col("id") % 500).alias("no"), F.concat(F.lit("t"), "id").alias("text"))
+    write_whole_texts(rows, "no", "text", str(folder))
+    texts = [p for p in folder.rglob("*") if p.is_file() and LISTING not in p.parts]
+    assert sorted(p.read_text() for p in texts) == sorted(f"t{n}\n" for n in range(600))  # repeated keys too
+    assert len({p.parent for p in texts}) == 3
+    assert tasks_started(spark, "open", lambda: read_whole_texts(spark, str(folder), True)) < 20
+    got = read_whole_texts(spark, str(folder), True)
+    assert got.columns == ["file_name", "text", "no"]
+    assert sorted((r["no"], r["text"]) for r in got.collect()) == sorted((n % 500, f"t{n}") for n in range(600))
+
+
+def test_tasks_that_read_files_grow_in_number_not_in_size(spark, tmp_path, monkeypatch):
+    rows = spark.range(0, 400, 1, 2).select("id", F.repeat(F.lit("x"), 999).alias("text"))
+    write_whole_texts(rows, "id", "text", str(tmp_path / "files"))
+    monkeypatch.setattr("feedsift.sources.dimension.TASK_BYTES", 20_000)
+    got = read_whole_texts(spark, str(tmp_path / "files"), True)
+    assert got.rdd.getNumPartitions() == 20 and got.where("length(text) = 999").count() == 400
+
+
+def test_files_that_are_not_listed_do_not_count_and_a_damaged_one_fails(spark, tmp_path):
+    folder = tmp_path / "files"
+    rows = spark.createDataFrame([("a/b", "x" * 9_000_000), ("é" * 90, "two"), ("..", None)], "name STRING, text STRING")
+    write_whole_texts(rows.where("text = 'lost'"), "name", "text", str(folder))
+    assert read_whole_texts(spark, str(folder)).count() == 0
+    write_whole_texts(rows, "name", "text", str(folder))
+    (folder / "dead-0").mkdir()
+    (folder / "dead-0" / "a.0.txt").write_text("of a task that failed\n")
+    got = {r["name"]: r["text"] for r in read_whole_texts(spark, str(folder), True).collect()}
+    assert got == {"a/b": "x" * 9_000_000, "é" * 90: "two", "..": ""}
+    next(p for p in folder.rglob("*.txt") if p.read_text() == "two\n").write_text("tw\n")
+    with pytest.raises(PythonException, match="4 were written"):
+        read_whole_texts(spark, str(folder)).collect()
+
+
+def test_texts_on_a_file_system_that_is_not_mounted(spark, tmp_path):
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    conf.set("fs.viewfs.mounttable.texts.link./out", f"file://{tmp_path}")
+    rows = spark.createDataFrame([(1, "one\ntwo"), (2, None), (None, "lost")], "no INT, text STRING")
+    write_whole_texts(rows, "no", "text", "viewfs://texts/out/files")
+    got = {r["no"]: r["text"] for r in read_whole_texts(spark, "viewfs://texts/out/files", True).collect()}
+    assert got == {1: "one\ntwo", 2: ""} and not (tmp_path / "files" / LISTING).exists()
