@@ -115,3 +115,41 @@ def test_a_long_term_is_found_by_a_long_key(spark):
     picked = rule_table._rarest(terms, probes)
     assert picked.where("kind = 'include'").count() == 300
     assert probes.join(picked.where("kind = 'include'"), "key").count() < 300 * 11  # with keys of three letters: 16,000
+
+
+def test_only_keys_that_terms_have_are_counted_and_moved(spark):
+    texts = spark.range(500).selectExpr("id AS row", "'a title of many other words for customer#' || lpad(id, 9, '0') AS title_low", "'austin, tx' AS location_low")
+    rules = [("p", "include", n, f"Customer#{n:09d}") for n in range(500)] + [("p", "block", 0, "pune")]
+    terms = rule_table._terms(spark.createDataFrame(rules, rule_table.RULE_SCHEMA), "p")
+    assert rule_table._probes(texts, terms).count() < 500 * 4  # three of a title's keys are a name's; all of them: 22,000
+
+
+@pytest.mark.parametrize("most", [0, 5])
+def test_terms_that_are_not_sent_to_the_texts_are_joined(spark, monkeypatch, most):
+    """Whichever way a term meets the texts, the rows are those of the patterns."""
+    monkeypatch.setattr(rule_table, "BROADCAST_ROWS", most)
+    frame = listings(spark)
+    profile = RuleProfile(ODD.include[:5] + ("engineer", "data"), ("c", "#", "senior", "vp"), ("tx", "remote"), ("on", "pune"))
+    found = rule_table.matched_by_table(frame, table(spark, own=profile, other=profiles.LOCAL), "own")
+    wanted = frame.where(predicates.matches_profile("title", "location", profile))
+    assert sorted(r["seq"] for r in found.collect()) == sorted(r["seq"] for r in wanted.collect()) != []
+
+
+def test_no_more_terms_than_set_are_sent_to_the_texts(spark, monkeypatch):
+    monkeypatch.setattr(rule_table, "BROADCAST_ROWS", 20)
+    texts = spark.range(200).selectExpr("id AS row", "'name ' || (id % 100) || ' data engineer' AS title_low", "'' AS location_low")
+    rules = [("p", "include", n, f"name {n} ") for n in range(100)] + [("p", "exclude", n, w) for n, w in enumerate(("data", "engineer", "none"))]
+    terms = rule_table._terms(spark.createDataFrame(rules, rule_table.RULE_SCHEMA), "p")
+    picked = rule_table._rarest(terms, rule_table._probes(texts, terms)).collect()
+    sent = {r["term"] for r in picked if r["common"]}
+    assert {"data", "engineer"} <= sent and len(sent) <= 20 and len(picked) == 102
+
+
+def test_of_equally_rare_keys_the_least_is_taken(spark):
+    """Terms are picked more than once; another key the second time would lose their pairs."""
+    texts = spark.range(40).selectExpr("id AS row", "'the long name ' || id AS title_low", "'' AS location_low")
+    terms = rule_table._terms(spark.createDataFrame([("p", "include", 0, "the long name"), ("p", "exclude", 0, "long name")], rule_table.RULE_SCHEMA), "p")
+    least = {r["term"]: min(r["keys"]) for r in terms.collect()}
+    for n in (1, 7):
+        probes = rule_table._probes(texts.repartition(n), terms)
+        assert {r["term"]: r["key"] for r in rule_table._rarest(terms.repartition(n, "term"), probes).collect()} == least
