@@ -2,17 +2,19 @@
 
 A profile of a few hundred terms is one pattern per kind (``functions.predicates``).
 Longer ones are joined instead. Every term is found by one key: terms looked for
-as whole words by one of their words, terms looked for anywhere by characters in
+as whole words by one of their words, terms looked for anywhere by bytes in
 a row, of the longest of a few lengths (``SIZES``) that the term has: a long term is
-found by a long key, so that few texts meet it that do not hold it. Of a term's
+found by a long key, so that few texts meet it that do not hold it. (The characters
+before a place in a text need not be counted to find its bytes.) Of a term's
 keys the one that the fewest texts hold is taken; a term with a key that no text
 holds matches nothing and is dropped before the join. The whole term is verified on
 each pair, so the result is that of the patterns, whichever key is taken.
 
 A key is a number. A text has keys of the lengths that terms ask for; which of them
 any term has is looked up in a bit field made of the terms' keys, and only those
-are counted or moved. They are counted in ``BUCKETS`` buckets, so that a task hands on
-a bounded number of counts; keys of one bucket are taken for equally common.
+are counted or moved. They are counted in buckets, so that a task hands on a bounded
+number of counts, each with a few bits of the bucket's keys; keys of one bucket are taken
+for equally common.
 
 Keys that many texts hold are few. Terms found by one of them, ``BROADCAST_ROWS`` at
 most, are sent to the texts, so no pair with them moves; all other terms meet the
@@ -38,7 +40,7 @@ SIZES = (1, 2, 3, 4, 8, 16, 32)  # of the keys of terms that are looked for anyw
 SALTS = 16
 BUCKETS_LOG2 = 20
 CHUNK, FIELD_LOG2 = 1024, 22  # words of a bit field put together at once, and in a whole one at most
-WORD, TITLE, PLACE = 0, 1, 2  # what a key is of: a title's words, a title's characters, a place's characters
+WORD, TITLE, PLACE = 0, 1, 2  # what a key is of: a title's words, a title's bytes, a place's bytes
 _WORDS = "[a-z0-9_]+"
 
 
@@ -49,16 +51,16 @@ def profile_rows(name: str, profile: profiles.RuleProfile) -> list[tuple[str, st
 
 
 def _grams(text: Column, size: Column) -> Column:
-    """All runs of ``size`` characters of a text."""
-    n = F.char_length(text) - size + 1
-    return F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(text, i, size))).otherwise(
-        F.array().cast("array<string>")
+    """All runs of ``size`` bytes of a text."""
+    n = F.octet_length(text) - size + 1
+    return F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(text.cast("binary"), i, size))).otherwise(
+        F.array().cast("array<binary>")
     )
 
 
 def _size(term: Column) -> Column:
     """The longest of SIZES that a term has; 0 for an empty one."""
-    return F.array_max(F.filter(F.array(*(F.lit(n) for n in (0, *SIZES))), lambda n: n <= F.char_length(term)))
+    return F.array_max(F.filter(F.array(*(F.lit(n) for n in (0, *SIZES))), lambda n: n <= F.octet_length(term)))
 
 
 def _words(text: Column) -> Column:
@@ -117,27 +119,30 @@ def _terms(rules: DataFrame, name: str) -> DataFrame:
         .when(F.col("kind").isin("include", "exclude"), TITLE).otherwise(PLACE)
     )
     size = F.when(field == WORD, 0).otherwise(_size(term))
-    keys = F.when(field == WORD, words).when(term == "", F.array(term)).otherwise(_grams(term, _size(term)))
-    numbers = F.transform("keys", lambda k: _key(F.col("field"), k))
-    return rows.select("kind", "term", field.alias("field"), size.alias("size"), F.array_distinct(keys).alias("keys")).withColumn(
-        "keys", numbers
-    )
+    rows = rows.select("kind", "term", field.alias("field"), size.alias("size"))
+
+    def keys(grams: Column) -> Column:
+        return F.transform(grams, lambda g: _key(F.col("field"), g))
+
+    made = F.when(F.col("field") == WORD, keys(words)).when(term == "", keys(F.array(term))).otherwise(keys(_grams(term, F.col("size"))))
+    return rows.withColumn("keys", F.array_distinct(made))
 
 
 def _text_keys(texts: DataFrame, terms: DataFrame) -> DataFrame:
-    """Each text's keys of the kinds that terms have, with the text each is of; an empty term's is that of no character."""
+    """Each text's keys of the kinds that terms have, with the text each is of; an empty term's is that of no byte."""
     asked = terms.agg(F.collect_set(F.struct("field", "size"))).scalar().alias("asked")
     words = F.transform(_words(F.col("title_low")), lambda w: _key(F.lit(WORD), w)).alias("words")
+    # With ``row`` inside, no test on it is moved below the generator, which would make a second kind of texts to deal out.
     once = texts.select(F.inline(F.array(F.struct("row", "title_low", "location_low", words, asked))))
     made = once.select("row", "title_low", "location_low", "words", F.inline("asked"))
     text = F.when(F.col("field") == PLACE, F.col("location_low")).otherwise(F.col("title_low"))
-    made = made.select("row", "words", "field", "size", text.alias("text"))
-    one, n = F.lit(1).cast("long"), (F.char_length("text") - F.col("size") + 1).cast("long")
+    made = made.select("row", "words", "field", "size", text.alias("text"), text.cast("binary").alias("bytes"))
+    one, n = F.lit(1).cast("long"), (F.octet_length("bytes") - F.col("size") + 1).cast("long")
     places = (
         F.when(F.col("field") == WORD, F.col("words")).when(F.col("size") == 0, F.array(one)).when(n > 0, F.sequence(one, n))
     )
-    at = made.select("row", "field", "size", "text", F.explode(places).alias("at"))
-    gram = F.substring(F.col("text"), F.col("at").cast("int"), F.col("size"))
+    at = made.select("row", "field", "size", "text", "bytes", F.explode(places).alias("at"))
+    gram = F.substring(F.col("bytes"), F.col("at").cast("int"), F.col("size"))
     key = F.when(F.col("field") == WORD, F.col("at")).otherwise(_key(F.col("field"), gram))
     return at.select("row", "text", F.explode(F.array(key)).alias("key"))  # made once, above what filters on it
 
@@ -158,9 +163,12 @@ def _rarest(terms: DataFrame, probes: DataFrame) -> DataFrame:
     """
     bucket = _bits(F.col("key"), 64 - BUCKETS_LOG2, BUCKETS_LOG2)
     asked = terms.select("kind", "term", "field", "size", F.size("keys").alias("n_keys"), F.explode("keys").alias("key"))
-    counts = probes.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))  # reduced per task before it moves
+    counts = probes.groupBy(bucket.alias("bucket")).agg(  # reduced per task before it moves
+        F.count(F.lit(1)).alias("n"), F.bit_or(_mask(F.col("key"))).alias("bits")
+    )
     shares = counts.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy()))
-    found = asked.withColumn("bucket", bucket).hint("merge").join(shares, "bucket").groupBy("kind", "term", "field", "size").agg(
+    held = asked.withColumn("bucket", bucket).hint("merge").join(shares, "bucket").where(F.col("bits").bitwiseAND(_mask(F.col("key"))) == _mask(F.col("key")))
+    found = held.groupBy("kind", "term", "field", "size").agg(
         F.count(F.lit(1)).alias("held"), F.first("n_keys").alias("n_keys"), F.min(F.struct("share", "key")).alias("least")
     ).select("*", "least.*")
     n_terms = F.count(F.lit(1)).over(Window.partitionBy(bucket))
@@ -194,7 +202,7 @@ def with_rule_hits(listings: DataFrame, rules: DataFrame, name: str, row: str) -
     terms, n_words = _terms(rules, name), _n_words(rules.where(F.col("profile") == name))
     picked = _rarest(terms, _probes(_texts(listings, row), terms, n_words))
     common, rare = picked.where("common"), picked.where("NOT common")
-    # Dealt by row once, so that neither the hits of common terms nor the join with them move anything.
+    # Dealt by row once, for both kinds of terms and the join with what they hit.
     dealt = listings.repartition(F.col(row))
     texts = _texts(dealt, row)
     near = _text_keys(texts, common).join(F.broadcast(common.select("kind", "term", "key")), "key")

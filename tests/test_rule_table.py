@@ -153,3 +153,12 @@ def test_of_equally_rare_keys_the_least_is_taken(spark):
     for n in (1, 7):
         probes = rule_table._probes(texts.repartition(n), terms)
         assert {r["term"]: r["key"] for r in rule_table._rarest(terms.repartition(n, "term"), probes).collect()} == least
+
+
+def test_keys_of_bytes_find_terms_between_longer_characters(spark):
+    titles = ("Ingénieur données – sénior", "データ エンジニア (senior)", "Müller & Söhne: data engineer", "𝕏 data – engineer", "SÃO PAULO ANALYST", "é analyst", "plain")
+    frame = spark.createDataFrame([(n, t, p) for n, (t, p) in enumerate((t, p) for t in titles for p in ("São Paulo", "Köln", "", "Austin, TX"))], LISTING)
+    profile = RuleProfile(("données", "エンジニア", "söhne: data", "𝕏", "é", "analyst"), ("sénior", "senior", "são"), ("são", "köln", "tx"), ("ö",))
+    found = rule_table.matched_by_table(frame, table(spark, own=profile), "own")
+    wanted = frame.where(predicates.matches_profile("title", "location", profile))
+    assert sorted(r["seq"] for r in found.collect()) == sorted(r["seq"] for r in wanted.collect()) != []
