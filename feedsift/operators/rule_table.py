@@ -39,7 +39,7 @@ RULE_SCHEMA = "profile STRING, kind STRING, ord INT, term STRING"
 SIZES = (1, 2, 3, 4, 8, 16, 32)  # of the keys of terms that are looked for anywhere
 SALTS = 16
 BUCKETS_LOG2 = 20
-CHUNK, FIELD_LOG2 = 1024, 22  # words of a bit field put together at once, and in a whole one at most
+CHUNK, FIELD_LOG2 = 1024, 20  # words of a bit field put together at once, and in a whole one at most
 WORD, TITLE, PLACE = 0, 1, 2  # what a key is of: a title's words, a title's bytes, a place's bytes
 _WORDS = "[a-z0-9_]+"
 
@@ -113,7 +113,7 @@ def _terms(rules: DataFrame, name: str) -> DataFrame:
     low = F.lower("term")
     rows = rules.where((F.col("profile") == name) & F.col("term").isNotNull()).select("kind", low.alias("term")).distinct()
     term, words = F.col("term"), _words(F.col("term"))
-    # A term of no word, looked for as a whole word, is found by its characters like the others.
+    # A term of no word, looked for as a whole word, is found by its bytes like the others.
     field = (
         F.when((F.col("kind") == "exclude") & (F.size(words) > 0), WORD)
         .when(F.col("kind").isin("include", "exclude"), TITLE).otherwise(PLACE)
